@@ -145,9 +145,8 @@ def funnel_survivors(spark, sf):
         X.hashed_documents(spark, sf).select("file_id", "size", "partial_hash", "is_deleted"),
         "prefixes",
     )
-    return groups.prefix_survivors(groups.size_survivors(stored)).select(
-        "file_id", "size", "partial_hash"
-    )
+    same_size = written(groups.size_survivors(stored), "same-size")
+    return groups.prefix_survivors(same_size).select("file_id", "size", "partial_hash")
 
 
 @query
@@ -487,7 +486,7 @@ def _checked(spark, sf):
         dup_groups=99, dup_members_min=2, usn_stored=True, ignored_max=0,
     )
     return check_results(
-        X.hashed_documents(spark, sf), volumes, _ignored(spark, sf), expect
+        _stored_documents(spark, sf), volumes, _ignored(spark, sf), expect
     )
 
 
@@ -512,7 +511,7 @@ def integrity_checks(spark, sf):
         .otherwise(F.col("hash_status")),
     )
     known = X.volumes(spark, sf).where(F.col("path") != "pages/")
-    return index_invariants(marked, known)
+    return index_invariants(written(marked, "index"), known)
 
 
 # --- change feed ------------------------------------------------------------

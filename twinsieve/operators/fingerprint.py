@@ -46,10 +46,13 @@ def fingerprint(
             file_hashes(work.select("file_id", path.alias("path"), "size"), n, block_bytes), "hashes"
         )
 
-    same_size = size_survivors(
-        files.select(
-            "file_id", "volume_id", "path_rel", "size", "partial_hash", "hash_status", "is_deleted"
-        )
+    same_size = written(
+        size_survivors(
+            files.select(
+                "file_id", "volume_id", "path_rel", "size", "partial_hash", "hash_status", "is_deleted"
+            )
+        ),
+        "same-size",
     )
     work = same_size.where(todo).join(names, "volume_id")
     prefixes = written(
@@ -60,10 +63,13 @@ def fingerprint(
     )
     read = prefixes.where(F.col("partial_hash").isNotNull()).drop("error")
     matched = prefix_survivors(read.unionByName(known))
+    to_read = written(
+        matched.where(F.col("path").isNotNull() & (F.col("size") > n)), "same-prefix"
+    )
     fulls = written(
-        file_hashes(
-            matched.where(F.col("path").isNotNull() & (F.col("size") > n)), n, block_bytes
-        ).select("file_id", "full_hash", F.col("error").alias("full_error")),
+        file_hashes(to_read, n, block_bytes).select(
+            "file_id", "full_hash", F.col("error").alias("full_error")
+        ),
         "fulls",
     )
     short = F.col("size") <= n

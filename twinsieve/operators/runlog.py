@@ -27,10 +27,12 @@ def latest_runs(events: DataFrame) -> DataFrame:
 
 
 def current_runs(events: DataFrame) -> DataFrame:
-    """For every volume, its last run that finished and the rows it left."""
+    """For every volume, its last run that finished and the rows it left.
+
+    A ``done`` event is the last of its run, so it alone tells.
+    """
     return (
-        latest_runs(events)
-        .where(F.col("status") == RUN_DONE)
+        events.where(F.col("status") == RUN_DONE)
         .groupBy("volume_id")
         .agg(F.max("run_id").alias("run_id"), F.max_by("file_count", "run_id").alias("file_count"))
     )

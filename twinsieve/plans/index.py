@@ -86,26 +86,30 @@ class Index:
         """The latest state of every run."""
         return latest_runs(self.scan_log())
 
-    def _current(self) -> list:
-        """(volume_id, run_id, file_count) of all volumes: a short list."""
-        return current_runs(self.scan_log()).collect()
+    def tables(self) -> tuple[DataFrame, DataFrame]:
+        """The current rows of all volumes, and the volumes, from one look at the log.
 
-    def files(self) -> DataFrame:
-        """The current rows of all volumes, partitioned by volume on disk."""
-        paths = [
+        The list of current runs has one entry per volume. Files are
+        partitioned by volume on disk.
+        """
+        current = current_runs(self.scan_log()).collect()
+        files = [
             f"{self.path}/files/run_id={r.run_id}/volume_id={r.volume_id}"
-            for r in self._current() if r.file_count
+            for r in current if r.file_count
         ]
-        return self._read(paths, FILES, "files")
+        newest = max((r.run_id for r in current), default=None)
+        volumes = [] if newest is None else [f"{self.path}/volumes/run_id={newest}"]
+        return self._read(files, FILES, "files"), self._read(volumes, VOLUMES, "volumes")
+
+    def files(self) -> DataFrame:
+        return self.tables()[0]
 
     def volumes(self) -> DataFrame:
-        newest = max((r.run_id for r in self._current()), default=None)
-        paths = [] if newest is None else [f"{self.path}/volumes/run_id={newest}"]
-        return self._read(paths, VOLUMES, "volumes")
+        return self.tables()[1]
 
     def ignored(self) -> DataFrame:
         """A row per entry set aside by a finished run."""
-        done = self.runs().where(F.col("status") == RUN_DONE).select("run_id").distinct()
+        done = self.scan_log().where(F.col("status") == RUN_DONE).select("run_id").distinct()
         try:
             rows = self.spark.read.schema(
                 T.StructType([*IGNORED, T.StructField("run_id", T.LongType())])
@@ -280,24 +284,28 @@ class Index:
                  ignored: DataFrame | None = None, even_out: bool = False) -> None:
         """A run that maps the rows of some volumes."""
         run_id = self.begin_run(volume_ids)
-        rows = self.files().where(F.col("volume_id").isin(volume_ids))
-        self.commit(run_id, volume_ids, change(rows), self.volumes(), ignored, even_out=even_out)
+        files, volumes = self.tables()
+        rows = change(files.where(F.col("volume_id").isin(volume_ids)))
+        self.commit(run_id, volume_ids, rows, volumes, ignored, even_out=even_out)
 
     def set_positions(self, positions: dict[int, int]) -> None:
         """U8: store the feed position of some volumes; a stored one never goes back."""
         run_id = self.begin_run(list(positions))
         top = self.spark.createDataFrame(list(positions.items()) or [], "id long, top long")
-        volumes = self.volumes().join(F.broadcast(top), "id", "left")
+        files, volumes = self.tables()
+        volumes = volumes.join(F.broadcast(top), "id", "left")
         volumes = volumes.withColumn("last_usn", F.greatest("last_usn", "top")).drop("top")
-        rows = self.files().where(F.col("volume_id").isin(list(positions)))
+        rows = files.where(F.col("volume_id").isin(list(positions)))
         self.commit(run_id, list(positions), rows, volumes, even_out=False)
 
     def hash(self, mode: str = "eager", volume_id: int | None = None) -> None:
         """Hash the backlog of one volume or all and store the result."""
-        files = self.files()
-        hashes = fingerprint(files, self.volumes(), mode, volume_id)
+        files, volumes = self.tables()
+        hashes = fingerprint(files, volumes, mode, volume_id)
         failed = hash_failures(files, hashes, self.clock())
-        touched = [volume_id] if volume_id is not None else [r.volume_id for r in self._current()]
+        touched = [volume_id] if volume_id is not None else [
+            r.id for r in volumes.select("id").collect()
+        ]
         self._rewrite(touched, lambda rows: write_hashes(rows, hashes), failed, even_out=True)
 
     def erase(self, root: str) -> bool:
@@ -310,11 +318,11 @@ class Index:
 
     def duplicates(self, limit: int | None = DEFAULT_GROUP_LIMIT) -> DataFrame:
         """Members of the largest duplicate groups, in report order."""
-        return ordered_members(group_members(self.files(), self.volumes(), HASH_TYPE_FULL, limit))
+        return ordered_members(group_members(*self.tables(), HASH_TYPE_FULL, limit))
 
     def candidates(self, limit: int | None = DEFAULT_GROUP_LIMIT, scope: str = "size_hash") -> DataFrame:
         """Members of the candidate groups with most copies, in report order."""
-        found = group_members(self.files(), self.volumes(), HASH_TYPE_PREFIX, limit, scope)
+        found = group_members(*self.tables(), HASH_TYPE_PREFIX, limit, scope)
         return found.orderBy(F.desc("file_count"), F.desc("size"), "hash_value", "path_rel", "file_id")
 
     def materialise(self, out: str) -> None:
@@ -325,17 +333,17 @@ class Index:
 
     def stats(self) -> DataFrame:
         """A1."""
-        return index_stats(self.files(), self.volumes(), self.ignored())
+        return index_stats(*self.tables(), self.ignored())
 
     def export(self, out: str) -> int:
         """K1."""
-        return export_csv(self.files(), self.volumes(), out)
+        return export_csv(*self.tables(), out)
 
     def verify(self, expect: Expectations) -> tuple[list, int]:
         """V1-V9."""
         if expect.volume is not None:
             expect = replace(expect, volume=as_root(expect.volume))
-        return run_checks(self.files(), self.volumes(), self.ignored(), expect)
+        return run_checks(*self.tables(), self.ignored(), expect)
 
 
 def content_index(rows: DataFrame, content: str = "content") -> DataFrame:

@@ -77,18 +77,12 @@ def _hasher(n: int, whole: bool):
     return run
 
 
-def _placed_by_bytes(work: DataFrame) -> DataFrame:
+def _placed_by_bytes(work: DataFrame, rows: int, total: int, long_rows: int) -> DataFrame:
     """``work`` over tasks of about TASK_BYTES each, long reads in the first ones."""
-    long_read = F.col("bytes") >= TASK_BYTES
-    rows, total, long_rows = work.agg(
-        F.count(F.lit(1)),
-        F.coalesce(F.sum(F.when(~long_read, F.col("bytes"))), F.lit(0)),
-        F.count_if(long_read),
-    ).first()
     slots = work.sparkSession.sparkContext.defaultParallelism
     others = max(1, -(-total // TASK_BYTES), min(rows, 4 * slots))
     place = F.xxhash64("file_id", "offset")
-    task = F.when(long_read, F.pmod(place, F.lit(max(long_rows, 1)))).otherwise(
+    task = F.when(F.col("bytes") >= TASK_BYTES, F.pmod(place, F.lit(max(long_rows, 1)))).otherwise(
         long_rows + F.pmod(place, F.lit(others))
     )
     return work.repartitionById(long_rows + others, task.cast("int"))
@@ -121,30 +115,37 @@ def file_hashes(
 ) -> DataFrame:
     """(file_id, partial_hash, full_hash, error) for rows of (file_id, path, size)."""
     zero = F.lit(0).cast("long")
-    one_read = files.where(F.col("size") <= block_bytes).select(
+    size, cut = F.col("size"), F.col("size") > block_bytes
+    one_read = files.where(~cut).select(
         "file_id", zero.alias("block"), "path", zero.alias("offset"),
-        F.lit(None).cast("long").alias("length"), F.col("size").alias("bytes"),
-    )
-    blocks = (
-        files.where(F.col("size") > block_bytes)
-        .withColumn(
-            "block", F.explode(F.sequence(zero, F.floor((F.col("size") - 1) / F.lit(block_bytes))))
-        )
-        .select(
-            "file_id", "block", "path",
-            (F.col("block") * block_bytes).alias("offset"),
-            F.lit(block_bytes).cast("long").alias("length"),
-            F.lit(block_bytes).cast("long").alias("bytes"),
-        )
+        F.lit(None).cast("long").alias("length"), size.alias("bytes"),
     )
+    is_long = ~cut & (size >= TASK_BYTES)
+    rows, total, long_rows, cut_blocks = files.agg(
+        F.count_if(~cut),
+        F.coalesce(F.sum(F.when(~cut & ~is_long, size)), F.lit(0)),
+        F.count_if(is_long),
+        F.coalesce(F.sum(F.when(cut, F.ceil(size / F.lit(block_bytes)))), F.lit(0)),
+    ).first()
     hashed = _hasher(n, whole=True)
-    single = _placed_by_bytes(one_read).mapInArrow(hashed, HASHES).drop("block")
+    placed = _placed_by_bytes(one_read, rows, total, long_rows)
+    single = placed.mapInArrow(hashed, HASHES).drop("block")
+    if not cut_blocks:
+        return single
+
+    last = F.floor((size - 1) / F.lit(block_bytes))
+    blocks = files.where(cut).withColumn("block", F.explode(F.sequence(zero, last))).select(
+        "file_id", "block", "path",
+        (F.col("block") * block_bytes).alias("offset"),
+        F.lit(block_bytes).cast("long").alias("length"),
+        F.lit(block_bytes).cast("long").alias("bytes"),
+    )
+    # The list holds size / block_bytes hashes.
     ordered = F.transform(
         F.sort_array(F.collect_list(F.struct("block", "full_hash"))), lambda b: b["full_hash"]
     )
-    # The list holds size / block_bytes hashes.
     joined = (
-        _placed_by_bytes(blocks)
+        _placed_by_bytes(blocks, cut_blocks, 0, cut_blocks)
         .mapInArrow(hashed, HASHES)
         .groupBy("file_id")
         .agg(
