@@ -624,7 +624,8 @@ def scan_and_hash(spark, sf):
 def funnel_hash(spark, sf):
     """U6, J4, J5 on files: which rows the funnel hashes, and how far."""
     index = _scanned_index(spark, sf)
-    found = fingerprint(index.files(), index.volumes(), "funnel")
-    return index.files().join(found, "file_id").select(
-        "filename", "size", found["partial_hash"], found["full_hash"]
+    files, volumes = index.tables()
+    found = fingerprint(files, volumes, "funnel")
+    return files.select("file_id", "filename", "size").join(found, "file_id").select(
+        "filename", "size", "partial_hash", "full_hash"
     )

@@ -200,6 +200,25 @@ def test_a_new_copy_of_a_hashed_file_is_found(spark, odd_files, tmp_path):
     assert {"a/b/c/d/e/f.bin", "later/f2.bin"} <= {m.path_rel for m in index.duplicates().collect()}
 
 
+def test_the_funnel_compares_volumes_and_keeps_what_it_knows(spark, tmp_path):
+    """Copies on volumes scanned at different times, found with a stored prefix only."""
+    index = Index(spark, str(tmp_path / "index"))
+    one, two = str(tmp_path / "one") + "/", str(tmp_path / "two") + "/"
+    put(one, "a", b"h" * 5000)
+    put(one, "same size", b"x" * 5000)
+    put(one, "alone", b"1")
+    index.scan([one], hash_mode="funnel")
+    assert {r.path_rel: r.hash_status for r in index.files().collect()} == {"a": 1, "same size": 1, "alone": 0}
+    os.remove(one + "same size")        # not read again
+    put(two, "copy of a", b"h" * 5000)
+    index.scan([two], hash_mode="funnel")
+    assert {m.path_rel for m in index.duplicates().collect()} == {"a", "copy of a"}
+    assert code(index, integrity=True, dup_groups=1, ignored_max=0) == 0
+    assert len({r.file_id for r in index.files().collect()}) == 4
+    with pytest.raises(ValueError):
+        index.hash("funnel", [0])
+
+
 def test_block_hashing(spark, tmp_path):
     """Files above the block size: the hash of the block hashes, whatever the cut."""
     root = str(tmp_path) + "/"
@@ -208,9 +227,9 @@ def test_block_hashing(spark, tmp_path):
         put(root, name, data)
     put(root, "other", data[:-1] + b"x")
     put(root, "small", data[:900])
-    rows = [(i, root + n, os.path.getsize(root + n)) for i, n in enumerate(["one", "two", "other", "small"])]
-    rows.append((9, root + "missing", 2500))
-    files = spark.createDataFrame(rows, "file_id long, path string, size long")
+    rows = [(i, 1, root + n, os.path.getsize(root + n)) for i, n in enumerate(["one", "two", "other", "small"])]
+    rows.append((9, 1, root + "missing", 2500))
+    files = spark.createDataFrame(rows, "file_id long, volume_id long, path string, size long")
     out = {r.file_id: r for r in file_hashes(files, n=100, block_bytes=1000).collect()}
     parts = "".join(hashlib.sha256(data[i:i + 1000]).hexdigest() for i in (0, 1000, 2000))
     assert out[0].full_hash == out[1].full_hash == hashlib.sha256(parts.encode()).hexdigest()
@@ -320,8 +339,10 @@ def test_stream_in_many_batches_and_restarted(spark, tmp_path):
 def test_changes_of_unknown_volumes_are_set_aside(spark, index, five_files):
     index.scan([five_files])
     changes = spark.createDataFrame([(1, 77, "x", 1, None, 1, None, None)], CHANGES)
-    assert not apply_batch(index, changes, "k")
+    assert apply_batch(index, changes, "k")
     assert index.files().count() == 5
+    assert [(r.volume_id, r.path, r.reason) for r in index.ignored().collect()] == [(77, "x", "bad_key")]
+    assert not apply_batch(index, changes.where("false"), "empty")
 
 
 def test_refresh_falls_back_to_a_full_scan(spark, index, five_files):

@@ -17,66 +17,63 @@ def fingerprint(
     files: DataFrame,
     volumes: DataFrame,
     mode: str = "eager",
-    volume_id: int | None = None,
+    volume_ids: list[int] | None = None,
     n: int = PREFIX_BYTES,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(file_id, partial_hash, full_hash, error) of the backlog.
+    """(file_id, volume_id, partial_hash, full_hash, error) of the backlog.
 
-    ``eager`` hashes every alive row without a full hash. ``funnel`` reads
-    content only where it can matter: the prefix of files whose size is
-    repeated, and all of those whose size and prefix are repeated. Rows that
-    are hashed already take part in the comparison, so a new copy of an old
-    file is found. Every file is read once per stage; results are written
-    before they are used again.
+    ``eager`` hashes every alive row without a full hash, of some volumes or
+    all. ``funnel`` reads content only where it can matter: the prefix of files
+    whose size is repeated, and all of those whose size and prefix are
+    repeated. Prefixes that are stored already are used, not read again, so a
+    new copy of an old file is found at the cost of the copy and, if only its
+    prefix was known, of the old file. A copy may lie on any volume, hence the
+    funnel always covers them all. Every file is read once per stage; results
+    are written before they are used again.
     """
     if mode not in ("eager", "funnel"):
         raise ValueError(f"mode must be eager or funnel, not {mode!r}")
+    if mode == "funnel" and volume_ids is not None:
+        raise ValueError("the funnel covers all volumes")
     names = broadcast_if_small(
         volumes.select(F.col("id").alias("volume_id"), F.col("path").alias("volume"))
     )
     path = absolute_path(F.col("volume"), F.col("path_rel"))
     todo = F.col("hash_status") < STATUS_FULL
-    if volume_id is not None:
-        todo = todo & (F.col("volume_id") == volume_id)
 
     if mode == "eager":
-        work = alive(files).where(todo).join(names, "volume_id")
-        return written(
-            file_hashes(work.select("file_id", path.alias("path"), "size"), n, block_bytes), "hashes"
+        backlog = alive(files).where(todo)
+        if volume_ids is not None:
+            backlog = backlog.where(F.col("volume_id").isin(volume_ids))
+        work = backlog.join(names, "volume_id").select(
+            "file_id", "volume_id", path.alias("path"), "size"
         )
+        return written(file_hashes(work, n, block_bytes), "hashes")
 
-    same_size = written(
-        size_survivors(
-            files.select(
-                "file_id", "volume_id", "path_rel", "size", "partial_hash", "hash_status", "is_deleted"
-            )
-        ),
-        "same-size",
+    columns = ["file_id", "volume_id", "path_rel", "size", "partial_hash", "hash_status", "is_deleted"]
+    same_size = written(size_survivors(files.select(*columns)), "same-size")
+    located = same_size.join(names, "volume_id").select(
+        "file_id", "volume_id", path.alias("path"), "size", "partial_hash", todo.alias("todo")
     )
-    work = same_size.where(todo).join(names, "volume_id")
-    prefixes = written(
-        prefix_hashes(work.select("file_id", path.alias("path"), "size"), n), "prefixes"
+    to_sample = located.where("todo and partial_hash is null")
+    prefixes = written(prefix_hashes(to_sample, n), "prefixes")
+    known = located.where("partial_hash is not null").withColumn("sampled", F.lit(False))
+    sampled = prefixes.where("partial_hash is not null").drop("error").withColumns(
+        {"todo": F.lit(True), "sampled": F.lit(True)}
     )
-    known = same_size.where(~todo & F.col("partial_hash").isNotNull()).select(
-        "file_id", F.lit(None).cast("string").alias("path"), "size", "partial_hash"
-    )
-    read = prefixes.where(F.col("partial_hash").isNotNull()).drop("error")
-    matched = prefix_survivors(read.unionByName(known))
-    to_read = written(
-        matched.where(F.col("path").isNotNull() & (F.col("size") > n)), "same-prefix"
-    )
-    fulls = written(
-        file_hashes(to_read, n, block_bytes).select(
-            "file_id", "full_hash", F.col("error").alias("full_error")
-        ),
-        "fulls",
+    matched = written(prefix_survivors(known.unionByName(sampled)).where("todo"), "same-prefix")
+    fulls = written(file_hashes(matched.where(F.col("size") > n), n, block_bytes), "fulls")
+    results = prefixes.select("file_id", "volume_id", "size", "partial_hash", "error").unionByName(
+        matched.where("not sampled").select(
+            "file_id", "volume_id", "size", "partial_hash", F.lit(None).cast("string").alias("error")
+        )
     )
-    short = F.col("size") <= n
-    return prefixes.join(fulls, "file_id", "left").select(
-        "file_id",
-        "partial_hash",
-        F.when(short, F.col("partial_hash")).otherwise(F.col("full_hash")).alias("full_hash"),
+    full = F.when(F.col("size") <= n, F.col("partial_hash")).otherwise(F.col("full_hash"))
+    return results.join(
+        fulls.select("file_id", "full_hash", F.col("error").alias("full_error")), "file_id", "left"
+    ).select(
+        "file_id", "volume_id", "partial_hash", full.alias("full_hash"),
         F.coalesce("error", "full_error").alias("error"),
     )
 

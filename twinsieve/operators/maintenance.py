@@ -16,13 +16,15 @@ INSERTED, VERIFIED, RESET, UNCHANGED, MISSING = (
 )
 
 
-def _new_ids(index: DataFrame) -> Column:
-    """Ids for inserted rows, above every id of the index.
+def _new_ids(index: DataFrame, next_id: int | None) -> Column:
+    """Ids for inserted rows, from ``next_id`` or above every id of ``index``.
 
     Unique within one write; write the result before using the ids.
     """
-    top = index.agg(F.coalesce(F.max("file_id"), F.lit(-1).cast("long"))).first()[0]
-    return F.lit(top + 1).cast("long") + F.monotonically_increasing_id()
+    if next_id is None:
+        top = index.agg(F.coalesce(F.max("file_id"), F.lit(-1).cast("long"))).first()[0]
+        next_id = top + 1
+    return F.lit(next_id).cast("long") + F.monotonically_increasing_id()
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -58,6 +60,7 @@ def upsert_files(
     reset_on_size_change: bool = False,
     few_changes: bool | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
+    next_id: int | None = None,
 ) -> DataFrame:
     """The index after a scan, plus an ``action`` per row.
 
@@ -67,8 +70,10 @@ def upsert_files(
     - unchanged: not in the scan (``missing``, and marked deleted, with ``sweep_missing``)
 
     Rows the scan has are alive afterwards. Both sides must be unique by
-    (volume_id, path_rel). ``scan`` may carry a ``file_id`` for its new rows.
-    ``few_changes`` chooses the join; left at None, the scan is counted.
+    (volume_id, path_rel). ``scan`` may carry a ``file_id`` for its new rows;
+    otherwise they are numbered from ``next_id``, which must be given when
+    ``index`` is only a part of a larger one. ``few_changes`` chooses the join;
+    left at None, the scan is counted.
     """
     if few_changes is None:
         few_changes = _row_count_at_most(scan, broadcast_rows)
@@ -85,10 +90,10 @@ def upsert_files(
         .when(same, VERIFIED)
         .otherwise(RESET)
     )
-    return _resolve(joined.withColumn("action", action), index, now)
+    return _resolve(joined.withColumn("action", action), index, now, next_id)
 
 
-def _resolve(joined: DataFrame, index: DataFrame, now: int) -> DataFrame:
+def _resolve(joined: DataFrame, index: DataFrame, now: int, next_id: int | None) -> DataFrame:
     """Final columns from the old (``o_``) and new (``n_``) sides and the action."""
     have = set(joined.columns)
     action = F.col("action")
@@ -100,7 +105,7 @@ def _resolve(joined: DataFrame, index: DataFrame, now: int) -> DataFrame:
     def old(name: str) -> Column:
         return F.col("o_" + name)
 
-    fresh_id = F.col("n_file_id") if "n_file_id" in have else _new_ids(index)
+    fresh_id = F.col("n_file_id") if "n_file_id" in have else _new_ids(index, next_id)
     is_new, not_seen = action == INSERTED, action.isin(UNCHANGED, MISSING)
     keeps_hashes = action.isin(VERIFIED, UNCHANGED, MISSING)
     keeps_times = keeps_hashes

@@ -57,6 +57,10 @@ def as_root(root: str) -> str:
     return root if root.endswith(("/", "\\")) else root + "/"
 
 
+# Stands for no volume in the log of a run that touched none.
+NO_VOLUME = -1
+
+
 class Index:
     """An index in a folder that every executor can reach."""
 
@@ -124,6 +128,11 @@ class Index:
         found = self.volumes().where(F.col("path") == as_root(root)).take(1)
         return found[0].id if found else None
 
+    def next_file_id(self) -> int:
+        """One above every id ever given out, from the log."""
+        top = self.scan_log().agg(F.max("top_file_id")).first()[0]
+        return 0 if top is None else top + 1
+
     def has_run(self, run_key: str) -> bool:
         done = (F.col("status") == RUN_DONE) & (F.col("run_key") == run_key)
         return bool(self.scan_log().where(done).take(1))
@@ -158,7 +167,7 @@ class Index:
         self,
         run_id: int,
         volume_ids: list[int],
-        files: DataFrame,
+        files: DataFrame | None,
         volumes: DataFrame,
         ignored: DataFrame | None = None,
         run_key: str | None = None,
@@ -166,52 +175,51 @@ class Index:
     ) -> None:
         """K4, U8: write a run's tables and make them current.
 
-        ``files`` holds the whole new state of the touched volumes; an
-        ``action`` column is stored along and counted for the log. ``even_out``
-        lets adaptive execution cut a large volume into even files and merge
-        small ones; without it the layout of the input stays, and the rows are
-        not shuffled.
+        ``files`` holds the whole new state of the touched volumes, or is None
+        if no volume is touched; an ``action`` column is stored along and
+        counted for the log. ``even_out`` lets adaptive execution cut a large
+        volume into even files and merge small ones; without it the layout of
+        the input stays, and the rows are not shuffled.
         """
-        files_dir = f"{self.path}/files/run_id={run_id}"
-        if "action" not in files.columns:
-            files = files.withColumn("action", F.lit("unchanged"))
-        laid_out = files.hint("rebalance", "volume_id") if even_out else files
-        laid_out.write.partitionBy("volume_id").parquet(files_dir)
-        # Written before the positions are needed again: volumes is a small table.
+        by_volume: dict[int, dict] = {}
+        if files is not None:
+            files_dir = f"{self.path}/files/run_id={run_id}"
+            if "action" not in files.columns:
+                files = files.withColumn("action", F.lit("unchanged"))
+            laid_out = files.hint("rebalance", "volume_id") if even_out else files
+            laid_out.write.partitionBy("volume_id").parquet(files_dir)
+            by_volume = self._written_counts(files_dir)
         volumes.write.parquet(f"{self.path}/volumes/run_id={run_id}")
         if ignored is not None:
             ignored.write.parquet(f"{self.path}/ignored/run_id={run_id}")
 
-        def n(*actions: str):
-            return F.coalesce(
-                F.sum(F.when(F.col("action").isin(*actions), F.col("n"))), F.lit(0)
-            ).cast("long")
-
-        counts = (
-            self.spark.read.schema("action string, volume_id long").parquet(files_dir)
-            .groupBy("volume_id", "action").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("volume_id")
-            .agg(
-                n("inserted", "verified", "reset").alias("scanned"),
-                n("inserted").alias("added"),
-                n("verified", "reset").alias("updated"),
-                n("missing").alias("deleted"),
-                F.sum("n").alias("total"),
+        positions = {r.id: r.last_usn for r in volumes.select("id", "last_usn").collect()}
+        now = self.clock()
+        self._log([
+            dict(
+                by_volume.get(v, {}), run_id=run_id, volume_id=v, seq=2, run_key=run_key,
+                started_at=now, finished_at=now, status=RUN_DONE,
+                last_checkpoint_usn=positions.get(v),
             )
+            for v in volume_ids
+        ])
+
+    def _written_counts(self, files_dir: str) -> dict[int, dict]:
+        """What a run did, per volume, from three columns of what it wrote."""
+
+        def n(*actions: str):
+            return F.count_if(F.col("action").isin(*actions))
+
+        rows = self.spark.read.schema("action string, file_id long, volume_id long").parquet(files_dir)
+        counts = rows.groupBy("volume_id").agg(
+            n("inserted", "verified", "reset").alias("files_scanned"),
+            n("inserted").alias("files_added"),
+            n("verified", "reset").alias("files_updated"),
+            n("missing").alias("files_deleted"),
+            F.count(F.lit(1)).alias("file_count"),
+            F.max("file_id").alias("top_file_id"),
         )
-        by_volume = {r.volume_id: r for r in counts.collect()}
-        positions = {r.id: r.last_usn for r in volumes.select("id", "last_usn").collect()}
-        now, done = self.clock(), []
-        for v in volume_ids:
-            r = by_volume.get(v)
-            done.append(dict(
-                run_id=run_id, volume_id=v, seq=2, run_key=run_key, started_at=now,
-                finished_at=now, status=RUN_DONE, last_checkpoint_usn=positions.get(v),
-                files_scanned=r.scanned if r else 0, files_added=r.added if r else 0,
-                files_updated=r.updated if r else 0, files_deleted=r.deleted if r else 0,
-                file_count=r.total if r else 0,
-            ))
-        self._log(done)
+        return {r.volume_id: r.asDict() for r in counts.collect()}
 
     # --- commands ---------------------------------------------------------
 
@@ -252,9 +260,8 @@ class Index:
         if good:
             self.apply_scan(run_id, good, entries.where(F.col("volume_id").isin(good)),
                             volumes, **upsert_options)
-        if hash_mode:
-            for v in good:
-                self.hash(hash_mode, v)
+        if hash_mode and good:
+            self.hash(hash_mode, good if hash_mode == "eager" else None)
         return {p: RUN_FAILED if v in lost else RUN_DONE for p, v in ids.items()}
 
     def apply_scan(
@@ -265,7 +272,9 @@ class Index:
         now = self.clock()
         usable, ignored = split_ignored(entries, now)
         old = self.files().where(F.col("volume_id").isin(volume_ids))
-        new = upsert_files(old, usable, now, few_changes=False, **upsert_options)
+        new = upsert_files(
+            old, usable, now, few_changes=False, next_id=self.next_file_id(), **upsert_options
+        )
         self.commit(run_id, volume_ids, new, volumes, ignored)
 
     def add_inventory(
@@ -290,23 +299,23 @@ class Index:
 
     def set_positions(self, positions: dict[int, int]) -> None:
         """U8: store the feed position of some volumes; a stored one never goes back."""
-        run_id = self.begin_run(list(positions))
-        top = self.spark.createDataFrame(list(positions.items()) or [], "id long, top long")
-        files, volumes = self.tables()
-        volumes = volumes.join(F.broadcast(top), "id", "left")
+        run_id = self.begin_run([NO_VOLUME])
+        top = self.spark.createDataFrame(list(positions.items()), "id long, top long")
+        volumes = self.volumes().join(F.broadcast(top), "id", "left")
         volumes = volumes.withColumn("last_usn", F.greatest("last_usn", "top")).drop("top")
-        rows = files.where(F.col("volume_id").isin(list(positions)))
-        self.commit(run_id, list(positions), rows, volumes, even_out=False)
+        self.commit(run_id, [NO_VOLUME], None, volumes)
+
+    def hash(self, mode: str = "eager", volume_ids: list[int] | None = None) -> None:
+        """Hash the backlog of some volumes or all and store the result.
 
-    def hash(self, mode: str = "eager", volume_id: int | None = None) -> None:
-        """Hash the backlog of one volume or all and store the result."""
+        Only volumes with a result are rewritten.
+        """
         files, volumes = self.tables()
-        hashes = fingerprint(files, volumes, mode, volume_id)
-        failed = hash_failures(files, hashes, self.clock())
-        touched = [volume_id] if volume_id is not None else [
-            r.id for r in volumes.select("id").collect()
-        ]
-        self._rewrite(touched, lambda rows: write_hashes(rows, hashes), failed, even_out=True)
+        hashes = fingerprint(files, volumes, mode, volume_ids)
+        touched = [r.volume_id for r in hashes.select("volume_id").distinct().collect()]
+        if touched:
+            failed = hash_failures(files, hashes, self.clock())
+            self._rewrite(touched, lambda rows: write_hashes(rows, hashes), failed, even_out=True)
 
     def erase(self, root: str) -> bool:
         """Mark a volume's files deleted; False if the volume is unknown."""

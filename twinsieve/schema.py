@@ -87,7 +87,8 @@ IGNORED = _struct("volume_id long, path string, reason string, indexed_at long")
 SCAN_LOG = _struct(
     "run_id! long, volume_id! long, seq! int, run_key string, "
     "started_at long, finished_at long, files_scanned long, files_added long, "
-    "files_updated long, files_deleted long, file_count long, last_checkpoint_usn long, "
+    "files_updated long, files_deleted long, file_count long, "
+    "top_file_id long, last_checkpoint_usn long, "
     "status string, error_message string"
 )
 

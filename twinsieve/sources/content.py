@@ -23,14 +23,14 @@ BLOCK_BYTES = 2 * 1024**3      # the largest value a content column can hold
 TASK_BYTES = 1024**3           # aimed amount of reading per task
 _CHUNK = 1024 * 1024
 
-HASHES = "file_id long, block long, partial_hash string, full_hash string, error string"
-PREFIXES = "file_id long, path string, size long, partial_hash string, error string"
+HASHES = "file_id long, volume_id long, block long, partial_hash string, full_hash string, error string"
+PREFIXES = "file_id long, volume_id long, path string, size long, partial_hash string, error string"
 _PREFIXES_ARROW = pa.schema(
-    [("file_id", pa.int64()), ("path", pa.string()), ("size", pa.int64())]
+    [("file_id", pa.int64()), ("volume_id", pa.int64()), ("path", pa.string()), ("size", pa.int64())]
     + [(n, pa.string()) for n in ("partial_hash", "error")]
 )
 _HASHES_ARROW = pa.schema(
-    [("file_id", pa.int64()), ("block", pa.int64())]
+    [("file_id", pa.int64()), ("volume_id", pa.int64()), ("block", pa.int64())]
     + [(n, pa.string()) for n in ("partial_hash", "full_hash", "error")]
 )
 
@@ -61,16 +61,17 @@ def _hash_range(path: str, offset: int, length: int | None, n: int, whole: bool)
         return partial, digest.hexdigest()
 
 
-def _hasher(n: int, whole: bool):
+def _hasher(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
+                    key = (r["file_id"], r["volume_id"], r["block"])
                     try:
-                        hashes = _hash_range(r["path"], r["offset"], r["length"], n, whole)
-                        yield (r["file_id"], r["block"], *hashes, None)
+                        hashes = _hash_range(r["path"], r["offset"], r["length"], n, whole=True)
+                        yield (*key, *hashes, None)
                     except OSError as error:
-                        yield (r["file_id"], r["block"], None, None, reason_of(error))
+                        yield (*key, None, None, reason_of(error))
 
         return _batches(rows(), _HASHES_ARROW)
 
@@ -97,7 +98,7 @@ def _prefix_hasher(n: int):
                         partial, error = _hash_range(r["path"], 0, n, n, whole=False)[0], None
                     except OSError as failure:
                         partial, error = None, reason_of(failure)
-                    yield r["file_id"], r["path"], r["size"], partial, error
+                    yield r["file_id"], r["volume_id"], r["path"], r["size"], partial, error
 
         return _batches(rows(), _PREFIXES_ARROW)
 
@@ -105,19 +106,19 @@ def _prefix_hasher(n: int):
 
 
 def prefix_hashes(files: DataFrame, n: int = PREFIX_BYTES) -> DataFrame:
-    """(file_id, path, size, partial_hash, error) for rows of (file_id, path, size)."""
-    work = files.select("file_id", "path", "size")
+    """``files`` (file_id, volume_id, path, size) with partial_hash and error: one short read each."""
+    work = files.select("file_id", "volume_id", "path", "size")
     return spread(work, work.count()).mapInArrow(_prefix_hasher(n), PREFIXES)
 
 
 def file_hashes(
     files: DataFrame, n: int = PREFIX_BYTES, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """(file_id, partial_hash, full_hash, error) for rows of (file_id, path, size)."""
+    """(file_id, volume_id, partial_hash, full_hash, error) of files (file_id, volume_id, path, size)."""
     zero = F.lit(0).cast("long")
     size, cut = F.col("size"), F.col("size") > block_bytes
     one_read = files.where(~cut).select(
-        "file_id", zero.alias("block"), "path", zero.alias("offset"),
+        "file_id", "volume_id", zero.alias("block"), "path", zero.alias("offset"),
         F.lit(None).cast("long").alias("length"), size.alias("bytes"),
     )
     is_long = ~cut & (size >= TASK_BYTES)
@@ -127,7 +128,7 @@ def file_hashes(
         F.count_if(is_long),
         F.coalesce(F.sum(F.when(cut, F.ceil(size / F.lit(block_bytes)))), F.lit(0)),
     ).first()
-    hashed = _hasher(n, whole=True)
+    hashed = _hasher(n)
     placed = _placed_by_bytes(one_read, rows, total, long_rows)
     single = placed.mapInArrow(hashed, HASHES).drop("block")
     if not cut_blocks:
@@ -135,7 +136,7 @@ def file_hashes(
 
     last = F.floor((size - 1) / F.lit(block_bytes))
     blocks = files.where(cut).withColumn("block", F.explode(F.sequence(zero, last))).select(
-        "file_id", "block", "path",
+        "file_id", "volume_id", "block", "path",
         (F.col("block") * block_bytes).alias("offset"),
         F.lit(block_bytes).cast("long").alias("length"),
         F.lit(block_bytes).cast("long").alias("bytes"),
@@ -147,7 +148,7 @@ def file_hashes(
     joined = (
         _placed_by_bytes(blocks, cut_blocks, 0, cut_blocks)
         .mapInArrow(hashed, HASHES)
-        .groupBy("file_id")
+        .groupBy("file_id", "volume_id")
         .agg(
             F.max("partial_hash").alias("partial_hash"),
             F.sha2(F.array_join(ordered, ""), 256).alias("full_hash"),

@@ -18,7 +18,7 @@ from twinsieve.operators.maintenance import (
     _resolve,
     _row_count_at_most,
 )
-from twinsieve.plans.index import Index
+from twinsieve.plans.index import NO_VOLUME, Index
 from twinsieve.schema import REASON_BAD_KEY, ScanOptions
 from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, written
 
@@ -89,6 +89,7 @@ def apply_changes(
     few_changes: bool | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     separator: str = "/",
+    next_id: int | None = None,
 ) -> DataFrame:
     """The index after a batch of changes, plus an ``action`` per row.
 
@@ -125,7 +126,7 @@ def apply_changes(
         joined = joined.withColumn(
             "o_" + name, F.when(seen_again, F.col("n_" + name)).otherwise(F.col("o_" + name))
         )
-    return _resolve(joined, index, now)
+    return _resolve(joined, index, now, next_id)
 
 
 def _known_volumes_only(changes: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -152,16 +153,17 @@ def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
     )
     positions = rows.groupBy("volume_id").agg(F.max("pos").alias("last_usn"))
     touched = {r.volume_id: r.last_usn for r in positions.collect()}
-    if not touched:
+    if not touched and _row_count_at_most(ignored, 0):
         return False
-    ids = sorted(touched)
+    ids = sorted(touched) or [NO_VOLUME]
     run_id = index.begin_run(ids, run_key)
-    old = index.files().where(F.col("volume_id").isin(ids))
+    old, known = index.tables()
+    old = old.where(F.col("volume_id").isin(ids))
     few = _row_count_at_most(rows.select(*KEY).distinct(), BROADCAST_ROWS)
-    new = apply_changes(old, rows, now, few_changes=few)
+    new = apply_changes(old, rows, now, few_changes=few, next_id=index.next_file_id())
     top = index.spark.createDataFrame(list(touched.items()), "id long, top long")
     reached = F.col("top").isNotNull()
-    volumes = index.volumes().join(F.broadcast(top), "id", "left").withColumns(
+    volumes = known.join(F.broadcast(top), "id", "left").withColumns(
         {
             "last_scan": F.when(reached, F.lit(now).cast("long")).otherwise(F.col("last_scan")),
             "last_usn": F.greatest("last_usn", "top"),
@@ -182,7 +184,9 @@ def refresh(index: Index, changes: DataFrame, run_key: str, options: ScanOptions
     full = [r for r in status if r.last_usn is None]
     if full:
         index.scan([r.path for r in full], options)
-        index.set_positions({r.volume_id: r.current_usn for r in full if r.active})
+        reached = {r.volume_id: r.current_usn for r in full if r.active}
+        if reached:
+            index.set_positions(reached)
     apply_batch(index, changes_since(changes, index.volumes()), run_key)
 
 
