@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.schema import RUN_DONE, SCAN_LOG
+from twinsieve.session import small_frame
 
 
 def run_events(spark: SparkSession, rows: list[dict]) -> DataFrame:
@@ -13,7 +14,7 @@ def run_events(spark: SparkSession, rows: list[dict]) -> DataFrame:
     counters = {"files_scanned", "files_added", "files_updated", "files_deleted", "file_count"}
     blank = {f.name: 0 if f.name in counters else None for f in SCAN_LOG}
     full = [tuple({**blank, **row}[name] for name in SCAN_LOG.fieldNames()) for row in rows]
-    return spark.createDataFrame(full, SCAN_LOG)
+    return small_frame(spark, full, SCAN_LOG)
 
 
 def latest_runs(events: DataFrame) -> DataFrame:

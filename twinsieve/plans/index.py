@@ -44,8 +44,9 @@ from twinsieve.schema import (
     SCAN_LOG,
     VOLUMES,
     ScanOptions,
+    struct,
 )
-from twinsieve.session import written
+from twinsieve.session import small_frame, written
 from twinsieve.sources.walker import walk_files
 
 
@@ -73,7 +74,7 @@ class Index:
 
     def _read(self, paths: list[str], schema: T.StructType, base: str) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], schema)
+            return small_frame(self.spark, [], schema)
         reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/{base}")
         return reader.parquet(*paths).select(*schema.fieldNames())
 
@@ -84,7 +85,7 @@ class Index:
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error.getCondition()):
                 raise
-            return self.spark.createDataFrame([], SCAN_LOG)
+            return small_frame(self.spark, [], SCAN_LOG)
 
     def runs(self) -> DataFrame:
         """The latest state of every run."""
@@ -121,7 +122,7 @@ class Index:
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error.getCondition()):
                 raise
-            return self.spark.createDataFrame([], IGNORED)
+            return small_frame(self.spark, [], IGNORED)
         return rows.join(done, "run_id", "left_semi").select(*IGNORED.fieldNames())
 
     def volume_id(self, root: str) -> int | None:
@@ -226,7 +227,7 @@ class Index:
     def register_volumes(self, roots: list[str], volume_type: int = 0) -> DataFrame:
         """The volumes table with these roots added or refreshed."""
         names = [(r,) for r in dict.fromkeys(map(as_root, roots))]
-        seen = self.spark.createDataFrame(names, "path string").select(
+        seen = small_frame(self.spark, names, struct("path string")).select(
             "path",
             F.lit(volume_type).alias("volume_type"),
             F.lit(None).cast("string").alias("label"),
@@ -281,9 +282,10 @@ class Index:
         self, entries: DataFrame, roots: dict[int, str], **upsert_options
     ) -> None:
         """Index entries that an inventory lists; ``roots`` by volume id."""
-        seen = self.spark.createDataFrame(
+        seen = small_frame(
+            self.spark,
             [(v, p, 0, None) for v, p in roots.items()],
-            "id long, path string, volume_type int, label string",
+            struct("id long, path string, volume_type int, label string"),
         )
         volumes = written(upsert_volumes(self.volumes(), seen, self.clock()), "volumes")
         run_id = self.begin_run(list(roots))
@@ -300,7 +302,7 @@ class Index:
     def set_positions(self, positions: dict[int, int]) -> None:
         """U8: store the feed position of some volumes; a stored one never goes back."""
         run_id = self.begin_run([NO_VOLUME])
-        top = self.spark.createDataFrame(list(positions.items()), "id long, top long")
+        top = small_frame(self.spark, list(positions.items()), struct("id long, top long"))
         volumes = self.volumes().join(F.broadcast(top), "id", "left")
         volumes = volumes.withColumn("last_usn", F.greatest("last_usn", "top")).drop("top")
         self.commit(run_id, [NO_VOLUME], None, volumes)

@@ -46,7 +46,7 @@ CHECK_CODES = {
 # ----------------------------------------------------------------------------
 
 
-def _struct(spec: str) -> T.StructType:
+def struct(spec: str) -> T.StructType:
     """``"name type, name! type"``; ``!`` marks a column that is never NULL."""
     kinds = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}
     out = T.StructType()
@@ -56,12 +56,12 @@ def _struct(spec: str) -> T.StructType:
     return out
 
 
-VOLUMES = _struct(
+VOLUMES = struct(
     "id! long, path! string, volume_type int, label string, "
     "indexed_at long, last_scan long, last_usn long"
 )
 
-FILES = _struct(
+FILES = struct(
     "file_id! long, volume_id! long, path_rel! string, filename string, extension string, "
     "size long, created long, modified long, accessed long, attributes long, "
     "partial_hash string, full_hash string, hash_status int, "
@@ -69,22 +69,22 @@ FILES = _struct(
 )
 
 # What a scanner or an inventory yields; volume_id and path_rel form the key.
-SCAN_ENTRIES = _struct(
+SCAN_ENTRIES = struct(
     "volume_id! long, path_rel string, filename string, extension string, size long, "
     "created long, modified long, accessed long, attributes long"
 )
 
 # A change feed row: a scan entry with its position in the feed.
-CHANGES = _struct(
+CHANGES = struct(
     "pos! long, volume_id! long, path_rel string, size long, "
     "created long, modified long, accessed long, attributes long"
 )
 
-TAGS = _struct("tag_id! long, name! string")
-FILE_TAGS = _struct("file_id! long, tag_id! long")
-IGNORED = _struct("volume_id long, path string, reason string, indexed_at long")
+TAGS = struct("tag_id! long, name! string")
+FILE_TAGS = struct("file_id! long, tag_id! long")
+IGNORED = struct("volume_id long, path string, reason string, indexed_at long")
 
-SCAN_LOG = _struct(
+SCAN_LOG = struct(
     "run_id! long, volume_id! long, seq! int, run_key string, "
     "started_at long, finished_at long, files_scanned long, files_added long, "
     "files_updated long, files_deleted long, file_count long, "

@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A side of a join is broadcast only when it is known to have at most this many rows.
 BROADCAST_ROWS = 100_000
@@ -48,6 +51,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, which needs no Python workers."""
+    names = schema.fieldNames()
+    columns = {n: [row[i] for row in rows] for i, n in enumerate(names)}
+    table = pa.Table.from_pydict(columns, schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count proves ``df`` small, else leave the join to Catalyst.
 
@@ -85,10 +96,3 @@ def spread_join(
     )
     repeated = keyed.withColumn("_part", F.explode(copies))
     return placed.join(repeated, [*keys, "_part"], how).drop("_part")
-
-
-def all_of(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for condition in conditions:
-        out = out & condition
-    return out

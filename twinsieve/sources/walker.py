@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.paths import extension
 from twinsieve.operators.filters import name_filter
-from twinsieve.schema import REASON_BAD_KEY, ScanOptions
-from twinsieve.session import new_path
+from twinsieve.schema import REASON_BAD_KEY, ScanOptions, struct
+from twinsieve.session import new_path, small_frame
 
 LISTING = "volume_id long, root string, path_rel string, filename string, kind string"
 DETAILS = (
@@ -159,9 +159,8 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
 def list_tree(spark: SparkSession, roots: dict[int, str], options: ScanOptions) -> DataFrame:
     """Everything below the roots as LISTING rows; ``kind`` holds the reason on errors."""
     base = new_path(spark, "listing")
-    frontier = spark.createDataFrame(
-        [(v, root, "") for v, root in roots.items()], "volume_id long, root string, path_rel string"
-    )
+    start = struct("volume_id long, root string, path_rel string")
+    frontier = small_frame(spark, [(v, root, "") for v, root in roots.items()], start)
     level, directories = 0, len(roots)
     hidden = F.lower("filename").isin(*options.skipped_directories)
     while directories:

@@ -19,8 +19,8 @@ from twinsieve.operators.maintenance import (
     _row_count_at_most,
 )
 from twinsieve.plans.index import NO_VOLUME, Index
-from twinsieve.schema import REASON_BAD_KEY, ScanOptions
-from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, written
+from twinsieve.schema import REASON_BAD_KEY, ScanOptions, struct
+from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, small_frame, written
 
 
 def changes_since(changes: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
     old = old.where(F.col("volume_id").isin(ids))
     few = _row_count_at_most(rows.select(*KEY).distinct(), BROADCAST_ROWS)
     new = apply_changes(old, rows, now, few_changes=few, next_id=index.next_file_id())
-    top = index.spark.createDataFrame(list(touched.items()), "id long, top long")
+    top = small_frame(index.spark, list(touched.items()), struct("id long, top long"))
     reached = F.col("top").isNotNull()
     volumes = known.join(F.broadcast(top), "id", "left").withColumns(
         {
