@@ -1,6 +1,7 @@
 """Times the headline queries; prints one JSON line.
 
-BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3).
+BENCH_SF_DIR (default sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3),
+BENCH_QUERIES (names; default the headlines).
 Each query runs once to warm up; the median of the following runs counts.
 Every row of every result is produced and dropped.
 """
@@ -16,7 +17,6 @@ import time
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 from pyspark.sql import SparkSession  # noqa: E402
 
@@ -25,8 +25,8 @@ from registry.queries import QUERIES  # noqa: E402
 HEADLINES = (
     "dup_groups", "dup_groups_all", "dup_candidates", "dup_members", "dup_members_all",
     "same_size_groups", "funnel_report", "funnel_survivors", "index_stats", "hash_backlog",
-    "export_index", "inventory_scan", "fingerprints", "upsert_index", "upsert_counted",
-    "hash_writeback", "run_log_latest", "tags_upsert", "checks", "feed_apply", "stream_apply",
+    "export_rows", "inventory_scan", "fingerprints", "upsert_index", "upsert_counted",
+    "hash_writeback", "run_log_latest", "tags_upsert", "check_results", "feed_apply", "stream_apply",
     "walk_scan", "scan_and_hash", "funnel_hash",
 )
 
@@ -59,7 +59,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = session(cpus)
     took = {}
-    for name in HEADLINES:
+    for name in os.environ.get("BENCH_QUERIES", " ".join(HEADLINES)).split():
         timed(spark, name, sf_dir)
         took[name] = round(statistics.median(timed(spark, name, sf_dir) for _ in range(runs)), 3)
     print(json.dumps({

@@ -141,10 +141,9 @@ def as_changes(events: DataFrame) -> DataFrame:
 def prior_feed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index before the feed: documents, and each user's file as first seen, hashed then."""
     changes = change_feed(spark, sf_dir)
-    first = (
-        changes.groupBy("volume_id", "path_rel")
-        .agg(F.min_by(F.struct("pos", "size", "modified", "attributes"), "pos").alias("f"))
-        .select("volume_id", "path_rel", "f.*")
+    first = changes.groupBy("volume_id", "path_rel").agg(
+        F.min("pos").alias("pos"),
+        *[F.min_by(c, "pos").alias(c) for c in ("size", "modified", "attributes")],
     )
     users = first.select(
         (F.lit(2_000_000_000_000) + F.col("pos")).alias("file_id"),

@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
         where is_deleted = 0 and hash_status < 2 order by size desc, file_id limit 100000""",
     "largest_files": f"""with {FILES} select file_id, volume_id, path_rel, size from docs
         where is_deleted = 0 order by size desc, file_id limit 50""",
-    "export_index": f"""with {PRIOR} select file_id as id, volume, path_rel as path, filename, extension, size, modified,
+    "export_rows": f"""with {PRIOR} select file_id as id, volume, path_rel as path, filename, extension, size, modified,
         partial_hash, full_hash, hash_status, is_deleted from prior""",
     "export_csv_roundtrip": f"""with {HASHED} select file_id as id, volume, path_rel as path, filename, extension, size,
         modified, partial_hash, full_hash, hash_status, is_deleted from hashed""",
@@ -333,7 +333,7 @@ ORACLES: dict[str, str] = {
         select doc_id as file_id, lang as name from documents
         union select doc_id, 'quality' from labels where quality = 1
         union select doc_id, 'toxic' from labels where toxic = 1) t using (file_id)""",
-    "checks": f"with {CHECKS} select * from check_rows",
+    "check_results": f"with {CHECKS} select * from check_rows",
     "check_code": f"""with {CHECKS} select count(*) filter (where passed) as passed, count(*) as total,
         coalesce(arg_min(code, ordinal) filter (where not passed), 0) as code from check_rows""",
     "integrity_checks": f"""with {PRIOR}, {VOLUMES}, marked as (
@@ -353,7 +353,7 @@ ORACLES: dict[str, str] = {
     "feed_apply": f"with {HASHED}, {VOLUMES}{FEED}{FEED_STATE} select * from feed_rows",
     "feed_since": f"""with {VOLUMES}{FEED} select f.pos, f.volume_id, f.path_rel, f.size, f.modified
         from feed f join half_way h on h.id = f.volume_id where f.pos > h.last_usn""",
-    "feed_report": f"""with {VOLUMES}{FEED}, tops as (select volume_id, max(pos) as current_usn from feed group by volume_id)
+    "feed_status": f"""with {VOLUMES}{FEED}, tops as (select volume_id, max(pos) as current_usn from feed group by volume_id)
         select h.id as volume_id, h.path, h.last_usn, t.current_usn, t.current_usn - h.last_usn as lag,
           t.current_usn is not null as active, t.current_usn is not null and h.last_usn is not null as incremental
         from half_way h left join tops t on t.volume_id = h.id""",

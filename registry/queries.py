@@ -17,15 +17,10 @@ from twinsieve.functions.paths import (
     normalise_root,
     relative_path,
 )
+from twinsieve.operators import checks as expectations
 from twinsieve.operators import filters, groups, maintenance, runlog, stats
-from twinsieve.operators.checks import (
-    Expectations,
-    check_results,
-    check_summary,
-    index_invariants,
-)
 from twinsieve.operators.fingerprint import fingerprint
-from twinsieve.plans.export import export_csv, export_rows
+from twinsieve.plans import export
 from twinsieve.plans.index import Index
 from twinsieve.schema import (
     FILE_COLUMNS,
@@ -36,7 +31,7 @@ from twinsieve.schema import (
 from twinsieve.session import new_path, written
 from twinsieve.sources.inventory import inventory_entries
 from twinsieve.sources.walker import walk_files
-from twinsieve.streaming.feed import apply_changes, changes_since, feed_status, start_feed
+from twinsieve.streaming import feed as feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -229,16 +224,16 @@ def largest_files(spark, sf):
 
 
 @query
-def export_index(spark, sf):
+def export_rows(spark, sf):
     """The export as rows."""
-    return export_rows(X.prior_index(spark, sf), X.volumes(spark, sf))
+    return export.export_rows(X.prior_index(spark, sf), X.volumes(spark, sf))
 
 
 @query
 def export_csv_roundtrip(spark, sf):
     """K1: the export written as CSV and read back."""
     out = new_path(spark, "export")
-    export_csv(_stored_documents(spark, sf), X.volumes(spark, sf), out)
+    export.export_csv(_stored_documents(spark, sf), X.volumes(spark, sf), out)
     schema = (
         "id long, volume string, path string, filename string, extension string, size long, "
         "modified long, partial_hash string, full_hash string, hash_status int, is_deleted int"
@@ -481,17 +476,17 @@ def _checked(spark, sf):
     feed = X.change_feed(spark, sf).groupBy("volume_id").agg(F.max("pos").alias("top"))
     volumes = X.volumes(spark, sf).join(feed, F.col("id") == F.col("volume_id"), "left")
     volumes = volumes.withColumn("last_usn", F.col("top")).drop("top", "volume_id")
-    expect = Expectations(
+    expect = expectations.Expectations(
         integrity=True, volume=" src3/ ", files_min=1, files_max=2, hashed_pct=100,
         dup_groups=99, dup_members_min=2, usn_stored=True, ignored_max=0,
     )
-    return check_results(
+    return expectations.check_results(
         _stored_documents(spark, sf), volumes, _ignored(spark, sf), expect
     )
 
 
 @query
-def checks(spark, sf):
+def check_results(spark, sf):
     """V1-V9."""
     return _checked(spark, sf)
 
@@ -499,7 +494,7 @@ def checks(spark, sf):
 @query
 def check_code(spark, sf):
     """V8: the summary and the code of the first failure."""
-    return check_summary(_checked(spark, sf))
+    return expectations.check_summary(_checked(spark, sf))
 
 
 @query
@@ -511,7 +506,7 @@ def integrity_checks(spark, sf):
         .otherwise(F.col("hash_status")),
     )
     known = X.volumes(spark, sf).where(F.col("path") != "pages/")
-    return index_invariants(written(marked, "index"), known)
+    return expectations.index_invariants(written(marked, "index"), known)
 
 
 # --- change feed ------------------------------------------------------------
@@ -519,13 +514,13 @@ def integrity_checks(spark, sf):
 @query
 def feed_apply(spark, sf):
     """R1 as one batch: end state."""
-    return apply_changes(X.prior_feed_state(spark, sf), X.change_feed(spark, sf), X.NOW)
+    return feeds.apply_changes(X.prior_feed_state(spark, sf), X.change_feed(spark, sf), X.NOW)
 
 
 @query
 def feed_since(spark, sf):
     """Changes after the stored position of each volume, which is half way through."""
-    return changes_since(X.change_feed(spark, sf), _half_way(spark, sf)).select(
+    return feeds.changes_since(X.change_feed(spark, sf), _half_way(spark, sf)).select(
         "pos", "volume_id", "path_rel", "size", "modified"
     )
 
@@ -541,9 +536,9 @@ def _half_way(spark, sf):
 
 
 @query
-def feed_report(spark, sf):
+def feed_status(spark, sf):
     """R2."""
-    return feed_status(_half_way(spark, sf), X.change_feed(spark, sf))
+    return feeds.feed_status(_half_way(spark, sf), X.change_feed(spark, sf))
 
 
 @query
@@ -558,7 +553,7 @@ def stream_apply(spark, sf):
         spark.readStream.schema(X.table(spark, sf, "events").schema)
         .option("pathGlobFilter", "events.parquet").parquet(sf)
     )
-    feed = start_feed(X.as_changes(events), index, new_path(spark, "checkpoint"))
+    feed = feeds.start_feed(X.as_changes(events), index, new_path(spark, "checkpoint"))
     feed.awaitTermination()
     return index.files().select(*FILE_COLUMNS)
 

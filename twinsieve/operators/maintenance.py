@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.hashing import hash_status
 from twinsieve.schema import FILE_COLUMNS, FILES, STATUS_NONE
-from twinsieve.session import BROADCAST_ROWS, broadcast_if_small
+from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, written
 
 KEY = ["volume_id", "path_rel"]
 
@@ -77,6 +77,8 @@ def upsert_files(
     """
     if few_changes is None:
         few_changes = _row_count_at_most(scan, broadcast_rows)
+    if few_changes:
+        scan = written(scan, "scan")    # joined more than once
     joined = _match(index, scan, few_changes)
     same = F.col("o_modified").isNotNull() & (
         F.col("o_modified") == F.coalesce("n_modified", F.lit(0).cast("long"))

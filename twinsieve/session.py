@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,6 +53,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once.
+
+    Needed by the operators that read files, whether or not the package is
+    installed on the executors.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(), "twinsieve"), "zip",
+        root_dir=os.path.dirname(package), base_dir=os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
     """A few driver-side rows as a local relation, which needs no Python workers."""
     names = schema.fieldNames()

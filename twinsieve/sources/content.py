@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.schema import PREFIX_BYTES
+from twinsieve.session import ship_package
 from twinsieve.sources.walker import _batches, reason_of, remote_file_system, spread
 
 BLOCK_BYTES = 2 * 1024**3      # the largest value a content column can hold
@@ -107,6 +108,7 @@ def _prefix_hasher(n: int):
 
 def prefix_hashes(files: DataFrame, n: int = PREFIX_BYTES) -> DataFrame:
     """``files`` (file_id, volume_id, path, size) with partial_hash and error: one short read each."""
+    ship_package(files.sparkSession)
     work = files.select("file_id", "volume_id", "path", "size")
     return spread(work, work.count()).mapInArrow(_prefix_hasher(n), PREFIXES)
 
@@ -115,6 +117,7 @@ def file_hashes(
     files: DataFrame, n: int = PREFIX_BYTES, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """(file_id, volume_id, partial_hash, full_hash, error) of files (file_id, volume_id, path, size)."""
+    ship_package(files.sparkSession)
     zero = F.lit(0).cast("long")
     size, cut = F.col("size"), F.col("size") > block_bytes
     one_read = files.where(~cut).select(

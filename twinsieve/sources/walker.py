@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from twinsieve.functions.paths import extension
 from twinsieve.operators.filters import name_filter
 from twinsieve.schema import REASON_BAD_KEY, ScanOptions, struct
-from twinsieve.session import new_path, small_frame
+from twinsieve.session import new_path, ship_package, small_frame
 
 LISTING = "volume_id long, root string, path_rel string, filename string, kind string"
 DETAILS = (
@@ -158,6 +158,7 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
 
 def list_tree(spark: SparkSession, roots: dict[int, str], options: ScanOptions) -> DataFrame:
     """Everything below the roots as LISTING rows; ``kind`` holds the reason on errors."""
+    ship_package(spark)
     base = new_path(spark, "listing")
     start = struct("volume_id long, root string, path_rel string")
     frontier = small_frame(spark, [(v, root, "") for v, root in roots.items()], start)

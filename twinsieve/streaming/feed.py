@@ -58,27 +58,25 @@ def feed_status(volumes: DataFrame, changes: DataFrame) -> DataFrame:
 def net_changes(changes: DataFrame) -> DataFrame:
     """One row per key: what a sequence of changes comes to, whatever the index holds.
 
-    Plain aggregates, so a file that changes all the time is combined before the
-    shuffle. ``low`` and ``high`` bound the times seen: hashes may only stay
-    if both equal the stored one. ``zero_last`` tells whether a time of 0
-    came after every other known time; it then outlives later missing ones.
+    Aggregates of whole numbers only, which hash-aggregate in place: a file that
+    changes all the time is combined before the shuffle. ``low`` and ``high``
+    bound the times seen: hashes may only stay if both equal the stored one.
+    ``zero_last`` tells whether a time of 0 came after every other known time;
+    it then outlives later missing ones.
     """
     time = F.coalesce("modified", F.lit(0).cast("long"))
     last_other = F.max(F.when(time != 0, F.col("pos")))
     last_zero = F.max(F.when(F.col("modified") == 0, F.col("pos")))
     details = ["size", "created", "modified", "accessed", "attributes"]
     return (
-        changes.groupBy(*KEY)
-        .agg(
+        changes.groupBy(*KEY).agg(
             F.max("pos").alias("usn"),
-            F.max_by(F.struct(*details), "pos").alias("last"),
+            *[F.max_by(d, "pos").alias(d) for d in details],
             F.min(time).alias("low"),
             F.max(time).alias("high"),
             last_other.isNull().alias("only_zero"),
             (last_zero.isNotNull() & (last_other.isNull() | (last_zero > last_other))).alias("zero_last"),
         )
-        .select(*KEY, "usn", *[F.col("last")[d].alias(d) for d in details],
-                "low", "high", "only_zero", "zero_last")
     )
 
 
@@ -100,8 +98,10 @@ def apply_changes(
     follow the last change, and ``usn`` keeps its position.
     """
     net = net_changes(changes)
-    if few_changes is None:
-        few_changes = _row_count_at_most(net, broadcast_rows)
+    if few_changes is not False:
+        net = written(net, "net")       # counted, and joined more than once if small
+        if few_changes is None:
+            few_changes = _row_count_at_most(net, broadcast_rows)
     net = name_and_extension(net, separator)
     joined = _match(index, net, few_changes)
     stored = F.col("o_modified")
