@@ -2,7 +2,8 @@
 
 Groups are counted with map-side partial aggregation, so a group that holds a
 third of all rows reaches its reducer as one row per map task. Members are
-joined map-side to a limited list of groups, or with hot groups split.
+joined map-side to a limited list of groups, or with hot groups split. Hashes
+are text in every table but cross a shuffle as bytes, which is half of it.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.functions.paths import absolute_path
+from twinsieve.functions.paths import absolute_path, hex_lower
 from twinsieve.operators.filters import alive, in_volume
 from twinsieve.schema import DEFAULT_GROUP_LIMIT, HASH_TYPE_FULL, HASH_TYPE_PREFIX
 from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, spread_join
@@ -21,19 +22,19 @@ HASH_COLUMNS = {HASH_TYPE_FULL: "full_hash", HASH_TYPE_PREFIX: "partial_hash"}
 def all_groups(files: DataFrame, hash_type: int, volume_id: int | None = None) -> DataFrame:
     """Every group of at least two alive rows with equal size and hash.
 
-    ``count(hash)`` leaves rows without a hash out of their group, so no filter
+    Counting the hash leaves rows without one out of their group, so no filter
     on the hash is pushed below a projection that computes it, where it would
     be computed twice.
     """
-    column = HASH_COLUMNS[hash_type]
     return (
         in_volume(alive(files), volume_id)
-        .groupBy("size", F.col(column).alias("hash_value"))
-        .agg(F.count(column).alias("file_count"))
+        .select("size", F.unhex(HASH_COLUMNS[hash_type]).alias("hash"))
+        .groupBy("size", "hash")
+        .agg(F.count("hash").alias("file_count"))
         .where("file_count > 1")
         .select(
             F.lit(hash_type).alias("hash_type"),
-            "hash_value",
+            hex_lower(F.col("hash")).alias("hash_value"),
             "size",
             "file_count",
             (F.col("size") * F.col("file_count")).alias("total_size"),
@@ -68,21 +69,22 @@ def _members(
     # The filter lets a stored index skip rows without a hash.
     rows = alive(files).where(F.col(column).isNotNull()).select(
         "file_id", "volume_id", "path_rel",
-        F.col("size").alias("member_size"), F.col(column).alias("hash_value"),
+        F.col("size").alias("member_size"), F.unhex(column).alias("hash"),
     )
+    groups = groups.withColumn("hash", F.unhex("hash_value"))
     bounded = limit is not None and limit <= BROADCAST_ROWS
     if scope == "hash":
         if not bounded:
             raise ValueError("members_scope='hash' needs a group limit")
-        return rows.join(F.broadcast(groups), "hash_value")
+        return rows.join(F.broadcast(groups), "hash").drop("hash")
     same = rows.withColumnRenamed("member_size", "size")
     if bounded:
-        joined = same.join(F.broadcast(groups), ["size", "hash_value"])
+        joined = same.join(F.broadcast(groups), ["size", "hash"])
     else:
         joined = spread_join(
-            same, groups, ["size", "hash_value"], "inner", "file_count", ["volume_id", "path_rel"]
+            same, groups, ["size", "hash"], "inner", "file_count", ["volume_id", "path_rel"]
         )
-    return joined.withColumn("member_size", F.col("size"))
+    return joined.drop("hash").withColumn("member_size", F.col("size"))
 
 
 def group_members(
@@ -157,7 +159,8 @@ def funnel_report(files: DataFrame) -> DataFrame:
     """
     finest = (
         alive(files)
-        .groupBy("size", "partial_hash", "full_hash")
+        .select("size", F.unhex("partial_hash").alias("partial"), F.unhex("full_hash").alias("full"))
+        .groupBy("size", "partial", "full")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     stages = [
@@ -165,13 +168,13 @@ def funnel_report(files: DataFrame) -> DataFrame:
         (
             2,
             "prefix",
-            finest.groupBy("size", "partial_hash")
-            .agg(F.sum(F.when(F.col("partial_hash").isNotNull(), F.col("n"))).alias("n")),
+            finest.groupBy("size", "partial")
+            .agg(F.sum(F.when(F.col("partial").isNotNull(), F.col("n"))).alias("n")),
         ),
         (
             3,
             "full",
-            finest.withColumn("n", F.when(F.col("full_hash").isNotNull(), F.col("n"))),
+            finest.withColumn("n", F.when(F.col("full").isNotNull(), F.col("n"))),
         ),
     ]
 
@@ -203,7 +206,8 @@ def size_survivors(files: DataFrame) -> DataFrame:
 
 def prefix_survivors(files: DataFrame) -> DataFrame:
     """Of those, rows whose (size, prefix hash) occurs more than once."""
-    return _repeated(files, ["size", "partial_hash"])
+    keyed = files.withColumn("prefix", F.unhex("partial_hash"))
+    return _repeated(keyed, ["size", "prefix"]).drop("prefix")
 
 
 def materialise_groups(files: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
