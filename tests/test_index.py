@@ -277,6 +277,7 @@ def test_inventory(spark, index, tmp_path):
         out.write("p,bytes,flags,alloc,dir\n")
         out.write("a/x.TXT,5,0,true,false\nb.txt,6,2,true,false\nc.log,7,0,true,false\n")
         out.write("d,0,0,true,true\nfree.txt,1,0,false,false\n,9,0,true,false\n")
+        out.write("a/x.TXT,4,0,true,false\n")      # listed twice: one row
     entries = read_inventory(
         spark, path, "p string, bytes long, flags long, alloc boolean, dir boolean",
         {"volume_id": "5L", "path_rel": "p", "size": "bytes", "attributes": "flags",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.hashing import hash_status
 from twinsieve.schema import FILE_COLUMNS, FILES, STATUS_NONE
-from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, written
+from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, is_small, written
 
 KEY = ["volume_id", "path_rel"]
 
@@ -48,8 +48,17 @@ def _match(index: DataFrame, new: DataFrame, few_changes: bool) -> DataFrame:
     return kept.unionByName(added, allowMissingColumns=True)
 
 
-def _row_count_at_most(df: DataFrame, rows: int) -> bool:
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def one_per_key(entries: DataFrame) -> DataFrame:
+    """Scan entries with repeated paths reduced to the one modified last.
+
+    Shuffles by key, which the join of a full upsert then has no need to do.
+    """
+    details = ["modified", "size", "created", "accessed", "attributes", "filename", "extension"]
+    return (
+        entries.groupBy(*KEY)
+        .agg(F.max(F.struct(*details)).alias("last"))
+        .select(*KEY, *[F.col("last")[d].alias(d) for d in details])
+    )
 
 
 def upsert_files(
@@ -76,7 +85,7 @@ def upsert_files(
     left at None, the scan is counted.
     """
     if few_changes is None:
-        few_changes = _row_count_at_most(scan, broadcast_rows)
+        few_changes = is_small(scan, broadcast_rows)
     if few_changes:
         scan = written(scan, "scan")    # joined more than once
     joined = _match(index, scan, few_changes)

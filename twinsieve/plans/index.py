@@ -24,6 +24,7 @@ from twinsieve.operators.filters import name_and_extension, split_ignored
 from twinsieve.operators.fingerprint import fingerprint, hash_failures
 from twinsieve.operators.groups import group_members, materialise_groups, ordered_members
 from twinsieve.operators.maintenance import (
+    one_per_key,
     soft_delete,
     upsert_files,
     upsert_volumes,
@@ -272,6 +273,7 @@ class Index:
         """Put scan or inventory entries of some volumes into the index."""
         now = self.clock()
         usable, ignored = split_ignored(entries, now)
+        usable = one_per_key(usable)
         old = self.files().where(F.col("volume_id").isin(volume_ids))
         new = upsert_files(
             old, usable, now, few_changes=False, next_id=self.next_file_id(), **upsert_options

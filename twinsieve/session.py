@@ -82,14 +82,17 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) ->
     return spark.createDataFrame(table, schema)
 
 
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count, which no task holds more than a number of, proves ``df`` small."""
+    return df.count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if a count proves ``df`` small, else leave the join to Catalyst.
+    """Hint a broadcast if ``df`` is counted to be small, else leave the join to Catalyst.
 
-    The count stops after ``max_rows + 1`` rows. Meant for narrow tables such
-    as volumes, where counting costs next to nothing.
+    Meant for narrow tables such as volumes, where counting costs next to nothing.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread_join(

@@ -16,11 +16,10 @@ from twinsieve.operators.maintenance import (
     VERIFIED,
     _match,
     _resolve,
-    _row_count_at_most,
 )
 from twinsieve.plans.index import NO_VOLUME, Index
 from twinsieve.schema import REASON_BAD_KEY, ScanOptions, struct
-from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, small_frame, written
+from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, is_small, small_frame, written
 
 
 def changes_since(changes: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -101,9 +100,20 @@ def apply_changes(
     if few_changes is not False:
         net = written(net, "net")       # counted, and joined more than once if small
         if few_changes is None:
-            few_changes = _row_count_at_most(net, broadcast_rows)
-    net = name_and_extension(net, separator)
-    joined = _match(index, net, few_changes)
+            few_changes = is_small(net, broadcast_rows)
+    return apply_net_changes(index, net, now, few_changes, separator, next_id)
+
+
+def apply_net_changes(
+    index: DataFrame,
+    net: DataFrame,
+    now: int,
+    few_changes: bool,
+    separator: str = "/",
+    next_id: int | None = None,
+) -> DataFrame:
+    """R1 for changes that ``net_changes`` has reduced to one row per key."""
+    joined = _match(index, name_and_extension(net, separator), few_changes)
     stored = F.col("o_modified")
     same = stored.isNotNull() & (F.col("n_low") == stored) & (F.col("n_high") == stored)
     applies = F.col("n_seen").isNotNull() & (
@@ -153,14 +163,15 @@ def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
     )
     positions = rows.groupBy("volume_id").agg(F.max("pos").alias("last_usn"))
     touched = {r.volume_id: r.last_usn for r in positions.collect()}
-    if not touched and _row_count_at_most(ignored, 0):
+    if not touched and is_small(ignored, 0):
         return False
     ids = sorted(touched) or [NO_VOLUME]
     run_id = index.begin_run(ids, run_key)
     old, known = index.tables()
     old = old.where(F.col("volume_id").isin(ids))
-    few = _row_count_at_most(rows.select(*KEY).distinct(), BROADCAST_ROWS)
-    new = apply_changes(old, rows, now, few_changes=few, next_id=index.next_file_id())
+    net = written(net_changes(rows), "net")
+    few = is_small(net)
+    new = apply_net_changes(old, net, now, few, next_id=index.next_file_id())
     top = small_frame(index.spark, list(touched.items()), struct("id long, top long"))
     reached = F.col("top").isNotNull()
     volumes = known.join(F.broadcast(top), "id", "left").withColumns(
