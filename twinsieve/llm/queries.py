@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsieve.llm import langid
+from twinsieve.llm import langid, toxicity
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,10 @@ def query(function):
 def op7_language_id(spark, sf_dir):
     """Languages of all documents."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    """Toxicity scores of all documents."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.fit_on_fold(documents, table(spark, sf_dir, "labels")))
