@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsieve.llm import langid, toxicity
+from twinsieve.llm import bpe, langid, toxicity
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where a public vocabulary file lies; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def query(function):
     QUERIES[function.__name__] = function
@@ -29,3 +38,11 @@ def op1_toxicity(spark, sf_dir):
     """Toxicity scores of all documents."""
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit_on_fold(documents, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_bpe_round_trip(spark, sf_dir):
+    """Digests of all documents' ids and of the texts decoded from them."""
+    documents = table(spark, sf_dir, "documents")
+    lexicon = bpe.build_lexicon(documents, vocabulary_path())
+    return bpe.round_trip(documents, vocabulary_path(), lexicon)
