@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsieve.llm import bpe, langid, toxicity
+from twinsieve.llm import bpe, langid, token_files, toxicity
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,10 @@ def op5_bpe_round_trip(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     lexicon = bpe.build_lexicon(documents, vocabulary_path())
     return bpe.round_trip(documents, vocabulary_path(), lexicon)
+
+
+@query
+def op4_token_files(spark, sf_dir):
+    """What token files written from all documents hold of each."""
+    folder = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+    return token_files.read_digests(spark, folder)
