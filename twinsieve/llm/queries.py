@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinsieve.llm import bpe, langid, token_files, toxicity
+from twinsieve.llm import bpe, decontaminate, knn, langid, token_files, toxicity
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +54,51 @@ def op4_token_files(spark, sf_dir):
     """What token files written from all documents hold of each."""
     folder = token_files.write_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
     return token_files.read_digests(spark, folder)
+
+
+@query
+def op8_decontamination(spark, sf_dir):
+    """Benchmark windows in all documents."""
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(found).drop("longest")
+
+
+ORACLES["op8_decontamination"] = r"""
+with word as (select chr(0) as z, '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+' as p),
+docs as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), (select p from word)) as w from documents),
+items as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), (select p from word)) as w from benchmark),
+sized as (select item_id, w, least(10, len(w)) as size from items where len(w) > 0),
+windows as (select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as s
+  from (select *, unnest(range(1, len(w) - size + 2)) as i from sized)),
+sizes as (select distinct size from windows),
+places as (select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as s
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as i from docs, sizes)),
+found as (select distinct p.doc_id, p.i, p.size, x.item_id from places p join windows x on p.size = x.size and p.s = x.s),
+hit as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + size)) as k from found) group by doc_id),
+named as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as names
+  from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(x.n, 0) as n_items,
+  sha256(coalesce(x.names, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from docs d left join hit h using (doc_id) left join named x using (doc_id)
+"""
+
+
+@query
+def op3_top_k(spark, sf_dir):
+    """The ten nearest rows of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return knn.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+ORACLES["op3_top_k"] = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as e
+  from embeddings where embedding is not null and vec_id is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id,
+  cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0)
+select query_id, cast(r as integer) as rank, vec_id, score from (select *,
+  row_number() over (partition by query_id order by score desc, vec_id) as r from pairs) where r <= 10
+"""
