@@ -25,7 +25,7 @@ def committed(uri: str) -> Iterator:
     system.create_dir(folder, recursive=True)
     temporary = f"{folder}/_tmp-{uuid.uuid4().hex}-{name}"
     try:
-        with system.open_output_stream(temporary) as out:
+        with system.open_output_stream(temporary, compression=None) as out:
             yield out
     except BaseException:
         try:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import bpe, decontaminate, knn, langid, token_files, toxicity
+from twinsieve.llm import bpe, decontaminate, html, knn, langid, token_files, toxicity, warc
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,26 @@ pairs as (select q.vec_id as query_id, c.vec_id,
 select query_id, cast(r as integer) as rank, vec_id, score from (select *,
   row_number() over (partition by query_id order by score desc, vec_id) as r from pairs) where r <= 10
 """
+
+
+@query
+def op2_warc(spark, sf_dir):
+    """What the archives of all pages say of each."""
+    folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, folder, payloads=False).drop("url", "payload")
+
+
+ORACLES["op2_warc"] = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages),
+o as (select d, n, max(page_id) as page_id from p where n >= 1000 group by d, n)
+select p.page_id, cast(p.n as bigint) as payload_bytes, p.d as payload_digest,
+  case when o.page_id <> p.page_id then 'revisit' else 'response' end as record_type,
+  case when o.page_id <> p.page_id then o.page_id end as refers_to
+from p left join o on p.d = o.d and p.n = o.n
+"""
+
+
+@query
+def op6_html_extraction(spark, sf_dir):
+    """Main texts of all pages."""
+    return html.extract(table(spark, sf_dir, "pages"))
