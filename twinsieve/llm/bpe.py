@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, pieces, texts
 from twinsieve.llm.files import committed, open_fs
-from twinsieve.session import new_path
+from twinsieve.session import new_path, ship_package
 
 #: Fixed: the white space of the vocabulary file's patterns.
 SPACES = "\t-\r \x85\xa0  -     　"
@@ -414,6 +414,7 @@ def word_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
                     words[word] += n
             yield emit(schema, [list(words), list(words.values())])
 
+    ship_package(documents.sparkSession)
     rows = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -457,6 +458,7 @@ def encode(documents: DataFrame, vocabulary_path: str, lexicon_uri: str) -> Data
             for part in pieces(batch, "text"):
                 yield emit(schema, [part.column(0), coder.encode_batch(texts(part.column(1)))])
 
+    ship_package(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -472,6 +474,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
                        for b in part.column(1).to_pylist()]
                 yield emit(schema, [part.column(0), out])
 
+    ship_package(encoded.sparkSession)
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
@@ -497,5 +500,6 @@ def round_trip(documents: DataFrame, vocabulary_path: str, lexicon_uri: str) ->
                 yield emit(DIGESTS, [part.column(0), [len(c) // 4 for c in coded],
                                      [hashlib.sha256(c).hexdigest() for c in coded], decoded])
 
+    ship_package(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, pieces, texts
 from twinsieve.llm.rank import suffix_order
+from twinsieve.session import ship_package
 
 #: A-Z to a-z; bytes outside words to a space.
 TO_WORDS = bytes(
@@ -207,6 +208,7 @@ MATCHES_DDL = ("doc_id long, text string, n_words long, spans array<struct<first
 
 def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: n_words, spans (runs of hit words), items (with occurring windows) and longest (match in words)."""
+    ship_package(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     blocks = blocks_of(benchmark, window, block_bytes) or [[]]
@@ -244,6 +246,7 @@ def report(found: DataFrame) -> DataFrame:
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                  block_bytes: int = BLOCK_BYTES) -> F.Column:
     """Whether a row's text holds a benchmark window, as a column expression."""
+    ship_package(documents.sparkSession)
     context = documents.sparkSession.sparkContext
     out = F.lit(False)
     for block in blocks_of(benchmark, window, block_bytes):

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, pieces, texts
+from twinsieve.session import ship_package
 
 #: Names of HTML elements and common words.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -227,5 +228,6 @@ def extract(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
                 found = [main_text(h, rules) for h in texts(part.column(2))]
                 yield emit(EXTRACTED, [part.column(0), part.column(1), found, [len(t) for t in found]])
 
+    ship_package(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

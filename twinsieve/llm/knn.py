@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from twinsieve.llm.common import emit, partitions
-from twinsieve.session import written
+from twinsieve.session import ship_package, written
 
 LEAF = 64
 SHARD_ROWS = 16_384
@@ -120,6 +120,7 @@ def search(tree: Tree, bound: np.ndarray, query: np.ndarray, query_id: int, k: i
 
 def prepared(embeddings: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: int = 1024) -> DataFrame:
     """vec_id, size and the integer vector as doubles, for rows that take part."""
+    ship_package(embeddings.sparkSession)
     x = F.col(vector_column)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (embeddings.where(F.col(id_column).isNotNull() & x.isNotNull() & finite)

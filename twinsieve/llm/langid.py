@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, fold, sample_ids, texts
+from twinsieve.session import ship_package
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -162,6 +163,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray, accuracy: float) -> tuple[float, fl
 
 def fit(documents: DataFrame, settings: Settings | None = None) -> Model | None:
     """Train on a bounded sample of ``documents`` (doc_id, text, lang) with a language."""
+    ship_package(documents.sparkSession)
     settings = settings or Settings()
     bits = settings.bucket_bits
     known = documents.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -214,6 +216,7 @@ PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_
 
 def predict(documents: DataFrame, model: Model | None, parts: int = 4, held: int = 2) -> DataFrame:
     """A row per row of ``documents``: doc_id, held_out, lang_pred, score, rejected."""
+    ship_package(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long"), fold("doc_id", parts, held).alias("held_out"), "text")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

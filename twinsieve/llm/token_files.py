@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from twinsieve.llm.bpe import Coder, vocabulary_of
 from twinsieve.llm.common import emit, partitions, pieces, texts
 from twinsieve.llm.files import committed, open_fs
-from twinsieve.session import new_path, small_frame
+from twinsieve.session import new_path, ship_package, small_frame
 
 MAGIC = b"TIDPFOR1"
 BLOCK = 2048  # ids in a block
@@ -244,6 +244,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = 2, fi
     A file holds about ``file_ids`` ids, and whole documents.
     """
     spark = documents.sparkSession
+    ship_package(spark)
     folder = new_path(spark, "tokens")
     end = np.array([end_id], np.uint32)
 
@@ -279,6 +280,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = 2, fi
 
 def files_of(spark: SparkSession, folder: str) -> DataFrame:
     """The committed files with the number of ids before each: path, start."""
+    ship_package(spark)
     files = spark.read.parquet(f"{folder}/manifest").orderBy("shard", "turn").collect()
     rows, start = [], 0
     for f in files:  # a row per file: many ids each

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, fold, sample_ids, texts
-from twinsieve.session import written
+from twinsieve.session import ship_package, written
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = range(3, 11)
@@ -155,6 +155,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Learn a model from ``documents`` (doc_id, text) and ``labels`` (doc_id, toxic)."""
+    ship_package(documents.sparkSession)
     settings = settings or Settings()
     sample = written(labelled_sample(documents, labels, settings), "toxicity")
     sizes = dict(sample.groupBy("toxic").count().collect())
@@ -224,6 +225,7 @@ def score_texts(batch: list[str], model: Model) -> np.ndarray:
 
 def score(documents: DataFrame, model: Model, threshold: float = 0.7, parts: int = 3, held: int = 1) -> DataFrame:
     """A row per row of ``documents``: doc_id, held_out, score, predicted."""
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col("doc_id").cast("long"), fold("doc_id", parts, held).alias("held_out"), "text")
 
@@ -243,6 +245,7 @@ def fit_on_fold(documents: DataFrame, labels: DataFrame, settings: Settings | No
 
 def rejected(documents: DataFrame, model: Model, threshold: float = 0.7) -> F.Column:
     """Whether a row's text scores ``threshold`` or more, as a column expression."""
+    ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")

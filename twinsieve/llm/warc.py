@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from twinsieve.llm.common import emit, partitions
 from twinsieve.llm.files import committed, open_fs
-from twinsieve.session import new_path, small_frame, spread_join, written
+from twinsieve.session import new_path, ship_package, small_frame, spread_join, written
 
 #: Fixed by the WARC standard.
 VERSION = "WARC/1.1"
@@ -124,6 +124,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000, file_bytes: int =
                    date: str = "1970-01-01T00:00:00Z") -> str:
     """Write all pages; returns the folder of the archives and their manifest."""
     spark = pages.sparkSession
+    ship_package(spark)
     folder = new_path(spark, "warc")
     sizes = pages.select(F.col("page_id").cast("long"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
     rows = sharded(deduplicated(pages, least_bytes), sizes, shard_bytes, 4 * partitions(spark))
@@ -223,5 +224,6 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, batch
                 if rows:
                     yield emit(PAGES, list(zip(*rows, strict=True)))
 
+    ship_package(spark)
     files = spark.read.parquet(f"{folder}/manifest").select("path")
     return files.repartition(partitions(spark)).mapInArrow(run, PAGES_DDL)
