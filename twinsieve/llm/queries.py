@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import bpe, decontaminate, html, knn, langid, token_files, toxicity, warc
+from twinsieve.llm import bpe, decontaminate, html, knn, langid, simhash, token_files, toxicity, warc
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,9 @@ from p left join o on p.d = o.d and p.n = o.n
 def op6_html_extraction(spark, sf_dir):
     """Main texts of all pages."""
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_simhash(spark, sf_dir):
+    """Fingerprints and components of near copies of all documents."""
+    return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
