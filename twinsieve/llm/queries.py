@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsieve.llm import bpe, decontaminate, html, knn, langid, simhash, token_files, toxicity, warc
+from twinsieve.llm import bpe, decontaminate, html, knn, langid, simhash, suffix_dedup, token_files, toxicity, warc
 from twinsieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,24 @@ def op6_html_extraction(spark, sf_dir):
 def op9_simhash(spark, sf_dir):
     """Fingerprints and components of near copies of all documents."""
     return simhash.report(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    """What is kept of all documents without 50-byte strings that start in earlier ones."""
+    return suffix_dedup.report(suffix_dedup.removals(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op10_suffix_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select *, unnest(range(n - 49)) as i from d where n >= 50)),
+f as (select s, min(doc_id) as first from w group by s having min(doc_id) < max(doc_id)),
+gone as (select distinct w.doc_id, unnest(range(w.i, w.i + 50)) as p from w join f using (s) where w.doc_id > f.first),
+cut as (select doc_id, count(*) as n_removed, count(*) filter (where new) as n_spans, list(p) as ps from (select *,
+  coalesce(p - lag(p) over (partition by doc_id order by p) > 1, true) as new from gone) group by doc_id),
+kept as (select d.doc_id, string_agg(substr(h, 2 * i + 1, 2), '' order by i) as h from (select *, unnest(range(n)) as i from d) d
+  left join gone g on g.doc_id = d.doc_id and g.p = d.i where g.p is null group by d.doc_id)
+select d.doc_id, cast(d.n as bigint) as n_bytes, coalesce(c.n_removed, 0) as n_removed, coalesce(c.n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(k.h, ''))) as kept_sha256
+from d left join cut c using (doc_id) left join kept k using (doc_id)
+"""
