@@ -479,11 +479,12 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
-                     ("decoded_sha256", pa.string())])
+                     ("decoded_sha256", pa.string()), ("ids", pa.binary())])
+DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary"
 
 
-def round_trip(documents: DataFrame, vocabulary_path: str, lexicon_uri: str) -> DataFrame:
-    """Digests of each text's ids and of the text decoded from them, without shipping either."""
+def round_trip(documents: DataFrame, vocabulary_path: str, lexicon_uri: str, ids_too: bool = False) -> DataFrame:
+    """Digests of each text's ids and of the text decoded from them; with the ids if they are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(vocabulary_path, lexicon_uri)
@@ -498,8 +499,9 @@ def round_trip(documents: DataFrame, vocabulary_path: str, lexicon_uri: str) ->
                         digest.update(data)
                     decoded.append(digest.hexdigest())
                 yield emit(DIGESTS, [part.column(0), [len(c) // 4 for c in coded],
-                                     [hashlib.sha256(c).hexdigest() for c in coded], decoded])
+                                     [hashlib.sha256(c).hexdigest() for c in coded], decoded,
+                                     coded if ids_too else [None] * len(coded)])
 
     ship_package(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS_DDL)
+    return rows if ids_too else rows.drop("ids")

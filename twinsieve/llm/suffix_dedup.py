@@ -443,3 +443,26 @@ def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False
 
 def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with repeated byte strings cut from their texts; all rows stay.
+
+    For tables with one row per id, as near-duplicate removal leaves them; rows without an id stay whole.
+    What a cut leaves of a character is dropped. A null text stays null.
+    """
+    kept = removals(documents, length, True).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept_id"), "kept")
+    ship_package(documents.sparkSession)
+
+    @F.pandas_udf("string")
+    def decoded(series):
+        return series.map(lambda b: b.decode("utf-8", "ignore"))
+
+    named = documents.where(F.col("doc_id").isNotNull())
+    rest = [F.col(c) for c in documents.columns if c not in ("text", "n_chars")]
+    own = named.select(*rest, F.col("text").isNull().alias("_null")).join(kept, F.col("doc_id") == F.col("_kept_id"))
+    text = F.when(~F.col("_null"), decoded("kept"))
+    cut = own.withColumn("text", text).drop("_null", "_kept_id", "kept")
+    if "n_chars" in documents.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
+    return cut.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
