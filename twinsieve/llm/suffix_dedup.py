@@ -2,7 +2,8 @@
 
 Every window of ``length`` bytes whose string starts in a document with a smaller doc_id too is removed,
 with all its bytes. Equal windows have equal smallest hashes of the short strings in them, so that hash
-decides where they meet. In four steps, each a Spark exchange of packed arrays:
+decides where they meet. A whole text that an earlier document has too is removed by its digest; the other
+texts go through four steps, each a Spark exchange of packed arrays:
 
 1. Documents are cut into runs of windows with one smallest hash, and the hashes that more than one
    document has are found. All other windows are unique and go no further.
@@ -34,13 +35,13 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, pack, partitions, pieces, unpack
 from twinsieve.llm.suffix_array import permuted_common_prefixes, suffix_array, words_at
-from twinsieve.session import ship_package, written
+from twinsieve.session import ship_package, spread_join, written
 
 LENGTH = 50
 GRAM = 16  # bytes of the strings whose smallest hash places a window
 PIECE = 3 << 20  # bytes of text that a step holds at once
 SHARD_BYTES = 3 << 20  # text per shard, if a third of all text is repeated
-FREQUENT = 400  # documents from which a hash is frequent, or more if there could be over
+FREQUENT = 4000  # documents from which a hash is frequent (a quarter of a megabyte), or more if there could be over
 FREQUENT_KEYS = 1_000_000  # such hashes, whose list is broadcast
 KEY_BITS = 40
 #: Fixed odd multipliers of the hash.
@@ -365,7 +366,7 @@ KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Iterator[pa.RecordBatch]:
     """Ranges and texts of a group of documents to what is kept of each."""
     ranges: list[np.ndarray] = []
     now = None
@@ -394,6 +395,9 @@ def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool) -> Iterator[pa.Reco
                     begin, end = np.repeat(begin, times), np.repeat(end, times)
                     np.add.at(cover, starts[row] + begin, 1)
                     np.add.at(cover, starts[row] + end, -1)
+                copies = np.array([d is not None for d in part.column("data").to_pylist()]) & (sizes >= length)
+                cover[starts[copies]] += 1
+                np.add.at(cover, ends[copies], -1)
                 gone = np.cumsum(cover[:-1]) > 0
                 raw = np.frombuffer(b"".join(found), np.uint8)
                 opens = gone.copy()
@@ -413,27 +417,41 @@ def _exchange(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "place").sortWithinPartitions("place", "kind", "doc_id")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """doc_id and digest of the rows whose digest an earlier row has."""
+    repeated = written(rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+                       .where(F.col("n") > 1), "digests")
+    both = spread_join(rows, repeated, ["digest"], "inner", "n", ["doc_id"], 100_000)
+    return both.where(F.col("doc_id") > F.col("first")).select("doc_id", "digest").distinct()
+
+
 def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False) -> DataFrame:
     """What is kept of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, if wanted)."""
     spark = documents.sparkSession
     ship_package(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.encode("text", "utf-8").alias("text"))
-    named = rows.where(F.col("doc_id").isNotNull())
+    named = rows.where(F.col("doc_id").isNotNull()).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit(b"")), 256)))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Texts of runs overlap: they are about four times the repeated text.
     shards = max(partitions(spark), -(-size * 4 // (3 * SHARD_BYTES)))
     groups = max(partitions(spark), -(-size // (16 << 20)))
-    # An id that is the same for rows of unlike texts makes them one document; see the docstring.
-    text = named.select(F.lit(TEXT).alias("kind"), F.pmod("doc_id", F.lit(groups)).alias("place"), "doc_id", "text", F.lit(None).cast("binary").alias("data"))
-    counted = named.mapInArrow(lambda b: _count(b, shards, groups, length), PACKED_DDL)
+    copies = written(_copies(named.select("doc_id", "digest")), "copies")
+    single = named.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
+    none = F.lit(None).cast("binary")
+
+    def text(of: DataFrame, data: F.Column) -> DataFrame:
+        return of.select(F.lit(TEXT).alias("kind"), F.pmod("doc_id", F.lit(groups)).alias("place"), "doc_id", "text", data.alias("data"))
+
+    counted = single.mapInArrow(lambda b: _count(b, shards, groups, length), PACKED_DDL)
     least = max(FREQUENT, size // (16 * FREQUENT_KEYS))  # a run has more than 16 new bytes on average
     wanted = written(_exchange(counted).mapInArrow(lambda b: _repeated(b, groups, least), PACKED_DDL), "wanted")
     hot = [np.empty(0, np.int64)] + [_unpacked(r["data"], 1)[0] for r in wanted.where(F.col("kind") == HOT).select("data").collect()]
     shared = spark.sparkContext.broadcast(np.sort(np.concatenate(hot)).astype(np.uint64))
-    asked = wanted.where(F.col("kind") == WANTED).unionByName(text)
-    sent = written(_exchange(asked).mapInArrow(lambda b: _select(b, shards, groups, length, shared.value), PACKED_DDL), "segments")
+    asked = wanted.where(F.col("kind") == WANTED).unionByName(text(single, none))
+    sent = _exchange(asked).mapInArrow(lambda b: _select(b, shards, groups, length, shared.value), PACKED_DDL)
     removed = _exchange(sent).mapInArrow(lambda b: _suffixes(b, groups, length), PACKED_DDL)
-    cut = _exchange(removed.unionByName(text)).mapInArrow(lambda b: _cut(b, texts_too), KEPT_DDL)
+    marked = named.join(copies.withColumn("copy", F.lit(b"1")), ["doc_id", "digest"], "left")
+    cut = _exchange(removed.unionByName(text(marked, F.col("copy")))).mapInArrow(lambda b: _cut(b, texts_too, length), KEPT_DDL)
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"),
