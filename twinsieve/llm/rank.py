@@ -7,7 +7,7 @@ import numpy as np
 
 def dense_ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The order of the keys, the dense rank of each (from 1), and the number of ranks."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_keys = keys[order]
     fresh = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))
     ranks = np.empty(len(keys), np.int64)

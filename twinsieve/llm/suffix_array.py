@@ -97,9 +97,9 @@ def suffix_array(s: np.ndarray, width: int, depth: int) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     small = _types(s)
-    leftmost = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    leftmost = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32 if n < 1 << 31 else np.int64)
     if not len(leftmost):
-        leftmost = np.array([n - 1])
+        leftmost = np.array([n - 1], leftmost.dtype)
     if len(leftmost) == 1:
         return _induce(s, small, width, leftmost)
     is_leftmost = np.zeros(n, bool)

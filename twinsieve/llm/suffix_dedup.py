@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, pack, partitions, pieces, unpack
 from twinsieve.llm.suffix_array import permuted_common_prefixes, suffix_array, words_at
-from twinsieve.session import ship_package, spread_join, written
+from twinsieve.session import broadcast_if_small, ship_package, spread_join, written
 
 LENGTH = 50
 GRAM = 16  # bytes of the strings whose smallest hash places a window
@@ -49,7 +49,7 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 
 PACKED = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("data", pa.binary())])
 PACKED_DDL = "kind int, place long, doc_id long, text binary, data binary"
-COUNTS, WANTED, HOT, SEGMENTS, REMOVED, TEXT = range(6)
+COUNTS, WANTED, HOT, COPY, SEGMENTS, REMOVED, TEXT = range(7)
 HEAD = Struct("<QQ")
 
 
@@ -192,6 +192,20 @@ def _repeated(batches: Iterator[pa.RecordBatch], groups: int, frequent: int) ->
 
 # --- step 2: texts of repeated runs ----------------------------------------------------------
 
+def _named(rows: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """doc_id and digest of rows."""
+    for r in rows:
+        yield from zip(r.column("doc_id").to_pylist(), r.column("data").to_pylist(), strict=True)
+
+
+def _are_copies(batch: pa.RecordBatch, copies: set[tuple]) -> np.ndarray:
+    return np.fromiter((x in copies for x in _named([batch])), bool, batch.num_rows)
+
+
+def _without(batch: pa.RecordBatch, copies: set[tuple]) -> pa.RecordBatch:
+    return batch.filter(pa.array(~_are_copies(batch, copies))) if copies else batch
+
+
 class _Outbox:
     """Texts for shards, each with its smallest doc_id and places there, and ranges removed at once."""
 
@@ -228,21 +242,21 @@ class _Outbox:
         number, at = np.array(self.uses, np.int64).T
         order = np.argsort(number, kind="stable")
         number, at = number[order], at[order]
-        begins = np.searchsorted(number, np.arange(len(self.texts) + 1))
+        counts = np.bincount(number, minlength=len(self.texts))
+        begins = np.cumsum(counts) - counts
+        sizes, docs = np.array([len(t) for t in self.texts]), np.array(self.docs, np.int64)
         order = np.argsort(places, kind="stable")
         cuts = np.flatnonzero(np.diff(places[order])) + 1
+        rows = []
         for own in np.split(order, cuts):
-            yield self._row(int(places[own[0]]), own, begins, at)
-
-    def _row(self, place: int, own: np.ndarray, begins: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        picked = [self.texts[i] for i in own]
-        sizes = np.array([len(t) for t in picked])
-        counts = begins[own + 1] - begins[own]
-        uses = np.concatenate([at[begins[i]:begins[i + 1]] for i in own])
-        numbers = np.concatenate((sizes, np.array(self.docs, np.int64)[own], counts, uses))
-        data = HEAD.pack(len(own), len(uses)) + pack(np.concatenate((
-            numbers.astype(np.int64).view(np.uint8), np.frombuffer(b"".join(picked), np.uint8))))
-        return emit(PACKED, [[SEGMENTS], [place], [None], [None], [data]])
+            times = counts[own]
+            stops = np.cumsum(times)
+            uses = at[np.repeat(begins[own] - (stops - times), times) + np.arange(stops[-1])]
+            numbers = np.concatenate((sizes[own], docs[own], times, uses)).astype(np.int64)
+            plain = numbers.tobytes() + b"".join([self.texts[i] for i in own])
+            rows.append((int(places[own[0]]), HEAD.pack(len(own), len(uses)) + pack(np.frombuffer(plain, np.uint8))))
+        n = len(rows)
+        yield emit(PACKED, [[SEGMENTS] * n, [p for p, _ in rows], [None] * n, [None] * n, [d for _, d in rows]])
 
 
 def _windows_of(text: bytes, doc_id: int, at: int, box: _Outbox, length: int) -> None:
@@ -256,10 +270,14 @@ def _windows_of(text: bytes, doc_id: int, at: int, box: _Outbox, length: int) ->
 def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Wanted hashes and texts of a group of documents to the texts of the wanted runs."""
     wanted: list[np.ndarray] = []
+    copies: set[tuple] = set()
     now = None
     for place, kind, rows in _places(batches):
         if place != now:
-            wanted, now = [], place
+            wanted, copies, now = [], set(), place
+        if kind == COPY:
+            copies.update(_named(rows))
+            continue
         if kind == WANTED:
             docs, keys = _joined(_blobs(rows), 2)
             order = np.argsort(docs, kind="stable")
@@ -268,7 +286,7 @@ def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
         if not len(wanted):
             continue
         for batch in rows:
-            for part in pieces(batch, "text", PIECE):
+            for part in pieces(_without(batch, copies), "text", PIECE):
                 ids = part.column("doc_id").to_numpy().astype(np.int64)
                 low, high = np.searchsorted(wanted[0], [ids.min(), ids.max() + 1])
                 docs, keys = wanted[0][low:high], wanted[1][low:high]
@@ -369,10 +387,14 @@ KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Iterator[pa.RecordBatch]:
     """Ranges and texts of a group of documents to what is kept of each."""
     ranges: list[np.ndarray] = []
+    known: set[tuple] = set()
     now = None
     for place, kind, rows in _places(batches):
         if place != now:
-            ranges, now = [], place
+            ranges, known, now = [], set(), place
+        if kind == COPY:
+            known.update(_named(rows))
+            continue
         if kind == REMOVED:
             docs, begin, end = _joined(_blobs(rows), 3)
             order = np.argsort(docs, kind="stable")
@@ -395,7 +417,7 @@ def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Ite
                     begin, end = np.repeat(begin, times), np.repeat(end, times)
                     np.add.at(cover, starts[row] + begin, 1)
                     np.add.at(cover, starts[row] + end, -1)
-                copies = np.array([d is not None for d in part.column("data").to_pylist()]) & (sizes >= length)
+                copies = _are_copies(part, known) & (sizes >= length)
                 cover[starts[copies]] += 1
                 np.add.at(cover, ends[copies], -1)
                 gone = np.cumsum(cover[:-1]) > 0
@@ -436,22 +458,22 @@ def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False
     shards = max(partitions(spark), -(-size * 4 // (3 * SHARD_BYTES)))
     groups = max(partitions(spark), -(-size // (16 << 20)))
     copies = written(_copies(named.select("doc_id", "digest")), "copies")
-    single = named.join(copies, ["doc_id", "digest"], "left_anti").select("doc_id", "text")
-    none = F.lit(None).cast("binary")
-
-    def text(of: DataFrame, data: F.Column) -> DataFrame:
-        return of.select(F.lit(TEXT).alias("kind"), F.pmod("doc_id", F.lit(groups)).alias("place"), "doc_id", "text", data.alias("data"))
+    # Where the list of copies is counted to be short it is broadcast; else texts are shuffled once more.
+    single = named.join(broadcast_if_small(copies), ["doc_id", "digest"], "left_anti").select("doc_id", "text")
+    place, none = F.pmod("doc_id", F.lit(groups)).alias("place"), F.lit(None).cast("binary")
+    text = named.select(F.lit(TEXT).alias("kind"), place, "doc_id", "text", F.col("digest").alias("data"))
+    copied = copies.select(F.lit(COPY).alias("kind"), place, "doc_id", none.alias("text"), F.col("digest").alias("data"))
+    text = copied.unionByName(text)
 
     counted = single.mapInArrow(lambda b: _count(b, shards, groups, length), PACKED_DDL)
     least = max(FREQUENT, size // (16 * FREQUENT_KEYS))  # a run has more than 16 new bytes on average
     wanted = written(_exchange(counted).mapInArrow(lambda b: _repeated(b, groups, least), PACKED_DDL), "wanted")
     hot = [np.empty(0, np.int64)] + [_unpacked(r["data"], 1)[0] for r in wanted.where(F.col("kind") == HOT).select("data").collect()]
     shared = spark.sparkContext.broadcast(np.sort(np.concatenate(hot)).astype(np.uint64))
-    asked = wanted.where(F.col("kind") == WANTED).unionByName(text(single, none))
+    asked = wanted.where(F.col("kind") == WANTED).unionByName(text)
     sent = _exchange(asked).mapInArrow(lambda b: _select(b, shards, groups, length, shared.value), PACKED_DDL)
     removed = _exchange(sent).mapInArrow(lambda b: _suffixes(b, groups, length), PACKED_DDL)
-    marked = named.join(copies.withColumn("copy", F.lit(b"1")), ["doc_id", "digest"], "left")
-    cut = _exchange(removed.unionByName(text(marked, F.col("copy")))).mapInArrow(lambda b: _cut(b, texts_too, length), KEPT_DDL)
+    cut = _exchange(removed.unionByName(text)).mapInArrow(lambda b: _cut(b, texts_too, length), KEPT_DDL)
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"),
