@@ -293,7 +293,7 @@ def linked(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (fp) within ``distance`` bits."""
     count = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
-    chosen = plan(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), count, distance)
+    chosen = plan(np.array([r["fp"] for r in sample] or [0], np.int64).view(np.uint64), count, distance)
     keys = ["part", "value", "k", "v"]
     places = _split_hot(_places(distinct, chosen), chosen, distance)
     placed = places.repartition(partitions(distinct.sparkSession), *keys).sortWithinPartitions(*keys)

@@ -198,6 +198,11 @@ def _named(rows: list[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(r.column("doc_id").to_pylist(), r.column("data").to_pylist(), strict=True)
 
 
+def _marks(batch: pa.RecordBatch) -> np.ndarray:
+    """The first bytes of the rows' digests, which tell rows of one id apart."""
+    return np.frombuffer(b"".join([d[:8] for d in batch.column("data").to_pylist()]), "<i8")
+
+
 def _are_copies(batch: pa.RecordBatch, copies: set[tuple]) -> np.ndarray:
     return np.fromiter((x in copies for x in _named([batch])), bool, batch.num_rows)
 
@@ -215,10 +220,10 @@ class _Outbox:
         self.texts: list[bytes] = []
         self.keys: list[int] = []
         self.docs: list[int] = []
-        self.uses: list[tuple[int, int]] = []  # number of a text, place in its document
-        self.removed: list[tuple[int, int, int]] = []
+        self.uses: list[tuple[int, int, int]] = []  # number of a text, place in its row, mark of the row
+        self.removed: list[tuple[int, int, int, int]] = []
 
-    def add(self, text: bytes, key: int, doc_id: int, at: int) -> bool:
+    def add(self, text: bytes, key: int, doc_id: int, at: int, mark: int) -> bool:
         """Whether the text is new or of the same document; else it is removed."""
         known = self.seen.get(text)
         if known is None:
@@ -227,21 +232,21 @@ class _Outbox:
             self.keys.append(key)
             self.docs.append(doc_id)
         elif known[0] != doc_id:
-            self.removed.append((doc_id, at, at + len(text)))
+            self.removed.append((doc_id, mark, at, at + len(text)))
             return False
-        self.uses.append((known[1], at))
+        self.uses.append((known[1], at, mark))
         return True
 
     def batches(self, groups: int) -> Iterator[pa.RecordBatch]:
         if self.removed:
-            docs, begin, end = np.array(self.removed, np.int64).T
-            yield from _dealt(REMOVED, docs % groups, docs, begin, end)
+            docs, *rest = np.array(self.removed, np.int64).T
+            yield from _dealt(REMOVED, docs % groups, docs, *rest)
         if not self.texts:
             return
         places = np.array([k % self.shards for k in self.keys], np.int64)
-        number, at = np.array(self.uses, np.int64).T
+        number, at, mark = np.array(self.uses, np.int64).T
         order = np.argsort(number, kind="stable")
-        number, at = number[order], at[order]
+        number, at, mark = number[order], at[order], mark[order]
         counts = np.bincount(number, minlength=len(self.texts))
         begins = np.cumsum(counts) - counts
         sizes, docs = np.array([len(t) for t in self.texts]), np.array(self.docs, np.int64)
@@ -251,20 +256,20 @@ class _Outbox:
         for own in np.split(order, cuts):
             times = counts[own]
             stops = np.cumsum(times)
-            uses = at[np.repeat(begins[own] - (stops - times), times) + np.arange(stops[-1])]
-            numbers = np.concatenate((sizes[own], docs[own], times, uses)).astype(np.int64)
+            uses = np.repeat(begins[own] - (stops - times), times) + np.arange(stops[-1])
+            numbers = np.concatenate((sizes[own], docs[own], times, at[uses], mark[uses])).astype(np.int64)
             plain = numbers.tobytes() + b"".join([self.texts[i] for i in own])
             rows.append((int(places[own[0]]), HEAD.pack(len(own), len(uses)) + pack(np.frombuffer(plain, np.uint8))))
         n = len(rows)
         yield emit(PACKED, [[SEGMENTS] * n, [p for p, _ in rows], [None] * n, [None] * n, [d for _, d in rows]])
 
 
-def _windows_of(text: bytes, doc_id: int, at: int, box: _Outbox, length: int) -> None:
+def _windows_of(text: bytes, doc_id: int, at: int, mark: int, box: _Outbox, length: int) -> None:
     from xxhash import xxh64_intdigest
 
     for i in range(len(text) - length + 1):
         window = text[i:i + length]
-        box.add(window, xxh64_intdigest(window) >> 24, doc_id, at + i)
+        box.add(window, xxh64_intdigest(window) >> 24, doc_id, at + i, mark)
 
 
 def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -306,14 +311,15 @@ def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
                 box = _Outbox(shards)
                 text, home = runs.text, runs.starts[runs.owner[picked]]
                 # Ids ascend in a group, so the first document with a text is the smallest.
-                for doc_id, a, b, start, key, often in zip(
-                        ids[runs.owner[picked]].tolist(), runs.first[picked].tolist(), (runs.last[picked] + length).tolist(),
+                marks = _marks(part)
+                for doc_id, mark, a, b, start, key, often in zip(
+                        ids[runs.owner[picked]].tolist(), marks[runs.owner[picked]].tolist(), runs.first[picked].tolist(), (runs.last[picked] + length).tolist(),
                         home.tolist(), runs.keys[picked].tolist(), hot.tolist(), strict=True):
                     run = text[a:b]
                     if not often:
-                        box.add(run, key, doc_id, a - start)
+                        box.add(run, key, doc_id, a - start, mark)
                     else:
-                        _windows_of(run, doc_id, a - start, box, length)
+                        _windows_of(run, doc_id, a - start, mark, box, length)
                 yield from box.batches(groups)
 
 
@@ -325,17 +331,18 @@ def _suffixes(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> It
         if kind == REMOVED:
             yield from rows
             continue
-        sizes, docs, counts, uses, raw = [], [], [], [], []
+        sizes, docs, counts, uses, marks, raw = [], [], [], [], [], []
         for data in _blobs(rows):
             n, m = HEAD.unpack_from(data)
             plain = unpack(data[HEAD.size:])
-            numbers = np.frombuffer(plain, np.int64, 3 * n + m)
+            numbers = np.frombuffer(plain, np.int64, 3 * n + 2 * m)
             sizes.append(numbers[:n])
             docs.append(numbers[n:2 * n])
             counts.append(numbers[2 * n:3 * n])
-            uses.append(numbers[3 * n:])
-            raw.append(np.frombuffer(plain, np.uint8, offset=8 * (3 * n + m)))
-        sizes, docs, counts, uses = (np.concatenate(x) for x in (sizes, docs, counts, uses))
+            uses.append(numbers[3 * n:3 * n + m])
+            marks.append(numbers[3 * n + m:])
+            raw.append(np.frombuffer(plain, np.uint8, offset=8 * (3 * n + 2 * m)))
+        sizes, docs, counts, uses, marks = (np.concatenate(x) for x in (sizes, docs, counts, uses, marks))
         symbols = np.concatenate(raw)
         del raw
         # Texts end with a symbol below all bytes, the whole with one below that.
@@ -372,9 +379,10 @@ def _suffixes(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> It
         stops = np.cumsum(times)
         if not len(stops):
             continue
-        use = uses[np.repeat(firsts - (stops - times), times) + np.arange(stops[-1])]
+        every = np.repeat(firsts - (stops - times), times) + np.arange(stops[-1])
+        use = uses[every]
         doc = np.repeat(docs[home], times)
-        yield from _dealt(REMOVED, doc % groups, doc, use + np.repeat(begin - starts[home], times), use + np.repeat(end - starts[home], times))
+        yield from _dealt(REMOVED, doc % groups, doc, marks[every], use + np.repeat(begin - starts[home], times), use + np.repeat(end - starts[home], times))
 
 
 # --- step 4: documents without the removed ranges ---------------------------------------------
@@ -396,9 +404,9 @@ def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Ite
             known.update(_named(rows))
             continue
         if kind == REMOVED:
-            docs, begin, end = _joined(_blobs(rows), 3)
-            order = np.argsort(docs, kind="stable")
-            ranges = [docs[order], begin[order], end[order]]
+            columns = _joined(_blobs(rows), 4)
+            order = np.argsort(columns[0], kind="stable")
+            ranges = [c[order] for c in columns]  # id, mark, begin, end
             continue
         for batch in rows:
             for part in pieces(batch, "text", PIECE):
@@ -410,11 +418,12 @@ def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Ite
                 cover = np.zeros(ends[-1] + 1, np.int64)
                 if len(ranges):
                     low, high = np.searchsorted(ranges[0], [ids.min(), ids.max() + 1])
-                    docs, begin, end = (r[low:high] for r in ranges)
+                    docs, mark, begin, end = (r[low:high] for r in ranges)
                     a, b = np.searchsorted(ids, docs, "left"), np.searchsorted(ids, docs, "right")
-                    times = b - a  # rows of one id each get its ranges; a range beyond a row's text is another row's
+                    times = b - a  # several rows may have one id: the mark tells whose range it is
                     row = np.repeat(a - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                    begin, end = np.repeat(begin, times), np.repeat(end, times)
+                    own = _marks(part)[row] == np.repeat(mark, times)
+                    row, begin, end = row[own], np.repeat(begin, times)[own], np.repeat(end, times)[own]
                     np.add.at(cover, starts[row] + begin, 1)
                     np.add.at(cover, starts[row] + end, -1)
                 copies = _are_copies(part, known) & (sizes >= length)
