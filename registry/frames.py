@@ -44,6 +44,17 @@ def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of files: a folder of part files, or the one file. A missing table fails."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The volumes of documents, pages and conversations."""
     sources = table(spark, sf_dir, "documents").select("source").distinct()

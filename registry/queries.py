@@ -86,10 +86,14 @@ def dup_nested(spark, sf):
     members = groups.group_members(
         _stored_documents(spark, sf), X.volumes(spark, sf), HASH_TYPE_FULL, None
     )
-    nested = groups.nested_groups(members)
-    return nested.select(
-        "hash_value", "file_count", F.posexplode("members").alias("position", "member")
-    ).select("hash_value", "file_count", "position", "member.file_id", "member.path")
+    return unfolded(groups.nested_groups(members), 10_000)
+
+
+def unfolded(nested: DataFrame, page_rows: int) -> DataFrame:
+    """A row per member of nested groups, with its place in the whole group."""
+    rows = nested.select("hash_value", "file_count", "page", F.posexplode("members").alias("at", "member"))
+    position = (F.col("page") * page_rows + F.col("at")).cast("int").alias("position")
+    return rows.select("hash_value", "file_count", position, "member.file_id", "member.path")
 
 
 @query
@@ -549,11 +553,7 @@ def stream_apply(spark, sf):
     ids = [r.id for r in volumes.select("id").collect()]
     start = X.prior_feed_state(spark, sf)
     index.commit(index.begin_run(ids), ids, start, volumes)
-    events = (
-        spark.readStream.schema(X.table(spark, sf, "events").schema)
-        .option("pathGlobFilter", "events.parquet").parquet(sf)
-    )
-    feed = feeds.start_feed(X.as_changes(events), index, new_path(spark, "checkpoint"))
+    feed = feeds.start_feed(X.as_changes(X.streamed(spark, sf, "events")), index, new_path(spark, "checkpoint"))
     feed.awaitTermination()
     return index.files().select(*FILE_COLUMNS)
 

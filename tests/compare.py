@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections import Counter
 
 import duckdb
@@ -13,10 +14,13 @@ TABLES = (
 ).split()
 
 
-def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+def connect(sf_dir: str, parts: bool = False) -> duckdb.DuckDBPyConnection:
+    """The tables as views; with ``parts``, those that are there as folders of part files."""
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"create view {name} as select * from read_parquet('{sf_dir}/{name}.parquet')")
+        path = f"{sf_dir}/{name}.parquet"
+        if not parts or os.path.exists(path):
+            con.execute(f"create view {name} as select * from read_parquet('{path + '/*.parquet' if parts else path}')")
     return con
 
 
@@ -35,11 +39,11 @@ KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "
          "DOUBLE": "double"}
 
 
-def differences(spark, sf_dir: str, name: str, query, sql: str) -> list[str]:
+def differences(spark, sf_dir: str, name: str, query, sql: str, parts: bool = False) -> list[str]:
     """What differs between both engines; empty when they agree."""
     out = []
     df = query(spark, sf_dir)
-    found = connect(sf_dir).execute(sql)
+    found = connect(sf_dir, parts).execute(sql)
     names = [d[0] for d in found.description]
     kinds = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in found.description}
     if sorted(names) != sorted(df.columns):

@@ -219,8 +219,9 @@ def test_the_funnel_compares_volumes_and_keeps_what_it_knows(spark, tmp_path):
         index.hash("funnel", [0])
 
 
-def test_block_hashing(spark, tmp_path):
-    """Files above the block size: the hash of the block hashes, whatever the cut."""
+def test_file_hashes(spark, tmp_path, monkeypatch):
+    """The full hash is that of all bytes, also for files that get tasks of their own."""
+    monkeypatch.setattr("twinsieve.sources.content.TASK_BYTES", 1000)
     root = str(tmp_path) + "/"
     data = os.urandom(2500)
     for name in ("one", "two"):
@@ -230,9 +231,8 @@ def test_block_hashing(spark, tmp_path):
     rows = [(i, 1, root + n, os.path.getsize(root + n)) for i, n in enumerate(["one", "two", "other", "small"])]
     rows.append((9, 1, root + "missing", 2500))
     files = spark.createDataFrame(rows, "file_id long, volume_id long, path string, size long")
-    out = {r.file_id: r for r in file_hashes(files, n=100, block_bytes=1000).collect()}
-    parts = "".join(hashlib.sha256(data[i:i + 1000]).hexdigest() for i in (0, 1000, 2000))
-    assert out[0].full_hash == out[1].full_hash == hashlib.sha256(parts.encode()).hexdigest()
+    out = {r.file_id: r for r in file_hashes(files, n=100).collect()}
+    assert out[0].full_hash == out[1].full_hash == hashlib.sha256(data).hexdigest()
     assert out[2].full_hash != out[0].full_hash
     assert out[3].full_hash == hashlib.sha256(data[:900]).hexdigest()
     assert {out[i].partial_hash for i in range(4)} == {hashlib.sha256(data[:100]).hexdigest()}

@@ -47,8 +47,14 @@ def extension(filename: Column) -> Column:
 
 
 def epoch_seconds(timestamp: Column) -> Column:
-    """Whole seconds since 1970, 0 for earlier times, NULL when missing."""
-    seconds = F.unix_seconds(timestamp.cast("timestamp"))
+    """Whole seconds since 1970, 0 for earlier times, NULL when missing.
+
+    A timestamp without a zone counts as UTC, whatever the session's zone.
+    """
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    zoneless = F.timestamp_diff("SECOND", start, timestamp.cast("timestamp_ntz"))
+    zoned = F.unix_seconds(timestamp.cast("timestamp"))
+    seconds = F.when(F.typeof(timestamp) == "timestamp_ntz", zoneless).otherwise(zoned)
     return F.when(timestamp.isNotNull(), F.greatest(seconds, F.lit(0).cast("long")))
 
 

@@ -14,7 +14,6 @@ from twinsieve.schema import (
     ATTRIBUTE_SYSTEM,
     REASON_BAD_KEY,
     SKIPPED_DIRECTORIES,
-    STATUS_FULL,
     ScanOptions,
 )
 
@@ -79,11 +78,6 @@ def in_volume(df: DataFrame, volume_id: int | None) -> DataFrame:
     return df if volume_id is None else df.where(F.col("volume_id") == volume_id)
 
 
-def hashed_at_least(files: DataFrame, status: int = STATUS_FULL) -> DataFrame:
-    """F10."""
-    return files.where(F.col("hash_status") >= status)
-
-
 def split_ignored(entries: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
     """Usable entries, and rows for the ``ignored`` table.
 

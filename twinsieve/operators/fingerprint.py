@@ -10,7 +10,7 @@ from twinsieve.operators.filters import alive
 from twinsieve.operators.groups import prefix_survivors, size_survivors
 from twinsieve.schema import PREFIX_BYTES, STATUS_FULL
 from twinsieve.session import broadcast_if_small, written
-from twinsieve.sources.content import BLOCK_BYTES, file_hashes, prefix_hashes
+from twinsieve.sources.content import file_hashes, prefix_hashes
 
 
 def fingerprint(
@@ -19,7 +19,6 @@ def fingerprint(
     mode: str = "eager",
     volume_ids: list[int] | None = None,
     n: int = PREFIX_BYTES,
-    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(file_id, volume_id, partial_hash, full_hash, error) of the backlog.
 
@@ -49,7 +48,7 @@ def fingerprint(
         work = backlog.join(names, "volume_id").select(
             "file_id", "volume_id", path.alias("path"), "size"
         )
-        return written(file_hashes(work, n, block_bytes), "hashes")
+        return written(file_hashes(work, n), "hashes")
 
     columns = ["file_id", "volume_id", "path_rel", "size", "partial_hash", "hash_status", "is_deleted"]
     same_size = written(size_survivors(files.select(*columns)), "same-size")
@@ -63,7 +62,7 @@ def fingerprint(
         {"todo": F.lit(True), "sampled": F.lit(True)}
     )
     matched = written(prefix_survivors(known.unionByName(sampled)).where("todo"), "same-prefix")
-    fulls = written(file_hashes(matched.where(F.col("size") > n), n, block_bytes), "fulls")
+    fulls = written(file_hashes(matched.where(F.col("size") > n), n), "fulls")
     results = prefixes.select("file_id", "volume_id", "size", "partial_hash", "error").unionByName(
         matched.where("not sampled").select(
             "file_id", "volume_id", "size", "partial_hash", F.lit(None).cast("string").alias("error")

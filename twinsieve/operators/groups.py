@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from twinsieve.functions.paths import absolute_path, hex_lower
 from twinsieve.operators.filters import alive, in_volume
 from twinsieve.schema import DEFAULT_GROUP_LIMIT, HASH_TYPE_FULL, HASH_TYPE_PREFIX
-from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, spread_join
+from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, spread_join, written
 
 HASH_COLUMNS = {HASH_TYPE_FULL: "full_hash", HASH_TYPE_PREFIX: "partial_hash"}
 
@@ -74,9 +75,14 @@ def _members(
     groups = groups.withColumn("hash", F.unhex("hash_value"))
     bounded = limit is not None and limit <= BROADCAST_ROWS
     if scope == "hash":
-        if not bounded:
-            raise ValueError("members_scope='hash' needs a group limit")
-        return rows.join(F.broadcast(groups), "hash").drop("hash")
+        if bounded:
+            return rows.join(F.broadcast(groups), "hash").drop("hash")
+        # One row per hash, with its groups: as many as sizes share the hash.
+        own = groups.groupBy("hash").agg(F.collect_list(F.struct(*[c for c in groups.columns if c != "hash"])).alias("own"))
+        keyed = own.join(rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")), "hash")
+        joined = spread_join(rows, keyed, ["hash"], "inner", "n", ["volume_id", "path_rel"])
+        return joined.withColumn("own", F.explode("own")).select(
+            *[c for c in rows.columns if c != "hash"], "own.*")
     same = rows.withColumnRenamed("member_size", "size")
     if bounded:
         joined = same.join(F.broadcast(groups), ["size", "hash"])
@@ -119,16 +125,28 @@ def ordered_members(members: DataFrame) -> DataFrame:
 def nested_groups(members: DataFrame, page_rows: int = 10_000) -> DataFrame:
     """D3 nested: an array of (path_rel, file_id, path) per group, ordered by path.
 
-    A group of up to ``page_rows`` members is one row. A larger one is cut by
-    a hash of the path into as many rows as it needs, so that no array grows
-    with the group; ``page`` tells them apart and every member is in one.
+    A group of up to ``page_rows`` members is one row. A larger one has a row for each
+    ``page_rows`` members in order, so that no array grows with the group: page p holds the
+    members from place p * page_rows on.
     """
-    pages = F.ceil(F.col("file_count") / F.lit(page_rows))
-    page = F.pmod(F.xxhash64("path_rel", "file_id"), pages).cast("int")
+    keys = ["hash_type", "hash_value", "size", "file_count", "total_size"]
     member = F.struct("path_rel", "file_id", "path")
+    large = F.col("file_count") > page_rows
+    small = members.where(~large).withColumn("page", F.lit(0).cast("long"))
+    # Places in large groups: ranges of members, the members of earlier ranges, the place in the range.
+    group, order = ["hash_type", "hash_value", "size"], ["path_rel", "file_id"]
+    ranged = written(
+        members.where(large).repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_range")) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    placed = ranged.withColumn("_inside", inside).join(
+        broadcast_if_small(counts.withColumn("_before", before).drop("_n")), [*group, "_range"])
+    page = F.floor((F.col("_before") + F.col("_inside") - 1) / F.lit(page_rows)).cast("long")
+    paged = placed.withColumn("page", page).select(*small.columns)
     return (
-        members.withColumn("page", page)
-        .groupBy("hash_type", "hash_value", "size", "file_count", "total_size", "page")
+        small.unionByName(paged)
+        .groupBy(*keys, "page")
         .agg(F.sort_array(F.collect_list(member)).alias("members"))
     )
 

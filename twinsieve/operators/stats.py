@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.functions.paths import absolute_path
 from twinsieve.operators.filters import alive, in_volume
-from twinsieve.schema import BACKLOG_LIMIT, DEFAULT_GROUP_LIMIT, STATUS_FULL
+from twinsieve.schema import DEFAULT_GROUP_LIMIT, STATUS_FULL
 from twinsieve.session import broadcast_if_small
 
 
@@ -85,9 +85,9 @@ def hash_backlog(
     files: DataFrame,
     volumes: DataFrame,
     volume_id: int | None = None,
-    limit: int | None = BACKLOG_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Alive rows without a full hash, largest first."""
+    """Alive rows without a full hash; with a ``limit``, the largest ones."""
     names = volumes.select(F.col("id").alias("volume_id"), F.col("path").alias("volume"))
     todo = in_volume(alive(files), volume_id).where(F.col("hash_status") < STATUS_FULL)
     ranked = todo.select("file_id", "volume_id", "path_rel", "size")

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 PREFIX_BYTES = 4096            # length of the prefix fingerprint
 DEFAULT_GROUP_LIMIT = 50       # groups shown by a duplicate report
-BACKLOG_LIMIT = 100_000        # rows in one hash work list
 
 SKIPPED_DIRECTORIES = (
     "$recycle.bin",

@@ -1,10 +1,7 @@
 """Fingerprints of files on a mounted or remote file system (P7-P9 over paths).
 
-Each file is read once per stage, in chunks, by the task it was placed in.
-Files above ``block_bytes`` are hashed block by block in different tasks and
-get the hash of their block hashes, so that one huge file does not hold up a
-stage. Content columns cannot reach that size, hence both ways of hashing
-always agree.
+Each file is read once per stage, in chunks, by the task it was placed in. The full hash is the
+SHA-256 of all bytes for every size, as for content columns; very large files get tasks of their own.
 """
 
 from __future__ import annotations
@@ -20,18 +17,17 @@ from twinsieve.schema import PREFIX_BYTES
 from twinsieve.session import ship_package
 from twinsieve.sources.walker import _batches, reason_of, remote_file_system, spread
 
-BLOCK_BYTES = 2 * 1024**3      # the largest value a content column can hold
 TASK_BYTES = 1024**3           # aimed amount of reading per task
 _CHUNK = 1024 * 1024
 
-HASHES = "file_id long, volume_id long, block long, partial_hash string, full_hash string, error string"
+HASHES = "file_id long, volume_id long, partial_hash string, full_hash string, error string"
 PREFIXES = "file_id long, volume_id long, path string, size long, partial_hash string, error string"
 _PREFIXES_ARROW = pa.schema(
     [("file_id", pa.int64()), ("volume_id", pa.int64()), ("path", pa.string()), ("size", pa.int64())]
     + [(n, pa.string()) for n in ("partial_hash", "error")]
 )
 _HASHES_ARROW = pa.schema(
-    [("file_id", pa.int64()), ("volume_id", pa.int64()), ("block", pa.int64())]
+    [("file_id", pa.int64()), ("volume_id", pa.int64())]
     + [(n, pa.string()) for n in ("partial_hash", "full_hash", "error")]
 )
 
@@ -41,24 +37,18 @@ def _open(path: str):
     return remote[0].open_input_file(remote[1]) if remote else open(path, "rb")
 
 
-def _hash_range(path: str, offset: int, length: int | None, n: int, whole: bool):
-    """(prefix hash, hash of the range); None for what is empty or not asked for."""
+def _hashes(path: str, n: int, whole: bool):
+    """(prefix hash, full hash); None for what is empty or not asked for."""
     with _open(path) as data:
-        data.seek(offset)
-        head = data.read(n if length is None else min(n, length))
+        head = data.read(n)
         if not head:
             return None, None
-        partial = hashlib.sha256(head).hexdigest() if offset == 0 else None
+        partial = hashlib.sha256(head).hexdigest()
         if not whole:
             return partial, None
         digest = hashlib.sha256(head)
-        left = None if length is None else length - len(head)
-        while left is None or left > 0:
-            chunk = data.read(_CHUNK if left is None else min(_CHUNK, left))
-            if not chunk:
-                break
+        while chunk := data.read(_CHUNK):
             digest.update(chunk)
-            left = None if left is None else left - len(chunk)
         return partial, digest.hexdigest()
 
 
@@ -67,9 +57,9 @@ def _hasher(n: int):
         def rows():
             for batch in batches:
                 for r in batch.to_pylist():
-                    key = (r["file_id"], r["volume_id"], r["block"])
+                    key = (r["file_id"], r["volume_id"])
                     try:
-                        hashes = _hash_range(r["path"], r["offset"], r["length"], n, whole=True)
+                        hashes = _hashes(r["path"], n, whole=True)
                         yield (*key, *hashes, None)
                     except OSError as error:
                         yield (*key, None, None, reason_of(error))
@@ -83,7 +73,7 @@ def _placed_by_bytes(work: DataFrame, rows: int, total: int, long_rows: int) ->
     """``work`` over tasks of about TASK_BYTES each, long reads in the first ones."""
     slots = work.sparkSession.sparkContext.defaultParallelism
     others = max(1, -(-total // TASK_BYTES), min(rows, 4 * slots))
-    place = F.xxhash64("file_id", "offset")
+    place = F.xxhash64("file_id")
     task = F.when(F.col("bytes") >= TASK_BYTES, F.pmod(place, F.lit(max(long_rows, 1)))).otherwise(
         long_rows + F.pmod(place, F.lit(others))
     )
@@ -96,7 +86,7 @@ def _prefix_hasher(n: int):
             for batch in batches:
                 for r in batch.to_pylist():
                     try:
-                        partial, error = _hash_range(r["path"], 0, n, n, whole=False)[0], None
+                        partial, error = _hashes(r["path"], n, whole=False)[0], None
                     except OSError as failure:
                         partial, error = None, reason_of(failure)
                     yield r["file_id"], r["volume_id"], r["path"], r["size"], partial, error
@@ -113,50 +103,13 @@ def prefix_hashes(files: DataFrame, n: int = PREFIX_BYTES) -> DataFrame:
     return spread(work, work.count()).mapInArrow(_prefix_hasher(n), PREFIXES)
 
 
-def file_hashes(
-    files: DataFrame, n: int = PREFIX_BYTES, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
+def file_hashes(files: DataFrame, n: int = PREFIX_BYTES) -> DataFrame:
     """(file_id, volume_id, partial_hash, full_hash, error) of files (file_id, volume_id, path, size)."""
     ship_package(files.sparkSession)
-    zero = F.lit(0).cast("long")
-    size, cut = F.col("size"), F.col("size") > block_bytes
-    one_read = files.where(~cut).select(
-        "file_id", "volume_id", zero.alias("block"), "path", zero.alias("offset"),
-        F.lit(None).cast("long").alias("length"), size.alias("bytes"),
-    )
-    is_long = ~cut & (size >= TASK_BYTES)
-    rows, total, long_rows, cut_blocks = files.agg(
-        F.count_if(~cut),
-        F.coalesce(F.sum(F.when(~cut & ~is_long, size)), F.lit(0)),
-        F.count_if(is_long),
-        F.coalesce(F.sum(F.when(cut, F.ceil(size / F.lit(block_bytes)))), F.lit(0)),
+    size = F.col("size")
+    is_long = size >= TASK_BYTES
+    rows, total, long_rows = files.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.when(~is_long, size)), F.lit(0)), F.count_if(is_long)
     ).first()
-    hashed = _hasher(n)
-    placed = _placed_by_bytes(one_read, rows, total, long_rows)
-    single = placed.mapInArrow(hashed, HASHES).drop("block")
-    if not cut_blocks:
-        return single
-
-    last = F.floor((size - 1) / F.lit(block_bytes))
-    blocks = files.where(cut).withColumn("block", F.explode(F.sequence(zero, last))).select(
-        "file_id", "volume_id", "block", "path",
-        (F.col("block") * block_bytes).alias("offset"),
-        F.lit(block_bytes).cast("long").alias("length"),
-        F.lit(block_bytes).cast("long").alias("bytes"),
-    )
-    # The list holds size / block_bytes hashes.
-    ordered = F.transform(
-        F.sort_array(F.collect_list(F.struct("block", "full_hash"))), lambda b: b["full_hash"]
-    )
-    joined = (
-        _placed_by_bytes(blocks, cut_blocks, 0, cut_blocks)
-        .mapInArrow(hashed, HASHES)
-        .groupBy("file_id", "volume_id")
-        .agg(
-            F.max("partial_hash").alias("partial_hash"),
-            F.sha2(F.array_join(ordered, ""), 256).alias("full_hash"),
-            F.max("error").alias("error"),
-        )
-        .withColumn("full_hash", F.when(F.col("error").isNull(), F.col("full_hash")))
-    )
-    return single.unionByName(joined)
+    work = files.select("file_id", "volume_id", "path", size.alias("bytes"))
+    return _placed_by_bytes(work, rows, total, long_rows).mapInArrow(_hasher(n), HASHES)
