@@ -40,6 +40,7 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 #: Texts of these characters split at white space as str.split does, and are in NFC once normalised.
 PLAIN = re.compile("[^\x00-\x1b -įı-˿]")
 CACHE = 700_000  # chunks that a worker remembers
+STEP_BYTES = 2 << 20  # bytes of text that are cut into chunks at once; a longer text stays whole
 CACHED_CHARS = 64  # longer chunks are not remembered
 
 
@@ -455,7 +456,7 @@ def encode(documents: DataFrame, vocabulary_path: str, lexicon_uri: str) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(vocabulary_path, lexicon_uri)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", STEP_BYTES):
                 yield emit(schema, [part.column(0), coder.encode_batch(texts(part.column(1)))])
 
     ship_package(documents.sparkSession)
@@ -490,7 +491,7 @@ def round_trip(documents: DataFrame, vocabulary_path: str, lexicon_uri: str, ids
         coder = coder_of(vocabulary_path, lexicon_uri)
         decoder = Decoder(coder.vocabulary)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", STEP_BYTES):
                 coded = coder.encode_batch(texts(part.column(1)))
                 decoded = []
                 for ids in coded:
