@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, pieces, texts
+from twinsieve.llm.common import emit, pieces, texts, tidy
 from twinsieve.llm.files import committed, open_fs
 from twinsieve.session import new_path, ship_package
 
@@ -39,7 +39,7 @@ SPACES = "\t-\r \x85\xa0  -     　"
 SPACE_RUN = re.compile(f"[{SPACES}]+")
 #: Texts of these characters split at white space as str.split does, and are in NFC once normalised.
 PLAIN = re.compile("[^\x00-\x1b -įı-˿]")
-CACHE = 700_000  # chunks that a worker remembers
+CACHE = 350_000  # chunks that a worker remembers
 STEP_BYTES = 2 << 20  # bytes of text that are cut into chunks at once; a longer text stays whole
 CACHED_CHARS = 64  # longer chunks are not remembered
 
@@ -333,8 +333,8 @@ class Lexicon:
 class Coder:
     """Encodes whole texts by a word encoder; remembers the chunks it has met."""
 
-    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[str]], list[bytes]]):
-        self.vocabulary, self.encode_words = vocabulary, encode_words
+    def __init__(self, vocabulary: Vocabulary, encode_words: Callable[[list[str]], list[bytes]], most: int = CACHE):
+        self.vocabulary, self.encode_words, self.most = vocabulary, encode_words, most
         self.known: dict[str, bytes] = {}
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
@@ -358,7 +358,7 @@ class Coder:
         for own, ids in zip(batch, found, strict=True):
             if None in ids:
                 ids[:] = [learned[c] if i is None else i for c, i in zip(own, ids, strict=True)]
-        if len(known) + len(learned) > CACHE:
+        if len(known) + len(learned) > self.most:
             known.clear()
         known.update((c, i) for c, i in learned.items() if len(c) <= CACHED_CHARS)
         return [b"".join(ids) for ids in found]
@@ -416,7 +416,7 @@ def word_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
             yield emit(schema, [list(words), list(words.values())])
 
     ship_package(documents.sparkSession)
-    rows = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word string, n long")
+    rows = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(run), "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -460,7 +460,7 @@ def encode(documents: DataFrame, vocabulary_path: str, lexicon_uri: str) -> Data
                 yield emit(schema, [part.column(0), coder.encode_batch(texts(part.column(1)))])
 
     ship_package(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -476,7 +476,7 @@ def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield emit(schema, [part.column(0), out])
 
     ship_package(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
@@ -504,5 +504,5 @@ def round_trip(documents: DataFrame, vocabulary_path: str, lexicon_uri: str, ids
                                      coded if ids_too else [None] * len(coded)])
 
     ship_package(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGESTS_DDL)
+    rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), DIGESTS_DDL)
     return rows if ids_too else rows.drop("ids")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -11,10 +13,41 @@ from pyspark.sql import functions as F
 
 from twinsieve.session import ship_package
 
+ARROW_BYTES = 16 << 20  # of rows that go to a Python worker at once; a longer row goes alone
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches for Python workers end at ``ARROW_BYTES``, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive tasks and would keep it through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task; freed memory goes back when the task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by any path that Spark reads."""
     ship_package(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,11 +22,12 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, pieces, texts
+from twinsieve.llm.common import emit, pieces, texts, tidy
 from twinsieve.llm.rank import suffix_order
 from twinsieve.session import ship_package
 
@@ -230,7 +231,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, window: int = 10, block_
                     yield emit(MATCHES, [part.column(0), [None] * len(own) if last else part.column(1), found.n_words,
                                          spans, [sorted(i) for i in found.items], found.longest])
 
-        rows = rows.mapInArrow(run, MATCHES_DDL)
+        rows = rows.mapInArrow(tidy(run), MATCHES_DDL)
     return rows.drop("text")
 
 
@@ -243,6 +244,19 @@ def report(found: DataFrame) -> DataFrame:
         (n_hit > 0).alias("contaminated"), "longest")
 
 
+def _holding(shared) -> F.Column:
+    """Whether a row's text holds a window of one broadcast block."""
+
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            column = pa.array([t or "" for t in series], pa.string())
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            hit = [bool(s) for part in pieces(batch, "text", SHARD_BYTES) for s in search(texts(part.column(0)), shared.value).spans]
+            yield pd.Series(hit, dtype=bool)
+
+    return F.pandas_udf(tidy(judge), "boolean")(F.col("text"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,
                  block_bytes: int = BLOCK_BYTES) -> F.Column:
     """Whether a row's text holds a benchmark window, as a column expression."""
@@ -250,18 +264,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     context = documents.sparkSession.sparkContext
     out = F.lit(False)
     for block in blocks_of(benchmark, window, block_bytes):
-        shared = context.broadcast(make_block(block, window))
-
-        @F.pandas_udf("boolean")
-        def judge(series, shared=shared):
-            import pandas as pd
-
-            column = pa.array([t or "" for t in series], pa.string())
-            batch = pa.RecordBatch.from_arrays([column], names=["text"])
-            hit = [bool(s) for part in pieces(batch, "text", SHARD_BYTES) for s in search(texts(part.column(0)), shared.value).spans]
-            return pd.Series(hit, dtype=bool)
-
-        out = out | judge(F.col("text"))
+        out = out | _holding(context.broadcast(make_block(block, window)))
     return out
-
-

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, pieces, texts
+from twinsieve.llm.common import emit, pieces, texts, tidy
 from twinsieve.session import ship_package
 
 #: Names of HTML elements and common words.
@@ -230,4 +230,4 @@ def extract(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
 
     ship_package(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

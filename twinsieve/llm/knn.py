@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinsieve.llm.common import emit, partitions
+from twinsieve.llm.common import emit, partitions, tidy
 from twinsieve.session import ship_package, written
 
 LEAF = 64
@@ -194,7 +194,7 @@ def _search_round(trees: DataFrame, blocks: DataFrame, shards: F.Column, copies:
                          F.lit(0).alias("kind"), F.lit(0).cast("long").alias("part"), "data", none.alias("best"))
     both = there.unionByName(asked)
     return (both.repartition(partitions(trees.sparkSession), "size", "shard", "copy")
-            .sortWithinPartitions("size", "shard", "copy", "kind", "part").mapInArrow(lambda b: _meet(b, k), FOUND_DDL))
+            .sortWithinPartitions("size", "shard", "copy", "kind", "part").mapInArrow(tidy(lambda b: _meet(b, k)), FOUND_DDL))
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, fold, sample_ids, texts
+from twinsieve.llm.common import emit, fold, sample_ids, texts, tidy
 from twinsieve.session import ship_package
 
 UNKNOWN = "und"
@@ -170,7 +170,7 @@ def fit(documents: DataFrame, settings: Settings | None = None) -> Model | None:
     chosen = sample_ids(known, "doc_id", settings.rows)
     rows = known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["_sampled"]), "left_semi")
     found = rows.select("text", "lang").mapInArrow(
-        lambda batches: _featurize(batches, bits), "lang string, ids binary, counts binary")
+        tidy(lambda batches: _featurize(batches, bits)), "lang string, ids binary, counts binary")
     # A repeated id could bring more rows than ids: the bound holds for rows as well.
     got = found.limit(settings.rows).collect()
     return train(sorted(((r[0], np.frombuffer(r[1], np.uint32), np.frombuffer(r[2], np.float32))
@@ -233,7 +233,7 @@ def predict(documents: DataFrame, model: Model | None, parts: int = 4, held: int
                 rejected = (best < model.reject_below) | ~known
             yield emit(PREDICTED, [batch.column(0), batch.column(1), languages, best, rejected])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(documents: DataFrame, settings: Settings | None = None, parts: int = 4, held: int = 2) -> DataFrame:

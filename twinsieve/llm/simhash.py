@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, partitions, pieces, texts
+from twinsieve.llm.common import emit, partitions, pieces, texts, tidy
 from twinsieve.llm.components import components
 from twinsieve.session import ship_package, spread_join, written
 
@@ -73,7 +73,7 @@ def fingerprints(documents: DataFrame, words: int = 4) -> DataFrame:
                 yield emit(schema, [part.column(0), found.view(np.int64)])
 
     ship_package(documents.sparkSession)
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 # --- parts and thresholds ---------------------------------------------------------------
@@ -245,7 +245,7 @@ def _places(distinct: DataFrame, chosen: Plan) -> DataFrame:
                     value = ((fps & np.uint64(mask))[:, None] ^ some).ravel()
                     yield emit(PLACES, [np.full(len(value), part), _signed(value), np.repeat(fps, len(some)).view(np.int64)])
 
-    return distinct.select("fp").mapInArrow(run, "part long, value long, fp long")
+    return distinct.select("fp").mapInArrow(tidy(run), "part long, value long, fp long")
 
 
 def _split_hot(places: DataFrame, chosen: Plan, distance: int) -> DataFrame:
@@ -297,7 +297,7 @@ def linked(distinct: DataFrame, distance: int = 4) -> DataFrame:
     keys = ["part", "value", "k", "v"]
     places = _split_hot(_places(distinct, chosen), chosen, distance)
     placed = places.repartition(partitions(distinct.sparkSession), *keys).sortWithinPartitions(*keys)
-    return placed.mapInArrow(lambda b: _link_places(b, distance), "a long, b long")
+    return placed.mapInArrow(tidy(lambda b: _link_places(b, distance)), "a long, b long")
 
 
 def classes_of(rows: DataFrame, distance: int = 4) -> DataFrame:

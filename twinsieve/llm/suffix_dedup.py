@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, pack, partitions, pieces, unpack
+from twinsieve.llm.common import emit, pack, partitions, pieces, tidy, unpack
 from twinsieve.llm.suffix_array import permuted_common_prefixes, suffix_array, words_at
 from twinsieve.session import broadcast_if_small, ship_package, spread_join, written
 
@@ -474,15 +474,15 @@ def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False
     copied = copies.select(F.lit(COPY).alias("kind"), place, "doc_id", none.alias("text"), F.col("digest").alias("data"))
     text = copied.unionByName(text)
 
-    counted = single.mapInArrow(lambda b: _count(b, shards, groups, length), PACKED_DDL)
+    counted = single.mapInArrow(tidy(lambda b: _count(b, shards, groups, length)), PACKED_DDL)
     least = max(FREQUENT, size // (16 * FREQUENT_KEYS))  # a run has more than 16 new bytes on average
-    wanted = written(_exchange(counted).mapInArrow(lambda b: _repeated(b, groups, least), PACKED_DDL), "wanted")
+    wanted = written(_exchange(counted).mapInArrow(tidy(lambda b: _repeated(b, groups, least)), PACKED_DDL), "wanted")
     hot = [np.empty(0, np.int64)] + [_unpacked(r["data"], 1)[0] for r in wanted.where(F.col("kind") == HOT).select("data").collect()]
     shared = spark.sparkContext.broadcast(np.sort(np.concatenate(hot)).astype(np.uint64))
     asked = wanted.where(F.col("kind") == WANTED).unionByName(text)
-    sent = _exchange(asked).mapInArrow(lambda b: _select(b, shards, groups, length, shared.value), PACKED_DDL)
-    removed = _exchange(sent).mapInArrow(lambda b: _suffixes(b, groups, length), PACKED_DDL)
-    cut = _exchange(removed.unionByName(text)).mapInArrow(lambda b: _cut(b, texts_too, length), KEPT_DDL)
+    sent = _exchange(asked).mapInArrow(tidy(lambda b: _select(b, shards, groups, length, shared.value)), PACKED_DDL)
+    removed = _exchange(sent).mapInArrow(tidy(lambda b: _suffixes(b, groups, length)), PACKED_DDL)
+    cut = _exchange(removed.unionByName(text)).mapInArrow(tidy(lambda b: _cut(b, texts_too, length)), KEPT_DDL)
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"),

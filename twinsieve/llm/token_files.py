@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinsieve.llm.bpe import Coder, vocabulary_of
-from twinsieve.llm.common import emit, partitions, pieces, texts
+from twinsieve.llm.common import emit, partitions, pieces, texts, tidy
 from twinsieve.llm.files import committed, open_fs
 from twinsieve.session import new_path, ship_package, small_frame
 
@@ -227,6 +227,7 @@ def library_words(path: str) -> Callable[[list[str]], list[bytes]]:
     return run
 
 
+CHUNKS = 700_000  # chunks that a worker remembers
 _coders: dict[str, Coder] = {}
 
 
@@ -234,7 +235,7 @@ def library_coder(path: str) -> Coder:
     """The worker's coder by the library; one at a time."""
     if path not in _coders:
         _coders.clear()
-        _coders[path] = Coder(vocabulary_of(path), library_words(path))
+        _coders[path] = Coder(vocabulary_of(path), library_words(path), CHUNKS)
     return _coders[path]
 
 
@@ -274,7 +275,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = 2, fi
 
     rows = (documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"))
             .repartitionByRange(partitions(spark), "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text"))
-    rows.select("doc_id", "text").mapInArrow(run, MANIFEST_DDL).write.parquet(f"{folder}/manifest")
+    rows.select("doc_id", "text").mapInArrow(tidy(run), MANIFEST_DDL).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -312,7 +313,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield emit(READ, list(zip(*rows, strict=True)))
 
-    return files_of(spark, folder).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files_of(spark, folder).mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,4 +330,4 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                         yield emit(schema, [[doc_id], [np.concatenate(held)]])
                         held = []
 
-    return files_of(spark, folder).mapInArrow(run, "doc_id long, ids array<long>")
+    return files_of(spark, folder).mapInArrow(tidy(run), "doc_id long, ids array<long>")

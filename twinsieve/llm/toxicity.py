@@ -26,11 +26,12 @@ from dataclasses import dataclass
 from math import log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, fold, sample_ids, texts
+from twinsieve.llm.common import emit, fold, sample_ids, texts, tidy
 from twinsieve.session import ship_package, written
 
 WORDS = re.compile(r"[^\W_]+")
@@ -162,7 +163,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model({}, 30.0 if toxic else -30.0)
-    counts = (sample.mapInArrow(_count, "term string, toxic long, clean long").groupBy("term")
+    counts = (sample.mapInArrow(tidy(_count), "term string, toxic long, clean long").groupBy("term")
               .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
               .where(F.col("toxic") + F.col("clean") >= settings.least_docs))
     # How far the toxic share of a term's documents stands from the sample's, in deviations.
@@ -178,7 +179,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings | None = Non
                     for x in texts(batch.column(0))]
             yield emit(HITS, [batch.column(1), hits])
 
-    got = sample.mapInArrow(find, "toxic int, ids binary").limit(settings.rows * 2).collect()
+    got = sample.mapInArrow(tidy(find), "toxic int, ids binary").limit(settings.rows * 2).collect()
     got = sorted((r[0], bytes(r[1])) for r in got)
     pairs = [np.frombuffer(b, np.int32).reshape(-1, 2) for _, b in got]
     rows, amounts = [x[:, 0] for x in pairs], [np.log2(1.0 + x[:, 1]) for x in pairs]
@@ -234,7 +235,7 @@ def score(documents: DataFrame, model: Model, threshold: float = 0.7, parts: int
             s = score_texts(texts(batch.column(2)), shared.value)
             yield emit(SCORED, [batch.column(0), batch.column(1), s, (s >= threshold).astype(np.int32)])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def fit_on_fold(documents: DataFrame, labels: DataFrame, settings: Settings | None = None,
@@ -248,10 +249,8 @@ def rejected(documents: DataFrame, model: Model, threshold: float = 0.7) -> F.Co
     ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def judge(series):
-        import pandas as pd
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in batches:
+            yield pd.Series(score_texts([t or "" for t in series], shared.value) >= threshold)
 
-        return pd.Series(score_texts([t or "" for t in series], shared.value) >= threshold)
-
-    return judge(F.col("text"))
+    return F.pandas_udf(tidy(judge), "boolean")(F.col("text"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinsieve.llm.common import emit, partitions
+from twinsieve.llm.common import emit, partitions, tidy
 from twinsieve.llm.files import committed, open_fs
 from twinsieve.session import new_path, ship_package, small_frame, spread_join, written
 
@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 1000, file_bytes: int =
 
     columns = ["shard", "page_id", "url", "payload", "digest", "size", "original"]
     ordered = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "page_id", "digest", "url", "original")
-    ordered.select(*columns).mapInArrow(run, MANIFEST_DDL).write.parquet(f"{folder}/manifest")
+    ordered.select(*columns).mapInArrow(tidy(run), MANIFEST_DDL).write.parquet(f"{folder}/manifest")
     return folder
 
 
@@ -226,4 +226,4 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, batch
 
     ship_package(spark)
     files = spark.read.parquet(f"{folder}/manifest").select("path")
-    return files.repartition(partitions(spark)).mapInArrow(run, PAGES_DDL)
+    return files.repartition(partitions(spark)).mapInArrow(tidy(run), PAGES_DDL)
