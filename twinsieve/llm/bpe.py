@@ -40,6 +40,7 @@ SPACE_RUN = re.compile(f"[{SPACES}]+")
 #: Texts of these characters split at white space as str.split does, and are in NFC once normalised.
 PLAIN = re.compile("[^\x00-\x1b -įı-˿]")
 CACHE = 350_000  # chunks that a worker remembers
+HELD = 200_000  # distinct chunks that a task counts before it sends them on
 STEP_BYTES = 2 << 20  # bytes of text that are cut into chunks at once; a longer text stays whole
 CACHED_CHARS = 64  # longer chunks are not remembered
 
@@ -405,15 +406,22 @@ def word_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_of(vocabulary_path)
-        for batch in batches:
-            found: Counter[str] = Counter()
-            for text in texts(batch.column(0)):
-                found.update(chunks(text))
+        found: Counter[str] = Counter()
+
+        def pack() -> pa.RecordBatch:
             words: Counter[str] = Counter()
             for chunk, n in found.items():
                 for word in vocabulary.words(chunk):
                     words[word] += n
-            yield emit(schema, [list(words), list(words.values())])
+            return emit(schema, [list(words), list(words.values())])
+
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                found.update(chunks(text))
+            if len(found) >= HELD:
+                yield pack()
+                found.clear()
+        yield pack()
 
     ship_package(documents.sparkSession)
     rows = documents.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(run), "word string, n long")

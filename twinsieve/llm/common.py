@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.session import ship_package
 
-ARROW_BYTES = 16 << 20  # of rows that go to a Python worker at once; a longer row goes alone
+ARROW_BYTES = 4 << 20  # of rows that go to a Python worker at once; a longer row goes alone
 
 
 def bound_batches(spark: SparkSession) -> None:

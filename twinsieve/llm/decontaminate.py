@@ -22,7 +22,6 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,14 +246,13 @@ def report(found: DataFrame) -> DataFrame:
 def _holding(shared) -> F.Column:
     """Whether a row's text holds a window of one broadcast block."""
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            column = pa.array([t or "" for t in series], pa.string())
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
             batch = pa.RecordBatch.from_arrays([column], names=["text"])
             hit = [bool(s) for part in pieces(batch, "text", SHARD_BYTES) for s in search(texts(part.column(0)), shared.value).spans]
-            yield pd.Series(hit, dtype=bool)
+            yield pa.array(hit, pa.bool_())
 
-    return F.pandas_udf(tidy(judge), "boolean")(F.col("text"))
+    return F.arrow_udf(tidy(judge), "boolean")(F.col("text"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10,

@@ -331,11 +331,9 @@ def deduplicated(documents: DataFrame, distance: int = 4, words: int = 4) -> Dat
     named = documents.join(firsts, documents["doc_id"] == firsts["doc_id"], "left_semi").dropDuplicates(["doc_id"])
     alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
 
-    @F.pandas_udf("long")
-    def own(series):
-        import pandas as pd
-
-        return pd.Series(np.array([fingerprint(t or "", words) for t in series], np.uint64).view(np.int64))
+    @F.arrow_udf("long")
+    def own(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t, words) for t in texts(column)], np.uint64).view(np.int64))
 
     nameless = documents.where(F.col("doc_id").isNull())
     nameless = nameless.withColumn("_fingerprint", own("text")).join(

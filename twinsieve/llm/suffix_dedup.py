@@ -39,7 +39,7 @@ from twinsieve.session import broadcast_if_small, ship_package, spread_join, wri
 
 LENGTH = 50
 GRAM = 16  # bytes of the strings whose smallest hash places a window
-PIECE = 3 << 20  # bytes of text that a step holds at once
+PIECE = 3 << 19  # bytes of text that a step holds at once
 SHARD_BYTES = 3 << 20  # text per shard, if a third of all text is repeated
 FREQUENT = 4000  # documents from which a hash is frequent (a quarter of a megabyte), or more if there could be over
 FREQUENT_KEYS = 1_000_000  # such hashes, whose list is broadcast
@@ -503,9 +503,11 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = removals(documents, length, True).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept_id"), "kept")
     ship_package(documents.sparkSession)
 
-    @F.pandas_udf("string")
-    def decoded(series):
-        return series.map(lambda b: b.decode("utf-8", "ignore"))
+    def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([b if b is None else b.decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())
+
+    decoded = F.arrow_udf(tidy(decode), "string")
 
     named = documents.where(F.col("doc_id").isNotNull())
     rest = [F.col(c) for c in documents.columns if c not in ("text", "n_chars")]

@@ -26,7 +26,6 @@ from dataclasses import dataclass
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +36,7 @@ from twinsieve.session import ship_package, written
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES = range(3, 11)
 CACHE = 400_000  # words whose features a worker remembers
+HELD = 200_000  # terms that a task counts before it sends them on
 
 
 @dataclass
@@ -81,13 +81,20 @@ HITS = pa.schema([("toxic", pa.int32()), ("ids", pa.binary())])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents by term and label, added up within each batch."""
+    """Documents by term and label, added up until ``HELD`` terms are held."""
+    found: dict[str, list[int]] = {}
+
+    def pack() -> pa.RecordBatch:
+        return emit(TERMS, [list(found), [n[1] for n in found.values()], [n[0] for n in found.values()]])
+
     for batch in batches:
-        found: dict[str, list[int]] = {}
         for text, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             for term in _terms(text):
                 found.setdefault(term, [0, 0])[label] += 1
-        yield emit(TERMS, [list(found), [n[1] for n in found.values()], [n[0] for n in found.values()]])
+        if len(found) >= HELD:
+            yield pack()
+            found.clear()
+    yield pack()
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
@@ -249,8 +256,8 @@ def rejected(documents: DataFrame, model: Model, threshold: float = 0.7) -> F.Co
     ship_package(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in batches:
-            yield pd.Series(score_texts([t or "" for t in series], shared.value) >= threshold)
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(score_texts(texts(column), shared.value) >= threshold)
 
-    return F.pandas_udf(tidy(judge), "boolean")(F.col("text"))
+    return F.arrow_udf(tidy(judge), "boolean")(F.col("text"))
