@@ -11,7 +11,7 @@ import pytest
 from compare import differences
 
 import corpus_pipeline
-from twinsieve.llm import bpe, decontaminate, html, knn, langid, simhash, suffix_dedup, token_files, toxicity, warc
+from twinsieve.llm import bpe, decontaminate, html, knn, langid, near_copies, simhash, suffix_dedup, token_files, toxicity, warc
 from twinsieve.llm.queries import ORACLES, QUERIES, vocabulary_path
 from twinsieve.llm.suffix_array import permuted_common_prefixes, suffix_array
 
@@ -183,6 +183,50 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def shingle_set(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def firsts_of_groups(rows):
+    """Brute force: the smallest id of each group that pairs of Jaccard similarity 0.8 or more connect."""
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, (_, a) in enumerate(sets):
+        for y, (_, b) in enumerate(sets[:x]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                parent[find(x)] = find(y)
+    groups = {}
+    for x, (i, _) in enumerate(sets):
+        groups.setdefault(find(x), []).append(i)
+    return sorted(min(g) for g in groups.values())
+
+
+@pytest.mark.parametrize("cell, hot", [(256, 4000), (4, 3)])
+def test_near_copies_by_brute_force(spark, monkeypatch, cell, hot):
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "HOT_ROWS", hot)
+    draw, rows = random.Random(6), []
+    for size, copies in ((60, 12), (120, 40), (400, 9), (5, 3), (8, 6)):
+        base = [f"w{draw.randrange(900)}" for _ in range(size)]
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(base)))
+            if draw.random() < 0.5:  # else the next is another copy of the same
+                base = list(base)
+            base[draw.randrange(len(base))] = f"w{draw.randrange(900)}"
+            rows.append((len(rows), " ".join(base) + draw.choice(["", " end", " END"])))
+    rows += [(len(rows) + i, " ".join(f"v{draw.randrange(900)}" for _ in range(50))) for i in range(10)]
+    want = firsts_of_groups(rows)
+    assert 20 < len(want) < len(rows) - 60
+    assert sorted(r["doc_id"] for r in corpus_pipeline.remove_near_copies(spark, documents(spark, rows), SF_DIR).collect()) == want
+
+
 def cut(rows, length=50):
     """Brute force: id, bytes, removed bytes, spans, digest of the rest."""
     first = {}
