@@ -152,3 +152,11 @@ select d.doc_id, cast(d.n as bigint) as n_bytes, coalesce(c.n_removed, 0) as n_r
   sha256(unhex(coalesce(k.h, ''))) as kept_sha256
 from d left join cut c using (doc_id) left join kept k using (doc_id)
 """
+
+
+@query
+def op11_resampling(spark, sf_dir):
+    """A quarter of all documents with at least 20 words, drawn towards the benchmark's words."""
+    from twinsieve.llm import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
