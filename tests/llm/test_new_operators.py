@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from twinsieve.llm import resample
@@ -80,3 +81,68 @@ def test_resample_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")
     assert resample.resample(docs, items).count() == 0
+
+
+# --- embedding near-dedup -------------------------------------------------------------
+
+def plain_embedding_links(rows):
+    """vec_id, n_links, component_id, kept by all pairs."""
+    import numpy as np
+
+    ok = [i for i, (v, e) in enumerate(rows) if v is not None and e and all(x is not None and math.isfinite(x) for x in e)
+          and any(x != 0 for x in e)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = [0] * len(rows)
+    for a in ok:
+        for b in ok:
+            ea, eb = np.array(rows[a][1], np.float64), np.array(rows[b][1], np.float64)
+            if a < b and len(ea) == len(eb) and ea @ eb / np.linalg.norm(ea) / np.linalg.norm(eb) >= 0.9:
+                links[a] += 1
+                links[b] += 1
+                parent[find(a)] = find(b)
+    least = {}
+    for i in ok:
+        least[find(i)] = min(least.get(find(i), rows[i][0]), rows[i][0])
+    out = []
+    for i, (v, _) in enumerate(rows):
+        c = least[find(i)] if i in ok else v
+        out.append((v, links[i], c, v is not None and v == c))
+    return order(out)
+
+
+def test_embeddings_equal_all_pairs(spark):
+    from twinsieve.llm import embed_dedup
+
+    rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    want = plain_embedding_links([(r[0], r[1]) for r in rows.select("vec_id", "embedding").collect()])
+    assert order(tuple(r) for r in embed_dedup.near_duplicates(rows).collect()) == want
+
+
+def test_embeddings_odd_rows(spark):
+    from twinsieve.llm import embed_dedup
+
+    odd = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]),
+           (6, [float("nan"), 1.0]), (7, [0.95, 0.31]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (9, []),
+           (10, [0.0, 1.0]), (11, [float("inf"), 1.0]), (12, [0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in odd], "vec_id long, embedding array<float>, label int, rep string")
+    want = plain_embedding_links([(v, e if e is None else [float(np.float32(x)) if x is not None else None for x in e])
+                                  for v, e in odd])
+    assert order(tuple(r) for r in embed_dedup.near_duplicates(df).collect()) == want
+    assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_embedding_blocks_of_a_large_bucket(spark, monkeypatch):
+    """A bucket larger than a block is compared over pairs of blocks with the same result."""
+    from twinsieve.llm import embed_dedup
+
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    want = order(tuple(r) for r in embed_dedup.near_duplicates(rows).collect())
+    monkeypatch.setattr(embed_dedup, "BLOCK", 3)
+    assert order(tuple(r) for r in embed_dedup.near_duplicates(rows).collect()) == want

@@ -160,3 +160,11 @@ def op11_resampling(spark, sf_dir):
     from twinsieve.llm import resample
 
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_embedding_dedup(spark, sf_dir):
+    """Links at cosine 0.9 or more, components and kept rows of all embeddings."""
+    from twinsieve.llm import embed_dedup
+
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
