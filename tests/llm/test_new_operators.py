@@ -146,3 +146,67 @@ def test_embedding_blocks_of_a_large_bucket(spark, monkeypatch):
     want = order(tuple(r) for r in embed_dedup.near_duplicates(rows).collect())
     monkeypatch.setattr(embed_dedup, "BLOCK", 3)
     assert order(tuple(r) for r in embed_dedup.near_duplicates(rows).collect()) == want
+
+
+# --- conversation prefix trie ---------------------------------------------------------
+
+def plain_trie(rows):
+    """Nodes of the trie of rebuilt conversations, by enumerating every prefix."""
+    turns = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns.setdefault(c, []).append((turn, role or "", text or ""))
+    for c in turns:
+        turns[c].sort(key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0, r[1], r[2]))
+    seqs = {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 9
+        base = c - int(math.fmod(c, 5))
+        seqs[c] = [(r, t) for _, r, t in turns.get(base, [])[:h]] + [(r, t) for _, r, t in turns[c][h:]]
+    nodes = {}
+    for c, s in seqs.items():
+        for d in range(len(s) + 1):
+            nodes.setdefault(tuple(s[:d]), []).append(c)
+    kids = {}
+    for p in nodes:
+        if p:
+            kids.setdefault(p[:-1], []).append(p)
+    out = []
+    for p, members in nodes.items():
+        sub = [q for q in nodes if q[:len(p)] == p]
+        ends = sorted(c for c in members if len(seqs[c]) == len(p))
+        out.append((min(members), len(p), min(nodes[p[:-1]]) if p else None, len(members), len(kids.get(p, [])),
+                    sum(1 for q in sub if not kids.get(q)),
+                    sum((len(nodes[q]) - 1) * len(q[-1][1].encode()) for q in sub if q),
+                    hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return order(out)
+
+
+def trie_rows(df):
+    cols = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return order(tuple(r) for r in df.select(*cols).collect())
+
+
+@pytest.mark.parametrize("shards", ["1", "8", "97"])
+def test_trie_equals_plain_version(spark, shards):
+    from twinsieve.llm import conv_trie
+
+    rows = spark.read.parquet(f"{SF_DIR}/conversations.parquet")
+    want = plain_trie([tuple(r) for r in rows.select("conv_id", "turn", "role", "text").collect()])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shards)
+    try:
+        assert trie_rows(conv_trie.trie(rows)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_trie_odd_rows(spark):
+    from twinsieve.llm import conv_trie
+
+    odd = [(0, 0, "user", "hi"), (0, 1, "assistant", None), (0, None, None, "first"), (1, 0, "user", "hi"),
+           (2, 5, "user", "é" * 5000), (2, 5, "user", "é" * 5000), (3, 1, "user", ""), (None, 0, "user", "lost"),
+           (5, 0, "user", "hi"), (6, 0, "user", "x"), (7, 2, "a", "b"), (12, 0, "user", "hi"), (-3, 0, "user", "neg")]
+    df = spark.createDataFrame([(*r, 1) for r in odd], "conv_id long, turn long, role string, text string, key long")
+    assert trie_rows(conv_trie.trie(df)) == plain_trie(odd)
+    assert conv_trie.trie(df.limit(0)).count() == 0

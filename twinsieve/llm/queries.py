@@ -168,3 +168,11 @@ def op12_embedding_dedup(spark, sf_dir):
     from twinsieve.llm import embed_dedup
 
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_conversation_trie(spark, sf_dir):
+    """Every node of the prefix trie of all rebuilt conversations."""
+    from twinsieve.llm import conv_trie
+
+    return conv_trie.trie(table(spark, sf_dir, "conversations"))
