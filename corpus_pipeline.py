@@ -1,15 +1,15 @@
 """The corpus pipeline: toxic documents, near copies, repeated passages and benchmark text go; the rest is encoded.
 
 STAGES are applied to ``documents`` in turn. Each is a function of (spark, docs, sf_dir); all but the last
-return the columns of ``documents``. No SQL can express the first stage, so ORACLE_SQL is None; the stages are
-tested against brute force.
+return the columns of ``documents``. No SQL can express the first stage, so ORACLE_SQL is None; the stages of
+near copies, repeated passages and benchmark text are tested against plain versions (tests/llm).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsieve.llm import bpe, decontaminate, near_copies, suffix_dedup, toxicity
+from twinsieve.llm import bpe, decontaminate, simhash, suffix_dedup, toxicity
 from twinsieve.llm.common import table
 from twinsieve.llm.queries import vocabulary_path
 from twinsieve.session import written
@@ -24,8 +24,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
-    return near_copies.deduplicated(docs)
+    """One document of each SimHash component: four-word shingles, fingerprints within 4 bits, as operator 9."""
+    return simhash.deduplicated(docs, distance=4, words=4)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -183,6 +183,57 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def plain_fingerprint(text, words=4):
+    """Bit counts over the XXH64 of every shingle, one bit at a time."""
+    import xxhash
+
+    found = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    shingles = [" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprint_equals_bit_counts():
+    draw = random.Random(9)
+    texts = [t for _, t in ODD] + [" ".join(draw.choice(["a", "B", "cc", "é", "x\ty"]) for _ in range(draw.randint(0, 40)))
+                                   for _ in range(300)]
+    assert [simhash.fingerprint(t or "") for t in texts] == [plain_fingerprint(t) for t in texts]
+
+
+def test_pipeline_near_copies_by_brute_force(spark):
+    """Stage 2 keeps the smallest id of each component of fingerprints within 4 bits; columns stay."""
+    draw, rows = random.Random(4), []
+    for size, copies in ((30, 6), (80, 10), (12, 4)):
+        base = [f"w{draw.randrange(300)}" for _ in range(size)]
+        for _ in range(copies):
+            rows.append((len(rows), " ".join(base)))
+            base = list(base)
+            base[draw.randrange(len(base))] = f"w{draw.randrange(300)}"
+    rows += [(len(rows) + i, " ".join(f"v{draw.randrange(300)}" for _ in range(40))) for i in range(8)]
+    rows += [(3, rows[3][1]), (7, rows[20][1]), (None, rows[0][1]), (None, "alone without an id")]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(rows)):
+        for y in range(x):
+            if bin(fps[x] ^ fps[y]).count("1") <= 4:
+                parent[find(x)] = find(y)
+    groups = {}
+    for x, (i, _) in enumerate(rows):
+        groups.setdefault(find(x), []).append(i)
+    want = sorted((min(i for i in g if i is not None) if any(i is not None for i in g) else -1) for g in groups.values())
+    df = spark.createDataFrame([(i, t, "en", 1, "k", 2) for i, t in rows], "doc_id long, text string, lang string, fp long, _doc string, n long")
+    out = corpus_pipeline.remove_near_copies(spark, df, SF_DIR)
+    assert out.columns == df.columns
+    got = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect())
+    assert got == want, str((got, want))
+
+
 def shingle_set(text):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
     return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
@@ -224,7 +275,7 @@ def test_near_copies_by_brute_force(spark, monkeypatch, cell, hot):
     rows += [(len(rows) + i, " ".join(f"v{draw.randrange(900)}" for _ in range(50))) for i in range(10)]
     want = firsts_of_groups(rows)
     assert 20 < len(want) < len(rows) - 60
-    assert sorted(r["doc_id"] for r in corpus_pipeline.remove_near_copies(spark, documents(spark, rows), SF_DIR).collect()) == want
+    assert sorted(r["doc_id"] for r in near_copies.deduplicated(documents(spark, rows)).collect()) == want
 
 
 def cut(rows, length=50):
@@ -265,6 +316,18 @@ def test_suffix_dedup_keeps_columns(spark, odd):
     assert suffix_dedup.removals(odd.limit(0)).count() == 0
 
 
+def test_suffix_dedup_rows_of_one_id(spark):
+    """Rows of one id with unlike texts keep their own cut texts; clashing names stay as given."""
+    passage = "".join(random.Random(5).choice("abcdefgh ") for _ in range(120))
+    rows = [(1, "start " + passage), (2, "other " + passage + " tail"), (2, "nothing shared here at all"), (2, "nothing shared here at all")]
+    df = spark.createDataFrame([(i, t, "k", True, 1, "r") for i, t in rows],
+                               "doc_id long, text string, kept string, _null boolean, _kept_id int, _row string")
+    out = sorted((r["doc_id"], r["text"], r["kept"], r["_kept_id"]) for r in suffix_dedup.deduplicated(df).collect())
+    assert len(out) == 4 and {r[2] for r in out} == {"k"} and {r[3] for r in out} == {1}
+    assert sorted(hashlib.sha256(r[1].encode()).hexdigest() for r in out) == sorted(
+        d for *_, d in cut([(i, t.encode()) for i, t in rows]))
+
+
 def test_suffix_arrays():
     draw = np.random.default_rng(1)
     for n, top in [(0, 1), (1, 1), *[(int(draw.integers(2, 60)), int(draw.integers(1, 5))) for _ in range(100)]]:

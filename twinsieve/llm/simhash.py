@@ -301,13 +301,14 @@ def linked(distinct: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def classes_of(rows: DataFrame, distance: int = 4) -> DataFrame:
-    """fp, n (rows) and component_id of each distinct fingerprint of ``rows`` (doc_id, fp)."""
+    """fp, n (rows), component_id and root (a fingerprint that names the component) of each distinct fingerprint
+    of ``rows`` (doc_id, fp)."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     roots = written(components(linked(distinct, distance)), "roots")
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "n", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(placed.join(least, "root").select("fp", "n", "component_id"), "components")
+    return written(placed.join(least, "root").select("fp", "n", "component_id", "root"), "components")
 
 
 def near_duplicates(documents: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
@@ -322,20 +323,27 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, distance: int = 4, words: int = 4) -> DataFrame:
-    """The documents with one of each component: that with the smallest doc_id.
+    """One row of each component of near copies, with all its columns.
 
-    Rows of one id stay as one. Rows without an id stay if no row of their component has one.
+    Components are told apart by a fingerprint of theirs, so two with the same smallest id (an id repeated
+    with unlike texts) keep a row each. The row kept has the component's smallest doc_id; of several such
+    rows, that with the smallest SHA-256
+    of its text, then of its columns. Rows without an id whose component has no id either are kept one per
+    fingerprint. The given columns travel packed in one struct, so none of their names can clash.
     """
-    found = near_duplicates(documents, distance, words)
-    firsts = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = documents.join(firsts, documents["doc_id"] == firsts["doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    alone = found.where("doc_id is null and component_id is null").select("fp").distinct()
+    ship_package(documents.sparkSession)
 
     @F.arrow_udf("long")
     def own(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, words) for t in texts(column)], np.uint64).view(np.int64))
 
-    nameless = documents.where(F.col("doc_id").isNull())
-    nameless = nameless.withColumn("_fingerprint", own("text")).join(
-        alone.withColumnRenamed("fp", "_fingerprint"), "_fingerprint", "left_semi").drop("_fingerprint")
-    return named.unionByName(nameless.select(*documents.columns))
+    packed = written(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_doc"),
+                                      F.col("doc_id").cast("long").alias("doc_id"), own("text").alias("fp")), "fingerprinted")
+    classes = classes_of(packed.select("doc_id", "fp"), distance)
+    placed = spread_join(packed, classes, ["fp"], "left", "n", ["doc_id"], 100_000)
+    order = F.struct(F.sha2(F.coalesce(F.col("_doc.text"), F.lit("")), 256), F.xxhash64("_doc"), F.sha2(F.to_json("_doc"), 256))
+    named = (placed.where(F.col("doc_id") == F.col("component_id")).groupBy("root")
+             .agg(F.min_by("_doc", order).alias("_doc")))
+    nameless = (placed.where(F.col("component_id").isNull()).groupBy("fp")
+                .agg(F.min_by("_doc", order).alias("_doc")))
+    return named.select("_doc.*").unionByName(nameless.select("_doc.*"))

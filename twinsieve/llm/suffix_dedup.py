@@ -388,8 +388,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> It
 # --- step 4: documents without the removed ranges ---------------------------------------------
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                  ("kept_sha256", pa.string()), ("kept", pa.binary())])
-KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+                  ("kept_sha256", pa.string()), ("kept", pa.binary()), ("digest", pa.binary())])
+KEPT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, digest binary"
 
 
 def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Iterator[pa.RecordBatch]:
@@ -439,7 +439,8 @@ def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Ite
                 spans = np.concatenate(([0], np.cumsum(opens)))
                 kept = [raw[s:e][~gone[s:e]].tobytes() if sums[e] > sums[s] else t for t, s, e in zip(found, starts.tolist(), ends.tolist(), strict=True)]
                 yield emit(KEPT, [ids, sizes, sums[ends] - sums[starts], spans[ends] - spans[starts],
-                                  [hashlib.sha256(k).hexdigest() for k in kept], kept if texts_too else [None] * len(kept)])
+                                  [hashlib.sha256(k).hexdigest() for k in kept], kept if texts_too else [None] * len(kept),
+                                  part.column("data")])
 
 
 def _exchange(rows: DataFrame) -> DataFrame:
@@ -486,7 +487,8 @@ def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.sha2(F.coalesce("text", F.lit(b"")), 256).alias("kept_sha256"),
-        (F.coalesce("text", F.lit(b"")) if texts_too else F.lit(None).cast("binary")).alias("kept"))
+        (F.coalesce("text", F.lit(b"")) if texts_too else F.lit(None).cast("binary")).alias("kept"),
+        F.unhex(F.sha2(F.coalesce("text", F.lit(b"")), 256)).alias("digest"))
     return cut.unionByName(nameless)
 
 
@@ -495,12 +497,15 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The documents with repeated byte strings cut from their texts; all rows stay.
+    """The documents with repeated byte strings cut from their texts; all rows stay, with all their columns.
 
-    For tables with one row per id, as near-duplicate removal leaves them; rows without an id stay whole.
-    What a cut leaves of a character is dropped. A null text stays null.
+    Cut texts find their rows by id and by the SHA-256 of the whole text, so rows of one id with unlike
+    texts keep their own; equal rows are cut alike. Rows without an id stay whole. The given columns travel
+    packed in one struct, so none of their names can clash with the operator's. What a cut leaves of a
+    character is dropped. A null text stays null; ``n_chars``, if present, counts the kept text.
     """
-    kept = removals(documents, length, True).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_kept_id"), "kept")
+    removed = removals(documents, length, True)
+    kept = removed.groupBy("doc_id", "digest").agg(F.min("kept").alias("kept"))
     ship_package(documents.sparkSession)
 
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -508,12 +513,12 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.array([b if b is None else b.decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())
 
     decoded = F.arrow_udf(tidy(decode), "string")
-
-    named = documents.where(F.col("doc_id").isNotNull())
-    rest = [F.col(c) for c in documents.columns if c not in ("text", "n_chars")]
-    own = named.select(*rest, F.col("text").isNull().alias("_null")).join(kept, F.col("doc_id") == F.col("_kept_id"))
-    text = F.when(~F.col("_null"), decoded("kept"))
-    cut = own.withColumn("text", text).drop("_null", "_kept_id", "kept")
+    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_doc"),
+                              F.col("doc_id").cast("long").alias("_id"),
+                              F.unhex(F.sha2(F.coalesce(F.encode("text", "utf-8"), F.lit(b"")), 256)).alias("_digest"))
+    joined = packed.join(kept, packed["_id"].eqNullSafe(kept["doc_id"]) & (packed["_digest"] == kept["digest"]), "left")
+    text = F.when(F.col("_doc.text").isNotNull(), decoded("kept"))
+    doc = F.col("_doc").withField("text", text)
     if "n_chars" in documents.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return cut.select(*documents.columns).unionByName(documents.where(F.col("doc_id").isNull()))
+        doc = doc.withField("n_chars", F.length(doc.getField("text")).cast(documents.schema["n_chars"].dataType))
+    return joined.select(doc.alias("_doc")).select("_doc.*")
