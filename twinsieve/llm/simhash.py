@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.llm.common import emit, partitions, pieces, texts, tidy
 from twinsieve.llm.components import components
-from twinsieve.session import ship_package, spread_join, written
+from twinsieve.session import broadcast_if_small, ship_package, spread_join, written
 
 BITS = 64
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -327,9 +327,13 @@ def deduplicated(documents: DataFrame, distance: int = 4, words: int = 4) -> Dat
 
     Components are told apart by a fingerprint of theirs, so two with the same smallest id (an id repeated
     with unlike texts) keep a row each. The row kept has the component's smallest doc_id; of several such
-    rows, that with the smallest SHA-256
-    of its text, then of its columns. Rows without an id whose component has no id either are kept one per
-    fingerprint. The given columns travel packed in one struct, so none of their names can clash.
+    rows, that with the smallest SHA-256 of its text, then of its columns. Rows without an id whose component
+    has no id either are kept one per fingerprint.
+
+    Texts never travel: the choice is made on light rows (position in the input, id, fingerprint,
+    digests), and the documents are then filtered against the rows that go, which are broadcast where they
+    are counted to be few. Positions come from the input's scan, which must give its rows in the same
+    order when read again (as a read of Parquet files does). Other columns, whatever their names, stay.
     """
     ship_package(documents.sparkSession)
 
@@ -337,13 +341,16 @@ def deduplicated(documents: DataFrame, distance: int = 4, words: int = 4) -> Dat
     def own(column: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, words) for t in texts(column)], np.uint64).view(np.int64))
 
-    packed = written(documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_doc"),
-                                      F.col("doc_id").cast("long").alias("doc_id"), own("text").alias("fp")), "fingerprinted")
-    classes = classes_of(packed.select("doc_id", "fp"), distance)
-    placed = spread_join(packed, classes, ["fp"], "left", "n", ["doc_id"], 100_000)
-    order = F.struct(F.sha2(F.coalesce(F.col("_doc.text"), F.lit("")), 256), F.xxhash64("_doc"), F.sha2(F.to_json("_doc"), 256))
-    named = (placed.where(F.col("doc_id") == F.col("component_id")).groupBy("root")
-             .agg(F.min_by("_doc", order).alias("_doc")))
-    nameless = (placed.where(F.col("component_id").isNull()).groupBy("fp")
-                .agg(F.min_by("_doc", order).alias("_doc")))
-    return named.select("_doc.*").unionByName(nameless.select("_doc.*"))
+    packed = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    light = written(documents.select(
+        F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), own("text").alias("fp"),
+        F.struct(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), F.sha2(F.to_json(packed), 256)).alias("order")),
+        "fingerprinted")
+    classes = classes_of(light.select("doc_id", "fp"), distance)
+    placed = spread_join(light, classes, ["fp"], "left", "n", ["rid"], 100_000)
+    firsts = placed.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.min_by("rid", "order").alias("rid"))
+    alone = placed.where(F.col("component_id").isNull()).groupBy("fp").agg(F.min_by("rid", "order").alias("rid"))
+    stays = firsts.select("rid").unionByName(alone.select("rid"))
+    goes = written(light.select("rid").join(stays, "rid", "left_anti"), "near-copies-gone")
+    numbered = documents.select(packed.alias("_doc"), F.monotonically_increasing_id().alias("rid"))
+    return numbered.join(broadcast_if_small(goes), "rid", "left_anti").select("_doc.*")
