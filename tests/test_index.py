@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from registry import frames as X
 from twinsieve.operators.checks import Expectations
 from twinsieve.operators.fingerprint import fingerprint
-from twinsieve.plans.index import Index
+from twinsieve.plans.index import PARTS, Index, part_of
 from twinsieve.schema import CHANGES, HASH_TYPE_PREFIX, ScanOptions
 from twinsieve.sources.content import file_hashes, prefix_hashes
 from twinsieve.sources.inventory import read_inventory
@@ -254,8 +254,8 @@ def test_a_dead_run_leaves_the_index_as_it_was(spark, five_files, index):
     index.scan([five_files])
     before = sorted(index.files().collect())
     run = index.begin_run([index.volume_id(five_files)])
-    files = index.files().withColumn("is_deleted", F.lit(1))
-    files.write.partitionBy("volume_id").parquet(f"{index.path}/files/run_id={run}")
+    files = index.files().withColumn("is_deleted", F.lit(1)).withColumn("part", part_of("path_rel"))
+    files.write.partitionBy("volume_id", "part").parquet(f"{index.path}/files/run_id={run}")
     assert sorted(index.files().collect()) == before
     index.erase(five_files)
     assert {r.is_deleted for r in index.files().collect()} == {1}
@@ -357,3 +357,50 @@ def test_refresh_falls_back_to_a_full_scan(spark, index, five_files):
 def test_fingerprint_modes_are_checked(spark):
     with pytest.raises(ValueError):
         fingerprint(None, None, "lazy")
+
+
+def test_a_feed_batch_rewrites_only_its_parts(spark, index, five_files):
+    """A batch of one change reads and writes the one part its key hashes to."""
+    from twinsieve.schema import CHANGES
+    from twinsieve.streaming.feed import apply_batch
+
+    index.scan([five_files])
+    v = index.volume_id(five_files)
+    before = {r.path_rel: r for r in index.files().collect()}
+    first = os.listdir(f"{index.path}/files/run_id=1/volume_id={v}")
+    listed = spark.read.parquet(f"{index.path}/parts/run_id=1")
+    assert listed.count() == PARTS and listed.agg(F.sum("rows")).first()[0] == len(before)
+    path = sorted(before)[0]
+    row = {f.name: None for f in CHANGES}
+    row.update(volume_id=v, path_rel=path, pos=5, modified=before[path].modified + 10, size=before[path].size + 1)
+    changes = spark.createDataFrame([tuple(row[f.name] for f in CHANGES)], CHANGES)
+    assert apply_batch(index, changes, "one")
+    run = max(int(d.split("=")[1]) for d in os.listdir(f"{index.path}/files"))
+    touched = [d for d in os.listdir(f"{index.path}/files/run_id={run}/volume_id={v}") if d.startswith("part=")]
+    part = spark.range(1).select(part_of(F.lit(path)).alias("p")).first().p
+    assert touched == [f"part={part}"] and len(first) >= 2
+    assert spark.read.parquet(f"{index.path}/parts/run_id={run}").count() == 1
+    after = {r.path_rel: r for r in index.files().collect()}
+    assert set(after) == set(before) and after[path].size == before[path].size + 1
+    assert all(after[p] == before[p] for p in before if p != path)
+
+
+def test_concurrent_writers_claim_different_runs(spark, tmp_path):
+    """Writers that begin at once get different run ids, and both runs stay current."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from twinsieve.schema import FILES, VOLUMES
+    from twinsieve.session import small_frame
+
+    path = str(tmp_path / "shared-index")
+    writers = [Index(spark, path, clock=lambda: 100) for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        ids = list(pool.map(lambda w: w[1].begin_run([w[0]]), enumerate(writers)))
+    assert len(set(ids)) == 4
+    blank = {f.name: None for f in FILES}
+    volumes = small_frame(spark, [tuple({"id": v, "path": f"/v{v}/", "volume_type": 0}.get(f.name) for f in VOLUMES)
+                                  for v in range(4)], VOLUMES)
+    for v, (w, run) in enumerate(zip(writers, ids, strict=True)):
+        row = blank | {"file_id": v, "volume_id": v, "path_rel": f"f{v}", "is_deleted": 0, "size": 1}
+        w.commit(run, [v], small_frame(spark, [tuple(row[f.name] for f in FILES)], FILES), volumes)
+    assert sorted(r.volume_id for r in Index(spark, path).files().collect()) == [0, 1, 2, 3]

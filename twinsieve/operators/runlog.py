@@ -9,12 +9,16 @@ from twinsieve.schema import RUN_DONE, SCAN_LOG
 from twinsieve.session import small_frame
 
 
-def run_events(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Event rows to append; unnamed counters are 0, other unnamed columns NULL."""
+def event_tuples(rows: list[dict]) -> list[tuple]:
+    """Event rows in the columns of the log; unnamed counters are 0, other unnamed columns NULL."""
     counters = {"files_scanned", "files_added", "files_updated", "files_deleted", "file_count"}
     blank = {f.name: 0 if f.name in counters else None for f in SCAN_LOG}
-    full = [tuple({**blank, **row}[name] for name in SCAN_LOG.fieldNames()) for row in rows]
-    return small_frame(spark, full, SCAN_LOG)
+    return [tuple({**blank, **row}[name] for name in SCAN_LOG.fieldNames()) for row in rows]
+
+
+def run_events(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Event rows to append, as a DataFrame."""
+    return small_frame(spark, event_tuples(rows), SCAN_LOG)
 
 
 def latest_runs(events: DataFrame) -> DataFrame:

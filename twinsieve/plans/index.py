@@ -1,16 +1,25 @@
 """The persistent index: a folder of Parquet tables, and the runs that build it.
 
-``files/run_id=R/volume_id=V`` holds volume V as run R left it. A run writes
-only the volumes it touched, into folders of its own, and is current once its
-``done`` row is in ``scan_log``, which is written last. Nothing that is read is
-ever overwritten, and a run that dies leaves the previous state in force.
-(S3, S5, K4, K5, R3, U3, U6-U8, U10)
+The rows of a volume are laid out in ``PARTS`` parts by a hash of the path:
+``files/run_id=R/volume_id=V/part=P`` holds part P of volume V as run R left it.
+A run writes only the parts it touched, into folders of its own, and lists them,
+empty ones too, in its manifest ``parts/run_id=R``; a part is current in the
+newest finished run whose manifest lists it. A run is finished once its ``done``
+row is in ``scan_log``, which is written last. Nothing that is read is ever
+overwritten, and a run that dies leaves the previous state in force.
+
+Scans, hash runs and erasures rewrite whole volumes; a feed batch rewrites only
+the parts that its keys hash to. Reads join the files to the current parts on
+the partition columns, which lets Spark prune the other folders at run time.
+(S3, S5, K4, K5, R1, R3, U3, U6-U8, U10)
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable
+
+import pyarrow as pa
 from dataclasses import replace
 
 from pyspark.errors import AnalysisException
@@ -30,7 +39,7 @@ from twinsieve.operators.maintenance import (
     upsert_volumes,
     write_hashes,
 )
-from twinsieve.operators.runlog import current_runs, latest_runs, run_events
+from twinsieve.operators.runlog import event_tuples, latest_runs
 from twinsieve.operators.stats import index_stats
 from twinsieve.plans.export import export_csv
 from twinsieve.schema import (
@@ -47,9 +56,18 @@ from twinsieve.schema import (
     ScanOptions,
     struct,
 )
-from twinsieve.session import small_frame, written
+from twinsieve.session import broadcast_if_small, small_frame, written
 from twinsieve.sources.walker import walk_files
 
+# Parts of a volume, by a hash of the path. Part of the layout: an index keeps its number.
+PARTS = 64
+MANIFEST = struct("volume_id long, part int, rows long")
+
+
+def part_of(path_rel) -> F.Column:
+    """The part that a path's row lies in."""
+    return F.pmod(F.xxhash64(F.col(path_rel) if isinstance(path_rel, str) else path_rel), F.lit(PARTS)).cast("int")
+
 
 def as_root(root: str) -> str:
     """A root as the volumes table names it: P1, and always ending in a separator."""
@@ -92,20 +110,41 @@ class Index:
         """The latest state of every run."""
         return latest_runs(self.scan_log())
 
-    def tables(self) -> tuple[DataFrame, DataFrame]:
-        """The current rows of all volumes, and the volumes, from one look at the log.
+    def _stored(self, name: str, schema: T.StructType) -> DataFrame:
+        """All runs' rows of a partitioned table, with its partition columns; none if there is none yet."""
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error.getCondition()):
+                raise
+            return small_frame(self.spark, [], schema)
 
-        The list of current runs has one entry per volume. Files are
-        partitioned by volume on disk.
+    def current_parts(self, also: int | None = None) -> DataFrame:
+        """K4: volume_id, part, run_id and rows of every current part; ``also`` counts a run as finished."""
+        done = self.scan_log().where(F.col("status") == RUN_DONE).select("run_id")
+        if also is not None:
+            done = done.unionByName(small_frame(self.spark, [(also,)], struct("run_id long")))
+        listed = self._stored("parts", T.StructType([*MANIFEST, T.StructField("run_id", T.LongType())]))
+        listed = listed.join(F.broadcast(done.distinct()), "run_id", "left_semi")  # one row per run
+        newest = listed.groupBy("volume_id", "part").agg(F.max_by(F.struct("run_id", "rows"), "run_id").alias("last"))
+        return newest.select("volume_id", "part", "last.run_id", "last.rows")
+
+    def tables(self, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """The current rows of all volumes, or of some (volume_id, part), and the volumes.
+
+        The files of all runs are joined to the current parts on the partition
+        columns; the parts are broadcast where they are counted to be few, and
+        the join prunes the folders of other runs and parts.
         """
-        current = current_runs(self.scan_log()).collect()
-        files = [
-            f"{self.path}/files/run_id={r.run_id}/volume_id={r.volume_id}"
-            for r in current if r.file_count
-        ]
-        newest = max((r.run_id for r in current), default=None)
+        current = self.current_parts().where(F.col("rows") > 0).select("run_id", "volume_id", "part")
+        if parts is not None:
+            current = current.join(parts.select("volume_id", "part").distinct(), ["volume_id", "part"], "left_semi")
+        current = written(current, "current-parts")
+        schema = T.StructType([*FILES, T.StructField("run_id", T.LongType()), T.StructField("part", T.IntegerType())])
+        files = self._stored("files", schema).join(broadcast_if_small(current), ["run_id", "volume_id", "part"], "left_semi")
+        newest = self.scan_log().where(F.col("status") == RUN_DONE).agg(F.max("run_id")).first()[0]
         volumes = [] if newest is None else [f"{self.path}/volumes/run_id={newest}"]
-        return self._read(files, FILES, "files"), self._read(volumes, VOLUMES, "volumes")
+        return files.select(*FILES.fieldNames()), self._read(volumes, VOLUMES, "volumes")
 
     def files(self) -> DataFrame:
         return self.tables()[0]
@@ -142,14 +181,54 @@ class Index:
     # --- runs -------------------------------------------------------------
 
     def _log(self, rows: list[dict]) -> None:
-        run_events(self.spark, rows).coalesce(1).write.mode("append").parquet(
-            f"{self.path}/scan_log"
-        )
+        """Append events as one file of a name of its own, created only if it does not exist.
+
+        Writers that log at once never share a folder of temporary files, as appends through
+        Spark's committer would.
+        """
+        import io
+        import uuid
+
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        names = SCAN_LOG.fieldNames()
+        schema = to_arrow_schema(SCAN_LOG)
+        columns = list(zip(*event_tuples(rows), strict=True)) or [[] for _ in names]
+        table = pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        buffer = io.BytesIO()
+        pq.write_table(table, buffer)
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/scan_log/events-{uuid.uuid4().hex}.parquet")
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, False)
+        try:
+            out.write(bytearray(buffer.getvalue()))
+        finally:
+            out.close()
+
+    def _claim(self, run_id: int) -> bool:
+        """Create ``claims/<run_id>`` if no writer has; True for the one that did."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.path}/claims/{run_id}")
+        system = path.getFileSystem(context._jsc.hadoopConfiguration())
+        try:
+            system.create(path, False).close()  # fails if the file exists
+        except Exception as error:  # py4j wraps the Java exception
+            if "FileAlreadyExists" in str(error) or system.exists(path):
+                return False
+            raise
+        return True
 
     def begin_run(self, volume_ids: list[int], run_key: str | None = None) -> int:
-        """Open a run over some volumes. Ids of dead runs are not used again."""
+        """Open a run over some volumes. Ids of dead runs are not used again.
+
+        The id is claimed by creating a file of that name that must not exist yet, so two
+        writers never share one: the loser tries the next id.
+        """
         last = self.scan_log().agg(F.max("run_id")).first()[0]
         run_id = (last or 0) + 1
+        while not self._claim(run_id):
+            run_id += 1
         self._log([
             dict(run_id=run_id, volume_id=v, seq=0, run_key=run_key,
                  started_at=self.clock(), status=RUN_RUNNING)
@@ -174,23 +253,26 @@ class Index:
         ignored: DataFrame | None = None,
         run_key: str | None = None,
         even_out: bool = True,
+        parts: DataFrame | None = None,
     ) -> None:
         """K4, U8: write a run's tables and make them current.
 
-        ``files`` holds the whole new state of the touched volumes, or is None
-        if no volume is touched; an ``action`` column is stored along and
-        counted for the log. ``even_out`` lets adaptive execution cut a large
-        volume into even files and merge small ones; without it the layout of
-        the input stays, and the rows are not shuffled.
+        ``files`` holds the whole new state of the touched volumes, or, if
+        ``parts`` (volume_id, part) is given, of those parts only; it is None if
+        no volume is touched. An ``action`` column is stored along and counted
+        for the log. ``even_out`` lets adaptive execution cut a large part into
+        even files and merge small ones; without it the layout of the input
+        stays, and the rows are not shuffled.
         """
         by_volume: dict[int, dict] = {}
         if files is not None:
             files_dir = f"{self.path}/files/run_id={run_id}"
             if "action" not in files.columns:
                 files = files.withColumn("action", F.lit("unchanged"))
-            laid_out = files.hint("rebalance", "volume_id") if even_out else files
-            laid_out.write.partitionBy("volume_id").parquet(files_dir)
-            by_volume = self._written_counts(files_dir)
+            files = files.withColumn("part", part_of("path_rel"))
+            laid_out = files.hint("rebalance", "volume_id", "part") if even_out else files
+            laid_out.write.partitionBy("volume_id", "part").parquet(files_dir)
+            by_volume = self._written_counts(files_dir, run_id, volume_ids, parts)
         volumes.write.parquet(f"{self.path}/volumes/run_id={run_id}")
         if ignored is not None:
             ignored.write.parquet(f"{self.path}/ignored/run_id={run_id}")
@@ -206,21 +288,38 @@ class Index:
             for v in volume_ids
         ])
 
-    def _written_counts(self, files_dir: str) -> dict[int, dict]:
-        """What a run did, per volume, from three columns of what it wrote."""
+    def _written_counts(self, files_dir: str, run_id: int, volume_ids: list[int],
+                        parts: DataFrame | None) -> dict[int, dict]:
+        """What a run did, per volume, from three columns of what it wrote.
+
+        Writes the run's manifest: every part it rewrote with its rows, all
+        parts of the volumes unless ``parts`` names some. ``file_count`` is the
+        volume's rows once the run is current.
+        """
 
         def n(*actions: str):
             return F.count_if(F.col("action").isin(*actions))
 
-        rows = self.spark.read.schema("action string, file_id long, volume_id long").parquet(files_dir)
-        counts = rows.groupBy("volume_id").agg(
+        rows = self.spark.read.schema("action string, file_id long, volume_id long, part int").parquet(files_dir)
+        by_part = written(rows.groupBy("volume_id", "part").agg(
             n("inserted", "verified", "reset").alias("files_scanned"),
             n("inserted").alias("files_added"),
             n("verified", "reset").alias("files_updated"),
             n("missing").alias("files_deleted"),
-            F.count(F.lit(1)).alias("file_count"),
+            F.count(F.lit(1)).alias("rows"),
             F.max("file_id").alias("top_file_id"),
-        )
+        ), "part-counts")
+        if parts is None:
+            ids = small_frame(self.spark, [(v,) for v in volume_ids], struct("volume_id long"))
+            parts = ids.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        listed = parts.select("volume_id", "part").distinct().join(by_part.select("volume_id", "part", "rows"),
+                                                                    ["volume_id", "part"], "left")
+        listed.select("volume_id", "part", F.coalesce("rows", F.lit(0)).alias("rows")).write.parquet(
+            f"{self.path}/parts/run_id={run_id}")
+        totals = self.current_parts(also=run_id).groupBy("volume_id").agg(F.sum("rows").alias("file_count"))
+        counts = by_part.groupBy("volume_id").agg(
+            *(F.sum(c).alias(c) for c in ("files_scanned", "files_added", "files_updated", "files_deleted")),
+            F.max("top_file_id").alias("top_file_id")).join(totals, "volume_id", "left")
         return {r.volume_id: r.asDict() for r in counts.collect()}
 
     # --- commands ---------------------------------------------------------

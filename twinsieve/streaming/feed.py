@@ -17,7 +17,7 @@ from twinsieve.operators.maintenance import (
     _match,
     _resolve,
 )
-from twinsieve.plans.index import NO_VOLUME, Index
+from twinsieve.plans.index import NO_VOLUME, Index, part_of
 from twinsieve.schema import REASON_BAD_KEY, ScanOptions, struct
 from twinsieve.session import BROADCAST_ROWS, broadcast_if_small, is_small, small_frame, written
 
@@ -152,8 +152,9 @@ def _known_volumes_only(changes: DataFrame, volumes: DataFrame) -> DataFrame:
 def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
     """Apply one batch to a stored index; False if it was applied before.
 
-    Rows and positions become current together. Only touched volumes are
-    rewritten, and rows are not moved when the batch is small.
+    Rows and positions become current together. Only the parts that the
+    batch's keys hash to are read and rewritten, and rows are not moved when
+    the batch is small.
     """
     if index.has_run(run_key):
         return False
@@ -167,9 +168,9 @@ def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
         return False
     ids = sorted(touched) or [NO_VOLUME]
     run_id = index.begin_run(ids, run_key)
-    old, known = index.tables()
-    old = old.where(F.col("volume_id").isin(ids))
     net = written(net_changes(rows), "net")
+    parts = written(net.select("volume_id", part_of("path_rel").alias("part")).distinct(), "touched-parts")
+    old, known = index.tables(parts)
     few = is_small(net)
     new = apply_net_changes(old, net, now, few, next_id=index.next_file_id())
     top = small_frame(index.spark, list(touched.items()), struct("id long, top long"))
@@ -180,7 +181,7 @@ def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
             "last_usn": F.greatest("last_usn", "top"),
         }
     ).drop("top")
-    index.commit(run_id, ids, new, volumes, ignored, run_key, even_out=not few)
+    index.commit(run_id, ids, new, volumes, ignored, run_key, even_out=not few, parts=parts)
     return True
 
 
