@@ -8,9 +8,10 @@ is counted in the first table where its keys agree only, so each link counts onc
 
 Exact copies are one vector with a multiplicity before any hashing, so a group of thousands of equal
 vectors costs one row. A bucket is compared in blocks of at most about ``BLOCK`` vectors: a bucket of g
-vectors is dealt into ceil(g / BLOCK) blocks by a hash of the id, and every pair of blocks meets in one
-task, so no task holds more than two blocks and no pair is ever written out: a task emits per vector the
-number of links it found and a star of each local component. Components are joined by alternating
+vectors is dealt into ceil(g / BLOCK) blocks by a hash of the id, and every pair of blocks meets as one
+run of sorted rows, so no run holds more than two blocks and no pair is ever written out: a task emits per
+vector the number of links it found and a star of each local component. Small buckets of a batch are
+compared all at once, by index arithmetic over their pairs. Components are joined by alternating
 stars.
 
 Projections come from a fixed seed and the dimension, so every task draws the same ones and nothing is
@@ -28,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,35 +97,90 @@ def _stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_block(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links and local stars of one pair of blocks of one bucket of table ``t``."""
-    t, lo, hi = int(rows["t"].iloc[0]), int(rows["lo"].iloc[0]), int(rows["hi"].iloc[0])
-    left = rows[rows["blk"] == lo].reset_index(drop=True)
-    right = left if lo == hi else rows[rows["blk"] == hi].reset_index(drop=True)
-    empty = pd.DataFrame({"rep": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="int64")})
-    if not len(left) or not len(right):
-        return empty
-    similar = unit(list(left["embedding"])) @ unit(list(right["embedding"])).T >= THRESHOLD
-    if lo == hi:
-        similar = np.triu(similar, 1)
-    i, j = np.nonzero(similar)
-    if t and len(i):
-        ka, kb = np.stack(left["keys"].to_numpy())[:, :t], np.stack(right["keys"].to_numpy())[:, :t]
-        first = ~(ka[i] == kb[j]).any(axis=1)
-        i, j = i[first], j[first]
-    if not len(i):
-        return empty
-    m_left, m_right = left["m"].to_numpy(), right["m"].to_numpy()
-    reps = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()]) if lo != hi else left["rep"].to_numpy()
+SMALL = 64  # buckets up to this size are compared pair by pair, many at once
+
+
+def _pairs(groups: np.ndarray, lo: np.ndarray, hi: np.ndarray, blk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs (i, j) to compare within the runs of equal ``groups``: all i < j of a block with itself,
+    every row of block lo with every row of block hi otherwise."""
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    sizes = np.diff(np.r_[starts, len(groups)])
+    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    same = lo[starts] == hi[starts]
+    for g in np.unique(sizes[same & (sizes <= SMALL)]):
+        if g < 2:
+            continue
+        a, b = np.triu_indices(int(g), 1)
+        at = starts[same & (sizes == g)][:, None]
+        out_i.append((at + a).ravel())
+        out_j.append((at + b).ravel())
+    for s, g in zip(starts[~same | (sizes > SMALL)].tolist(), sizes[~same | (sizes > SMALL)].tolist(), strict=True):
+        rows = np.arange(s, s + g)
+        if lo[s] == hi[s]:
+            a, b = np.triu_indices(g, 1)
+            out_i.append(rows[a])
+            out_j.append(rows[b])
+        else:
+            left, right = rows[blk[rows] == lo[s]], rows[blk[rows] == hi[s]]
+            out_i.append(np.repeat(left, len(right)))
+            out_j.append(np.tile(right, len(left)))
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Links and local stars of whole runs of rows of equal (t, key, lo, hi), sorted so.
+
+    Candidate pairs are cut into slices of at most a million, so memory stays bounded for any bucket.
+    """
+    t = batch.column("t").to_numpy()
+    groups = np.stack([t, batch.column("key").to_numpy(), batch.column("lo").to_numpy(), batch.column("hi").to_numpy()], 1)
+    fresh = np.r_[True, (groups[1:] != groups[:-1]).any(axis=1)]
+    ids = np.cumsum(fresh)
+    vectors = batch.column("embedding").to_pylist()
+    width = max(len(v) for v in vectors)
+    x = np.zeros((len(vectors), width))
+    for n, v in enumerate(vectors):
+        x[n, :len(v)] = v
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    keys = np.stack(batch.column("keys").to_numpy(zero_copy_only=False))
+    m = batch.column("m").to_numpy()
+    reps = batch.column("rep").to_numpy()
+    i, j = _pairs(ids, batch.column("lo").to_numpy(), batch.column("hi").to_numpy(), batch.column("blk").to_numpy())
+    keep_i, keep_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for low in range(0, len(i), 1 << 20):
+        a, b = i[low:low + (1 << 20)], j[low:low + (1 << 20)]
+        linked = np.einsum("ij,ij->i", x[a], x[b]) >= THRESHOLD
+        earlier = ((keys[a] == keys[b]) & (np.arange(TABLES)[None, :] < t[a][:, None])).any(axis=1)
+        keep_i.append(a[linked & ~earlier])
+        keep_j.append(b[linked & ~earlier])
+    i, j = np.concatenate(keep_i), np.concatenate(keep_j)
     links = np.zeros(len(reps), np.int64)
-    shift = len(left) if lo != hi else 0
-    np.add.at(links, i, m_right[j])
-    np.add.at(links, j + shift, m_left[i])
-    label = _stars(len(reps), i, j + shift)
+    np.add.at(links, i, m[j])
+    np.add.at(links, j, m[i])
+    root = reps[_stars(len(reps), i, j)]
     touched = links > 0
-    root = reps[label]
-    return pd.DataFrame({"rep": reps[touched], "links": links[touched],
-                         "root": np.where(root[touched] != reps[touched], root[touched], reps[touched])})
+    return pa.RecordBatch.from_arrays([pa.array(reps[touched]), pa.array(links[touched]), pa.array(root[touched])],
+                                      ["rep", "links", "root"])
+
+
+def _compare_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``compare`` over batches sorted by group; a group that goes on in the next batch waits for it."""
+    names = ["t", "key", "lo", "hi"]
+    pending = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([batch])])
+        if not table.num_rows:
+            continue
+        last = [table.column(c)[table.num_rows - 1].as_py() for c in names]
+        tail = np.ones(table.num_rows, bool)
+        for c, v in zip(names, last, strict=True):
+            tail &= table.column(c).to_numpy() == v
+        cut = int(np.flatnonzero(~tail)[-1]) + 1 if (~tail).any() else 0
+        if cut:
+            yield compare(table.slice(0, cut).combine_chunks().to_batches()[0])
+        pending = table.slice(cut)
+    if pending is not None and pending.num_rows:
+        yield compare(pending.combine_chunks().to_batches()[0])
 
 
 def near_duplicates(embeddings: DataFrame) -> DataFrame:
@@ -143,8 +198,9 @@ def near_duplicates(embeddings: DataFrame) -> DataFrame:
               .withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
               .select("t", "key", "rep", "blk", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi")))
     full = placed.join(distinct.select("rep", "m", "embedding"), "rep").join(keys, "rep")
-    found = written(full.groupBy("t", "key", "lo", "hi").applyInPandas(
-        compare_block, "rep long, links long, root long"), "embed-links")
+    groups = ["t", "key", "lo", "hi"]
+    found = written(full.repartition(*groups).sortWithinPartitions(*groups, "blk", "rep").mapInArrow(
+        tidy(_compare_sorted), "rep long, links long, root long"), "embed-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("root <> rep").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_rep = (distinct.select("embedding", "rep", "m").join(links, "rep", "left")
