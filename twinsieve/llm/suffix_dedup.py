@@ -500,14 +500,12 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated byte strings cut from their texts; all rows stay, with all their columns.
 
     Only rows that lose bytes are joined to their cut texts, by id and by the SHA-256 of the whole text, so
-    rows of one id with unlike texts keep their own and equal rows are cut alike; the cut rows are
-    broadcast where they are counted to be few. Rows without an id stay whole. The given columns travel
+    rows of one id with unlike texts keep their own and equal rows are cut alike. Rows without an id stay whole. The given columns travel
     packed in one struct, so none of their names can clash with the operator's. What a cut leaves of a
     character is dropped. A null text stays null; ``n_chars``, if present, counts the kept text.
     """
     removed = removals(documents, length, True).where((F.col("n_removed") > 0) & F.col("doc_id").isNotNull())
-    cut = written(removed.groupBy(F.col("doc_id").alias("_cut_id"), F.col("digest").alias("_cut_digest"))
-                  .agg(F.min("kept").alias("_cut")), "cut-texts")
+    cut = removed.groupBy(F.col("doc_id").alias("_cut_id"), F.col("digest").alias("_cut_digest")).agg(F.min("kept").alias("_cut"))
     ship_package(documents.sparkSession)
 
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -518,8 +516,8 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_doc"),
                               F.col("doc_id").cast("long").alias("_id"),
                               F.unhex(F.sha2(F.coalesce(F.encode("text", "utf-8"), F.lit(b"")), 256)).alias("_digest"))
-    joined = packed.join(broadcast_if_small(cut), (F.col("_id") == F.col("_cut_id")) & (F.col("_digest") == F.col("_cut_digest")),
-                         "left")
+    # Texts are never broadcast by a count of rows; adaptive execution may, by their bytes.
+    joined = packed.join(cut, (F.col("_id") == F.col("_cut_id")) & (F.col("_digest") == F.col("_cut_digest")), "left")
     text = F.when(F.col("_cut").isNull() | F.col("_doc.text").isNull(), F.col("_doc.text")).otherwise(decoded("_cut"))
     doc = F.col("_doc").withField("text", text)
     if "n_chars" in documents.columns:
