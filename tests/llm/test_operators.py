@@ -401,6 +401,30 @@ def test_main_text():
     assert [html.main_text(x) for x in ("", "<p", "plain", "<!-- a", "<script>x")] == ["", "", "plain", "", ""]
 
 
+ARTICLE = "<article><h1>Title here</h1><p>" + "The cat sat on the mat and it was happy with the day. " * 3 + "</p></article>"
+ARTICLE_TEXT = "Title here\n" + ("The cat sat on the mat and it was happy with the day. " * 3).strip()
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='content has-sidebar'>{}</div>", "<div id='page' class='no-sidebar'>{}</div>",
+                                     "<div class='nav-open'>{}</div>", "<div class='site-wrapper'><main>{}</main></div>"])
+def test_articles_under_wrappers(wrapper):
+    page = "<html><body><nav class='main-nav'><a href=/>Home</a></nav>" + wrapper.format(ARTICLE) + \
+        "<div class='sidebar-widgets'><p>Follow us on all the networks of the world today.</p></div></body></html>"
+    assert html.main_text(page) == ARTICLE_TEXT
+
+
+def test_titles_sections_and_other_languages():
+    assert html.main_text("<article><div class='entry-header'><h1>T</h1></div><p>Body of it.</p></article>") == "T\nBody of it."
+    related = "<body><section class='related-work'><p>" + "The work of others is related to this and we cite it. " * 3 + "</p></section></body>"
+    assert html.main_text(related) == ("The work of others is related to this and we cite it. " * 3).strip()
+    russian = ("Это длинный абзац текста на русском языке, который должен остаться на странице. " * 3).strip()
+    page = f"<body><nav><a href=/>Главная</a></nav><p>{russian}</p><footer>Контакты</footer></body>"
+    assert html.main_text(page) == russian
+    long = ("A long paragraph with the words of the text, © mentioned in it, and it is the content. " * 3).strip()
+    assert html.main_text(f"<body><p>{long}</p><p>© 2024 Site</p></body>") == long
+    assert not html.marked("has-sidebar nav-open entry-header related-work") and html.marked("x site-footer")
+
+
 def test_pages_of_the_table(spark):
     from html import unescape
 

@@ -37,6 +37,12 @@ MARKS = frozenset("""nav navbar navigation menu menubar header masthead footer s
 consent gdpr ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion comment comments
 commentlist disqus reply replies respond form search share sharing social subscribe newsletter breadcrumb breadcrumbs
 related recommended widget popup modal login signup toolbar pagination pager copyright""".split())
+#: A class or id name is a mark if it is one, if it begins with one and goes on with marks or words of these
+#: (sidebar-widgets), or ends with one after a word of the site's frame (site-footer); names such as
+#: has-sidebar, nav-open, entry-header or related-work say nothing of the element itself.
+MARK_TAILS = frozenset("""area wrapper wrap container inner outer bar box block list links menu menus widget widgets
+section region top bottom left right primary secondary posts articles items item content main""".split())
+FRAME_HEADS = frozenset("site page global main primary secondary top bottom left right mobile desktop sticky fixed".split())
 STOP_WORDS = frozenset("""a an and are as at be but by for from had has have he her his i in is it its not of on or she that
 the their there they this to was we were which with you
 aber als auch auf aus bei das dem den der des die durch ein eine einem einen einer er es für hat ich im ist mit nach nicht
@@ -60,6 +66,7 @@ class Rules:
     stop_low: float = 0.22
     stop_high: float = 0.3
     links: float = 0.33
+    known_language: float = 0.05  # stop-word density of a page below which its language is not in the lists
 
 
 @dataclass
@@ -72,28 +79,42 @@ class Block:
         return " ".join("".join(t for t, _ in self.parts).split())
 
 
-def _flags(name: str, attributes: str, content: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is the page's content."""
-    bad = name in BOILERPLATE or (name == "header" and not content)
+def marked(value: str) -> bool:
+    """Whether a class or id value names boilerplate, by whole names or anchored patterns."""
+    for name in value.lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if name in MARKS or (parts and (
+                (parts[0] in MARKS and len(parts) > 1 and all(p in MARK_TAILS or p in MARKS for p in parts[1:]))
+                or (parts[-1] in MARKS and len(parts) > 1 and parts[0] in FRAME_HEADS))):
+            return True
+    return False
+
+
+def _flags(name: str, attributes: str, content: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate by its element, role or hiding; by a class or id mark; and
+    whether it is the page's content."""
+    hard = name in BOILERPLATE or (name == "header" and not content)
+    soft = False
     good = name in CONTENT
     if attributes and ("=" in attributes or "hidden" in attributes):
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key == "role":
-                bad |= value.lower() in ROLES
+                hard |= value.lower() in ROLES
                 good |= value.lower() in CONTENT
             elif key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                bad |= not MARKS.isdisjoint(re.split(r"[\s_-]+", value.lower()))
+                soft |= marked(value)
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
-                bad = True
-    return bad, good
+                hard = True
+    return hard, soft, good
 
 
 def blocks_of(html: str) -> list[Block]:
     """The blocks of a page in order, those without text left out."""
     out: list[Block] = []
     block = Block()
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, boilerplate, content, link
+    # name, boilerplate, content, link, boilerplate by element, role or hiding (not by a class or id mark)
+    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
 
     def close() -> None:
         nonlocal block
@@ -142,9 +163,12 @@ def blocks_of(html: str) -> list[Block]:
             close()
         if name in VOID or found[3].endswith("/"):
             continue
-        _, bad, good, link = stack[-1]
-        own_bad, own_good = _flags(name, found[3], good)
-        stack.append((name, bad or own_bad, (good or own_good) and not own_bad, link or name == "a"))
+        _, bad, good, link, hard = stack[-1]
+        own_hard, own_soft, own_good = _flags(name, found[3], good)
+        own_bad = own_hard or own_soft
+        if own_good and not own_bad:  # an article or main element resets marks inherited from class names
+            bad = hard
+        stack.append((name, bad or own_bad, (good or own_good) and not own_bad, link or name == "a", hard or own_hard))
         if name in BLOCKS:
             close()
         elif own_bad and not bad:
@@ -153,7 +177,7 @@ def blocks_of(html: str) -> list[Block]:
     return [b for b in out if b.text()]
 
 
-def _imply_end(stack: list[tuple[str, bool, bool, bool]], name: str) -> None:
+def _imply_end(stack: list[tuple[str, bool, bool, bool, bool]], name: str) -> None:
     """A new block ends an open paragraph, and a new item the item before it."""
     closes = {"p", "li"} if name == "li" else {"p", "dt", "dd"} if name in ("dt", "dd") else \
         {"p", "td", "th"} if name in ("td", "th") else {"p", "td", "th", "tr"} if name == "tr" else {"p", "option"}
@@ -167,20 +191,30 @@ def _imply_end(stack: list[tuple[str, bool, bool, bool]], name: str) -> None:
         del stack[cut:]
 
 
-def first_pass(block: Block, rules: Rules) -> bool | None:
-    """Content, boilerplate, or None for an undecided block."""
+def stop_density(text: str) -> float:
+    words = LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+
+
+def first_pass(block: Block, rules: Rules, known_language: bool = True) -> bool | None:
+    """Content, boilerplate, or None for an undecided block.
+
+    Where the page's words hold almost no stop word of the lists, its language is not one of theirs:
+    long blocks with few links are content, and density says nothing.
+    """
     if block.boilerplate:
         return False
     if block.content:
         return True
     whole = block.text()
     linked = sum(len(t.strip()) for t, link in block.parts if link)
-    if linked > rules.links * len(whole) or "©" in whole:
+    if linked > rules.links * len(whole) or ("©" in whole and len(whole) < rules.short):
         return False
-    words = LETTERS.findall(whole.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if len(whole) < rules.short:
         return None
+    if not known_language:
+        return True if len(whole) > rules.long else None
+    density = stop_density(whole)
     if density >= rules.stop_high:
         return True if len(whole) > rules.long else None
     return None if density >= rules.stop_low else False
@@ -212,7 +246,8 @@ def main_text(html: str, rules: Rules | None = None) -> str:
     """The kept blocks, white space made single, joined by line ends."""
     rules = rules or Rules()
     blocks = blocks_of(html)
-    kept = second_pass([first_pass(b, rules) for b in blocks])
+    known = stop_density(" ".join(b.text() for b in blocks if not b.boilerplate)) >= rules.known_language
+    kept = second_pass([first_pass(b, rules, known) for b in blocks])
     return "\n".join(b.text() for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
