@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from registry import frames as X
 from twinsieve.operators.checks import Expectations
 from twinsieve.operators.fingerprint import fingerprint
-from twinsieve.plans.index import PARTS, Index, part_of
+import twinsieve.plans.index as stored
+from twinsieve.plans.index import Index, part_of
 from twinsieve.schema import CHANGES, HASH_TYPE_PREFIX, ScanOptions
 from twinsieve.sources.content import file_hashes, prefix_hashes
 from twinsieve.sources.inventory import read_inventory
@@ -254,7 +255,7 @@ def test_a_dead_run_leaves_the_index_as_it_was(spark, five_files, index):
     index.scan([five_files])
     before = sorted(index.files().collect())
     run = index.begin_run([index.volume_id(five_files)])
-    files = index.files().withColumn("is_deleted", F.lit(1)).withColumn("part", part_of("path_rel"))
+    files = index.files().withColumn("is_deleted", F.lit(1)).withColumn("part", part_of("path_rel", 1))
     files.write.partitionBy("volume_id", "part").parquet(f"{index.path}/files/run_id={run}")
     assert sorted(index.files().collect()) == before
     index.erase(five_files)
@@ -359,17 +360,21 @@ def test_fingerprint_modes_are_checked(spark):
         fingerprint(None, None, "lazy")
 
 
-def test_a_feed_batch_rewrites_only_its_parts(spark, index, five_files):
-    """A batch of one change reads and writes the one part its key hashes to."""
+def test_a_feed_batch_rewrites_only_its_parts(spark, index, five_files, monkeypatch):
+    """A whole rewrite lays a volume out by its rows; a batch of one change then reads and writes
+    the one part its key hashes to."""
     from twinsieve.schema import CHANGES
     from twinsieve.streaming.feed import apply_batch
 
+    monkeypatch.setattr(stored, "PART_ROWS", 1)
     index.scan([five_files])
     v = index.volume_id(five_files)
+    assert spark.read.parquet(f"{index.path}/parts/run_id=1").count() == 1  # the volume had no rows yet
+    index.hash("eager")
     before = {r.path_rel: r for r in index.files().collect()}
-    first = os.listdir(f"{index.path}/files/run_id=1/volume_id={v}")
-    listed = spark.read.parquet(f"{index.path}/parts/run_id=1")
-    assert listed.count() == PARTS and listed.agg(F.sum("rows")).first()[0] == len(before)
+    first = os.listdir(f"{index.path}/files/run_id=2/volume_id={v}")
+    listed = spark.read.parquet(f"{index.path}/parts/run_id=2")
+    assert listed.count() == 8 and listed.agg(F.sum("rows")).first()[0] == len(before)
     path = sorted(before)[0]
     row = {f.name: None for f in CHANGES}
     row.update(volume_id=v, path_rel=path, pos=5, modified=before[path].modified + 10, size=before[path].size + 1)
@@ -377,7 +382,7 @@ def test_a_feed_batch_rewrites_only_its_parts(spark, index, five_files):
     assert apply_batch(index, changes, "one")
     run = max(int(d.split("=")[1]) for d in os.listdir(f"{index.path}/files"))
     touched = [d for d in os.listdir(f"{index.path}/files/run_id={run}/volume_id={v}") if d.startswith("part=")]
-    part = spark.range(1).select(part_of(F.lit(path)).alias("p")).first().p
+    part = spark.range(1).select(part_of(F.lit(path), 8).alias("p")).first().p
     assert touched == [f"part={part}"] and len(first) >= 2
     assert spark.read.parquet(f"{index.path}/parts/run_id={run}").count() == 1
     after = {r.path_rel: r for r in index.files().collect()}

@@ -1,10 +1,13 @@
 """The persistent index: a folder of Parquet tables, and the runs that build it.
 
-The rows of a volume are laid out in ``PARTS`` parts by a hash of the path:
+The rows of a volume are laid out in parts by a hash of the path:
 ``files/run_id=R/volume_id=V/part=P`` holds part P of volume V as run R left it.
-A run writes only the parts it touched, into folders of its own, and lists them,
-empty ones too, in its manifest ``parts/run_id=R``; a part is current in the
-newest finished run whose manifest lists it. A run is finished once its ``done``
+A run that rewrites a whole volume chooses its number of parts from the rows the
+volume had, a power of two near one part per ``PART_ROWS`` rows and at most
+``MAX_PARTS``; later runs keep that layout until the next whole rewrite. A run
+writes only the parts it touched, into folders of its own, and lists them, empty
+ones too, with the layout, in its manifest ``parts/run_id=R``; a part is current
+in the newest finished run that lists it, since the volume's last whole rewrite. A run is finished once its ``done``
 row is in ``scan_log``, which is written last. Nothing that is read is ever
 overwritten, and a run that dies leaves the previous state in force.
 
@@ -59,14 +62,23 @@ from twinsieve.schema import (
 from twinsieve.session import broadcast_if_small, small_frame, written
 from twinsieve.sources.walker import walk_files
 
-# Parts of a volume, by a hash of the path. Part of the layout: an index keeps its number.
-PARTS = 64
-MANIFEST = struct("volume_id long, part int, rows long")
+# Parts of a volume, by a hash of the path: about one per PART_ROWS rows, a power of two, at most MAX_PARTS.
+PART_ROWS = 1_000_000
+MAX_PARTS = 64
+MANIFEST = struct("volume_id long, part int, rows long, parts int")
 
 
-def part_of(path_rel) -> F.Column:
-    """The part that a path's row lies in."""
-    return F.pmod(F.xxhash64(F.col(path_rel) if isinstance(path_rel, str) else path_rel), F.lit(PARTS)).cast("int")
+def part_of(path_rel, parts) -> F.Column:
+    """The part that a path's row lies in, of ``parts`` (a column or a number)."""
+    path = F.col(path_rel) if isinstance(path_rel, str) else path_rel
+    count = F.col(parts) if isinstance(parts, str) else parts if isinstance(parts, F.Column) else F.lit(parts)
+    return F.pmod(F.xxhash64(path), count).cast("int")
+
+
+def parts_for(rows: F.Column) -> F.Column:
+    """The number of parts for a volume of so many rows."""
+    wanted = F.greatest(F.ceil(F.coalesce(rows, F.lit(0)) / F.lit(PART_ROWS)), F.lit(1))
+    return F.least(F.pow(F.lit(2), F.ceil(F.log2(wanted))), F.lit(MAX_PARTS)).cast("int")
 
 
 def as_root(root: str) -> str:
@@ -126,8 +138,15 @@ class Index:
             done = done.unionByName(small_frame(self.spark, [(also,)], struct("run_id long")))
         listed = self._stored("parts", T.StructType([*MANIFEST, T.StructField("run_id", T.LongType())]))
         listed = listed.join(F.broadcast(done.distinct()), "run_id", "left_semi")  # one row per run
-        newest = listed.groupBy("volume_id", "part").agg(F.max_by(F.struct("run_id", "rows"), "run_id").alias("last"))
-        return newest.select("volume_id", "part", "last.run_id", "last.rows")
+        whole = (listed.groupBy("run_id", "volume_id").agg(F.count("*").alias("n"), F.max("parts").alias("parts"))
+                 .where(F.col("n") == F.col("parts")).groupBy("volume_id").agg(F.max("run_id").alias("since")))
+        listed = listed.join(whole, "volume_id").where(F.col("run_id") >= F.col("since"))
+        newest = listed.groupBy("volume_id", "part").agg(F.max_by(F.struct("run_id", "rows", "parts"), "run_id").alias("last"))
+        return newest.select("volume_id", "part", "last.run_id", "last.rows", "last.parts")
+
+    def layout(self) -> DataFrame:
+        """volume_id, parts (the current number) and rows of every stored volume."""
+        return self.current_parts().groupBy("volume_id").agg(F.max("parts").alias("parts"), F.sum("rows").alias("rows"))
 
     def tables(self, parts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """The current rows of all volumes, or of some (volume_id, part), and the volumes.
@@ -139,7 +158,6 @@ class Index:
         current = self.current_parts().where(F.col("rows") > 0).select("run_id", "volume_id", "part")
         if parts is not None:
             current = current.join(parts.select("volume_id", "part").distinct(), ["volume_id", "part"], "left_semi")
-        current = written(current, "current-parts")
         schema = T.StructType([*FILES, T.StructField("run_id", T.LongType()), T.StructField("part", T.IntegerType())])
         files = self._stored("files", schema).join(broadcast_if_small(current), ["run_id", "volume_id", "part"], "left_semi")
         newest = self.scan_log().where(F.col("status") == RUN_DONE).agg(F.max("run_id")).first()[0]
@@ -269,10 +287,16 @@ class Index:
             files_dir = f"{self.path}/files/run_id={run_id}"
             if "action" not in files.columns:
                 files = files.withColumn("action", F.lit("unchanged"))
-            files = files.withColumn("part", part_of("path_rel"))
+            if parts is None:  # whole volumes: a layout by the rows they had
+                ids = small_frame(self.spark, [(v,) for v in volume_ids], struct("volume_id long"))
+                chosen = ids.join(self.layout(), "volume_id", "left").select("volume_id", parts_for(F.col("rows")).alias("parts"))
+            else:
+                chosen = parts.select("volume_id", "parts").distinct()
+            chosen = written(chosen, "layout")
+            files = files.join(broadcast_if_small(chosen), "volume_id").withColumn("part", part_of("path_rel", "parts")).drop("parts")
             laid_out = files.hint("rebalance", "volume_id", "part") if even_out else files
             laid_out.write.partitionBy("volume_id", "part").parquet(files_dir)
-            by_volume = self._written_counts(files_dir, run_id, volume_ids, parts)
+            by_volume = self._written_counts(files_dir, run_id, chosen, parts)
         volumes.write.parquet(f"{self.path}/volumes/run_id={run_id}")
         if ignored is not None:
             ignored.write.parquet(f"{self.path}/ignored/run_id={run_id}")
@@ -288,12 +312,13 @@ class Index:
             for v in volume_ids
         ])
 
-    def _written_counts(self, files_dir: str, run_id: int, volume_ids: list[int],
+    def _written_counts(self, files_dir: str, run_id: int, chosen: DataFrame,
                         parts: DataFrame | None) -> dict[int, dict]:
         """What a run did, per volume, from three columns of what it wrote.
 
         Writes the run's manifest: every part it rewrote with its rows, all
-        parts of the volumes unless ``parts`` names some. ``file_count`` is the
+        parts of the volumes in the ``chosen`` layout (volume_id, parts) unless ``parts``
+        (volume_id, part, parts) names some. ``file_count`` is the
         volume's rows once the run is current.
         """
 
@@ -310,11 +335,10 @@ class Index:
             F.max("file_id").alias("top_file_id"),
         ), "part-counts")
         if parts is None:
-            ids = small_frame(self.spark, [(v,) for v in volume_ids], struct("volume_id long"))
-            parts = ids.select("volume_id", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-        listed = parts.select("volume_id", "part").distinct().join(by_part.select("volume_id", "part", "rows"),
-                                                                    ["volume_id", "part"], "left")
-        listed.select("volume_id", "part", F.coalesce("rows", F.lit(0)).alias("rows")).write.parquet(
+            parts = chosen.select("volume_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+        listed = parts.select("volume_id", "part", "parts").distinct().join(
+            by_part.select("volume_id", "part", "rows"), ["volume_id", "part"], "left")
+        listed.select("volume_id", "part", F.coalesce("rows", F.lit(0)).alias("rows"), "parts").write.parquet(
             f"{self.path}/parts/run_id={run_id}")
         totals = self.current_parts(also=run_id).groupBy("volume_id").agg(F.sum("rows").alias("file_count"))
         counts = by_part.groupBy("volume_id").agg(

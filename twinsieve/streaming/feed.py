@@ -169,7 +169,10 @@ def apply_batch(index: Index, changes: DataFrame, run_key: str) -> bool:
     ids = sorted(touched) or [NO_VOLUME]
     run_id = index.begin_run(ids, run_key)
     net = written(net_changes(rows), "net")
-    parts = written(net.select("volume_id", part_of("path_rel").alias("part")).distinct(), "touched-parts")
+    layout = index.layout().select("volume_id", "parts")
+    placed = net.select("volume_id", "path_rel").join(broadcast_if_small(layout), "volume_id", "left").withColumn(
+        "parts", F.coalesce("parts", F.lit(1)))
+    parts = written(placed.select("volume_id", part_of("path_rel", "parts").alias("part"), "parts").distinct(), "touched-parts")
     old, known = index.tables(parts)
     few = is_small(net)
     new = apply_net_changes(old, net, now, few, next_id=index.next_file_id())
