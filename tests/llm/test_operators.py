@@ -328,6 +328,32 @@ def test_suffix_dedup_rows_of_one_id(spark):
         d for *_, d in cut([(i, t.encode()) for i, t in rows]))
 
 
+def test_suffix_dedup_cuts_texts_where_they_are(spark, capsys):
+    """Ranges meet the documents, with their columns, in one exchange: no cut text is shuffled. Texts are those of plain cutting."""
+    draw = random.Random(8)
+    passages = ["".join(draw.choice("abcdefé ") for _ in range(160)) for _ in range(3)]
+    rows = [(i, "".join(draw.choice("ghijk ") for _ in range(70)).join([passages[k][draw.randint(0, 50):] for k in draw.sample(range(3), 3)]))
+            for i in range(40)]
+    rows += [(50, rows[0][1]), (50, rows[0][1]), (51, "short"), (52, "short"), (53, None), (2, rows[9][1] + " more")]
+    df = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars int")
+    out = suffix_dedup.deduplicated(df)
+    capsys.readouterr()
+    out.explain("formatted")
+    moved = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+    assert sum("_doc#" in m for m in moved) == 1 and not any("kept" in m or "_cut#" in m for m in moved)
+    first: dict[bytes, int] = {}
+    coded = [(i, (t or "").encode()) for i, t in rows]
+    for i, t in coded:
+        for k in range(len(t) - 49):
+            first[t[k:k + 50]] = min(i, first.get(t[k:k + 50], i))
+    want = []
+    for (i, t), (_, given) in zip(coded, rows, strict=True):
+        gone = {k + n for k in range(len(t) - 49) if first[t[k:k + 50]] < i for n in range(50)}
+        text = bytes(b for k, b in enumerate(t) if k not in gone).decode("utf-8", "ignore")
+        want.append((i, None if given is None else text, None if given is None else len(text)))
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in out.collect())
+
+
 def test_suffix_arrays():
     draw = np.random.default_rng(1)
     for n, top in [(0, 1), (1, 1), *[(int(draw.integers(2, 60)), int(draw.integers(1, 5))) for _ in range(100)]]:

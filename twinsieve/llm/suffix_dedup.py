@@ -13,7 +13,8 @@ texts go through four steps, each a Spark exchange of packed arrays:
    with one passage.
 3. Each shard builds its suffix array by induced sorting, with permuted common prefixes; suffixes that
    share ``length`` bytes form a group, and all its windows but those of the smallest doc_id are removed.
-4. The removed ranges meet the documents again.
+4. The removed ranges meet the documents again: where only the cut texts are wanted, the ranges are merged
+   first, and the documents are shuffled once, with all their columns.
 
 Hashes only choose what is compared; the bytes decide.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from struct import Struct
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -443,6 +445,28 @@ def _cut(batches: Iterator[pa.RecordBatch], texts_too: bool, length: int) -> Ite
                                   part.column("data")])
 
 
+SPANS = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("spans", pa.binary())])
+SPANS_DDL = "doc_id long, mark binary, spans binary"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of a group of documents to a row per id and mark, its ranges merged: begins and ends as 32-bit integers."""
+    for _, _, rows in _places(batches):
+        docs, marks, begin, end = _joined(_blobs(rows), 4)
+        order = np.lexsort((begin, marks, docs))
+        docs, marks, begin, end = docs[order], marks[order], begin[order], end[order]
+        fresh = np.concatenate(([True], (docs[1:] != docs[:-1]) | (marks[1:] != marks[:-1])))
+        far = np.cumsum(fresh) * (end.max() + 1)  # ranges of one row reach no other row's
+        reach = np.maximum.accumulate(end + far)
+        opens = np.concatenate(([True], begin[1:] + far[1:] > reach[:-1]))
+        last = np.append(np.flatnonzero(opens)[1:] - 1, len(docs) - 1)
+        data = np.stack((begin[opens], (reach - far)[last]), 1).astype("<i4").tobytes()
+        first = np.flatnonzero(fresh[opens])
+        at = [*(8 * first).tolist(), len(data)]
+        yield emit(SPANS, [docs[fresh], [m.tobytes() for m in marks[fresh].astype("<i8")],
+                           [data[a:b] for a, b in zip(at, at[1:], strict=False)]])
+
+
 def _exchange(rows: DataFrame) -> DataFrame:
     """Rows that share a place meet, packed ones first, texts by id."""
     n = partitions(rows.sparkSession)
@@ -457,8 +481,16 @@ def _copies(rows: DataFrame) -> DataFrame:
     return both.where(F.col("doc_id") > F.col("first")).select("doc_id", "digest").distinct()
 
 
-def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False) -> DataFrame:
-    """What is kept of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, if wanted)."""
+class Found(NamedTuple):
+    """What the first three steps find."""
+
+    rows: DataFrame  # doc_id and text as bytes
+    texts: DataFrame  # packed rows of copies and texts
+    copies: DataFrame  # doc_id and digest of the rows whose text an earlier row has
+    removed: DataFrame  # packed ranges of the other rows
+
+
+def _search(documents: DataFrame, length: int) -> Found:
     spark = documents.sparkSession
     ship_package(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.encode("text", "utf-8").alias("text"))
@@ -483,6 +515,12 @@ def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False
     asked = wanted.where(F.col("kind") == WANTED).unionByName(text)
     sent = _exchange(asked).mapInArrow(tidy(lambda b: _select(b, shards, groups, length, shared.value)), PACKED_DDL)
     removed = _exchange(sent).mapInArrow(tidy(lambda b: _suffixes(b, groups, length)), PACKED_DDL)
+    return Found(rows, text, copies, removed)
+
+
+def removals(documents: DataFrame, length: int = LENGTH, texts_too: bool = False) -> DataFrame:
+    """What is kept of every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes, if wanted)."""
+    rows, text, _, removed = _search(documents, length)
     cut = _exchange(removed.unionByName(text)).mapInArrow(tidy(lambda b: _cut(b, texts_too, length)), KEPT_DDL)
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
@@ -496,31 +534,44 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def lost(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+    """A row per id and text that loses bytes: doc_id, mark (first bytes of the text's digest), spans (merged ranges; null: all of it)."""
+    found = _search(documents, length)
+    spans = _exchange(found.removed).mapInArrow(tidy(_merged), SPANS_DDL)
+    return spans.unionByName(found.copies.select("doc_id", F.substring("digest", 1, 8).alias("mark"), F.lit(None).cast("binary").alias("spans")))
+
+
 def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with repeated byte strings cut from their texts; all rows stay, with all their columns.
 
-    Only rows that lose bytes are joined to their cut texts, by id and by the SHA-256 of the whole text, so
+    Rows meet what they lose, ranges and not texts, by id and by the digest of the whole text, so
     rows of one id with unlike texts keep their own and equal rows are cut alike. Rows without an id stay whole. The given columns travel
     packed in one struct, so none of their names can clash with the operator's. What a cut leaves of a
     character is dropped. A null text stays null; ``n_chars``, if present, counts the kept text.
     """
-    removed = removals(documents, length, True).where((F.col("n_removed") > 0) & F.col("doc_id").isNotNull())
-    cut = removed.groupBy(F.col("doc_id").alias("_cut_id"), F.col("digest").alias("_cut_digest")).agg(F.min("kept").alias("_cut"))
-    ship_package(documents.sparkSession)
-
-    def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            yield pa.array([b if b is None else b.decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())
+    gone = lost(documents, length).select(F.col("doc_id").alias("_lost_id"), F.col("mark").alias("_lost_mark"), F.col("spans").alias("_spans"))
+
+    def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spans in columns:
+            out = []
+            for text, own in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+                if text is not None:
+                    at = [0, *np.frombuffer(own, "<i4").tolist(), len(text)]
+                    text = b"".join([text[a:b] for a, b in zip(at[::2], at[1::2], strict=True)]).decode("utf-8", "ignore")
+                out.append(text)
+            yield pa.array(out, pa.string())
 
-    decoded = F.arrow_udf(tidy(decode), "string")
     packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("_doc"),
                               F.col("doc_id").cast("long").alias("_id"),
-                              F.unhex(F.sha2(F.coalesce(F.encode("text", "utf-8"), F.lit(b"")), 256)).alias("_digest"))
-    # Texts are never broadcast by a count of rows; adaptive execution may, by their bytes.
-    joined = packed.join(cut, (F.col("_id") == F.col("_cut_id")) & (F.col("_digest") == F.col("_cut_digest")), "left")
-    text = F.when(F.col("_cut").isNull() | F.col("_doc.text").isNull(), F.col("_doc.text")).otherwise(decoded("_cut"))
-    doc = F.col("_doc").withField("text", text)
+                              F.substring(F.unhex(F.sha2(F.coalesce(F.encode("text", "utf-8"), F.lit(b"")), 256)), 1, 8).alias("_mark"))
+    # Ranges are never broadcast by a count of rows; adaptive execution may, by their bytes.
+    joined = packed.join(gone, (F.col("_id") == F.col("_lost_id")) & (F.col("_mark") == F.col("_lost_mark")), "left")
+    given = F.col("_doc.text")
+    some = F.col("_spans").isNotNull()
+    whole = F.col("_lost_id").isNotNull() & ~some & (F.octet_length(given) >= length)
+    kept = F.arrow_udf(tidy(cut), "string")(F.when(some, F.encode(given, "utf-8")), F.col("_spans"))
+    doc = F.col("_doc").withField("text", F.when(some, kept).when(whole, F.lit("")).otherwise(given))
     if "n_chars" in documents.columns:
-        doc = doc.withField("n_chars", F.when(F.col("_cut").isNull(), F.col("_doc.n_chars")).otherwise(
-            F.length(doc.getField("text")).cast(documents.schema["n_chars"].dataType)))
+        doc = doc.withField("n_chars", F.when(some | whole, F.length(doc.getField("text")).cast(documents.schema["n_chars"].dataType))
+                            .otherwise(F.col("_doc.n_chars")))
     return joined.select(doc.alias("_doc")).select("_doc.*")
