@@ -64,6 +64,20 @@ def test_bpe_equals_the_library():
         assert b"".join(decoder.decode(ids, 7)).decode() == t.decode(want, skip_special_tokens=False)
 
 
+def test_coder_keeps_frequent_chunks():
+    """A full memory is emptied but for the last texts, so words of every text are encoded once; ids stay those of a large memory."""
+    v, asked = bpe.Vocabulary(vocabulary_path()), []
+
+    def encode(words):
+        asked.extend(words)
+        return v.merge_all([w.encode() for w in words])
+
+    batches = [[f"the same words, don't they come {'abcdefgh'[n % 8] * 3}{'ijklmnop'[n // 8]} é19!"] for n in range(60)]
+    small, large = bpe.Coder(v, encode, 40), bpe.Coder(v, lambda words: v.merge_all([w.encode() for w in words]))
+    assert [small.encode_batch(b) for b in batches] == [large.encode_batch(b) for b in batches]
+    assert asked.count("same") == 1 and len(small.known) <= 40
+
+
 def test_automaton_is_minimal_and_numbers_words():
     words = sorted({w.encode() for w in "tap taps top tops stop stops a".split()})
     keys, targets, passed, final = bpe.minimal_automaton(words)

@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -338,31 +339,47 @@ class Coder:
         self.vocabulary, self.encode_words, self.most = vocabulary, encode_words, most
         self.known: dict[str, bytes] = {}
 
+    def _split(self, missing: list[str]) -> tuple[list[str], list[int]]:
+        """The words of chunks one after another, and where those of each chunk begin."""
+        # Words cover their chunk, so one search serves all chunks and lengths tell whose a word is.
+        words = self.vocabulary.words(" ".join(missing))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        wanted = np.cumsum(np.fromiter(map(len, missing), np.int64, len(missing)))
+        cuts = np.searchsorted(ends, wanted) + 1
+        if len(ends) and ends[-1] == wanted[-1] and (ends[cuts - 1] == wanted).all():
+            return words, [0, *cuts.tolist()]
+        split = [self.vocabulary.words(c) for c in missing]
+        return [w for ws in split for w in ws], [0, *accumulate(map(len, split))]
+
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         """The ids of chunks, from those of their words."""
-        split = [self.vocabulary.words(c) for c in missing]
-        words = list({w for ws in split for w in ws if w not in self.known})
-        ids = dict(zip(words, self.encode_words(words), strict=True))
-        for ws in split:
-            for w in ws:
-                if w not in ids:
-                    ids[w] = self.known[w]
-        return {c: b"".join([ids[w] for w in ws]) for c, ws in zip(missing, split, strict=True)}
+        words, cuts = self._split(missing)
+        ids = {w: self.known.get(w) for w in words}
+        new = [w for w, i in ids.items() if i is None]
+        ids.update(zip(new, self.encode_words(new), strict=True))
+        coded = list(map(ids.__getitem__, words))
+        return {c: coded[a] if b == a + 1 else b"".join(coded[a:b]) for c, a, b in zip(missing, cuts, cuts[1:], strict=False)}
 
     def encode_chunks(self, batch: list[list[str]]) -> list[bytes]:
         """The ids of each list of chunks, as little-endian unsigned 32-bit integers."""
-        known = self.known
-        found = [list(map(known.get, own)) for own in batch]
-        missing = {c for own, ids in zip(batch, found, strict=True) if None in ids
-                   for c, i in zip(own, ids, strict=True) if i is None}
-        learned = self._learn(list(missing)) if missing else {}
-        for own, ids in zip(batch, found, strict=True):
-            if None in ids:
-                ids[:] = [learned[c] if i is None else i for c, i in zip(own, ids, strict=True)]
-        if len(known) + len(learned) > self.most:
-            known.clear()
-        known.update((c, i) for c, i in learned.items() if len(c) <= CACHED_CHARS)
-        return [b"".join(ids) for ids in found]
+        flat = list(chain.from_iterable(batch))
+        found = list(map(self.known.get, flat))
+        holes, at = [], -1  # places of the chunks not met before; most have been
+        for _ in range(found.count(None)):
+            at = found.index(None, at + 1)
+            holes.append(at)
+        learned = self._learn(list(dict.fromkeys(map(flat.__getitem__, holes)))) if holes else {}
+        for at in holes:
+            found[at] = learned[flat[at]]
+        if len(self.known) + len(learned) > self.most:
+            # The chunks of the last texts stay: the frequent ones are among them.
+            self.known.clear()
+            learned = dict(zip(flat, found, strict=True))
+            if len(learned) > self.most // 2:
+                learned.clear()
+        self.known.update((c, i) for c, i in learned.items() if len(c) <= CACHED_CHARS)
+        cuts = [0, *accumulate(map(len, batch))]
+        return [b"".join(found[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode_batch(self, batch: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""

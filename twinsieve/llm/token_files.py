@@ -59,9 +59,12 @@ def _pack_equal(ids: np.ndarray) -> list[bytes]:
     rows, n = ids.shape
     low = ids.min(axis=1)
     gap = (ids - low[:, None]).astype(np.uint32)
-    at = [max(0, -(-n * p // 100) - 1) for p in PERCENTILES]
-    choice = _widths(np.partition(gap, at, axis=1)[:, at])
-    beyond = (_widths(gap)[:, :, None] > choice[:, None, :]).sum(axis=1)
+    # Widths ascend with the distances, so counts of widths give the percentiles and what is beyond them.
+    widths = _widths(gap) + 33 * np.arange(rows)[:, None]
+    within = np.cumsum(np.bincount(widths.ravel(), minlength=33 * rows).reshape(rows, 33), axis=1)
+    at = np.array([max(0, -(-n * p // 100) - 1) for p in PERCENTILES])
+    choice = (within[:, None, :] <= at[:, None]).sum(axis=2)
+    beyond = n - np.take_along_axis(within, choice, axis=1)
     best = (choice * n + beyond * EXCEPTION_BITS).argmin(axis=1)
     width = choice[np.arange(rows), best]
     out: list[bytes] = [b""] * rows
@@ -69,9 +72,12 @@ def _pack_equal(ids: np.ndarray) -> list[bytes]:
         own = np.flatnonzero(width == w)
         part = gap[own]
         size = 2 if w <= 16 else 4
-        bits = np.unpackbits((part & np.uint32((1 << int(w)) - 1)).astype(f"<u{size}").view(np.uint8).reshape(len(own), n, size),
-                             axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little") if w else np.empty((len(own), 0), np.uint8)
+        rest = (part & np.uint32((1 << int(w)) - 1)).astype(f"<u{size}").view(np.uint8)
+        if 0 < w < 8 * size:
+            bits = np.unpackbits(rest.reshape(len(own), n, size), axis=2, bitorder="little")[:, :, :w]
+            packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
+        else:  # whole integers, or nothing
+            packed = rest if w else np.empty((len(own), 0), np.uint8)
         high = part.astype(np.uint64) >> np.uint64(w)
         for k, row in enumerate(own):
             places = np.flatnonzero(high[k])
@@ -93,9 +99,12 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
         length = (n * w + 7) // 8
         size = 2 if w <= 16 else 4
         packed = raw[(starts[own] + HEAD.size)[:, None] + np.arange(length)]
-        bits = np.zeros((len(own), n, size * 8), np.uint8)
-        bits[:, :, :w] = np.unpackbits(packed, axis=1, count=n * w, bitorder="little").reshape(len(own), n, w)
-        gap = np.packbits(bits, axis=2, bitorder="little").view(f"<u{size}")[:, :, 0].astype(np.uint32)
+        if w == 8 * size:
+            gap = packed.view(f"<u{size}").astype(np.uint32)
+        else:
+            bits = np.zeros((len(own), n, size * 8), np.uint8)
+            bits[:, :, :w] = np.unpackbits(packed, axis=1, count=n * w, bitorder="little").reshape(len(own), n, w)
+            gap = np.packbits(bits, axis=2, bitorder="little").view(f"<u{size}")[:, :, 0].astype(np.uint32)
         for row, k in enumerate(own):
             low, _, _, extra = heads[k]
             if extra:
