@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import differences
 
@@ -381,6 +382,89 @@ def test_suffix_arrays():
             assert shared[b] == next((k for k in range(4) if raw[a + k] != raw[b + k]), 4)
 
 
+def test_suffix_arrays_of_texts():
+    """With the ends of texts given, suffixes are sorted up to them and up to the depth, in one byte a symbol or two."""
+    draw = np.random.default_rng(3)
+    for kind in (np.uint8, np.uint16):
+        for _ in range(150):
+            top = int(draw.integers(3, 7))
+            texts = [draw.integers(2, top, int(draw.integers(1, 40))) for _ in range(int(draw.integers(1, 9)))]
+            s = np.concatenate([np.append(t, 1) for t in [*texts, texts[0]]] + [[0]]).astype(kind)
+            ends = np.flatnonzero(s == 1)
+            order = suffix_array(s, top, 12, ends)
+            keys = [s[i:min(i + 12, (ends[np.searchsorted(ends, i)] if i < len(s) - 1 else i) + 1)].tolist() for i in order]
+            assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(s)))
+            held = order[order <= len(s) - 10]
+            shared = permuted_common_prefixes(s, held, 10)
+            for a, b in zip(held, held[1:], strict=False):
+                assert shared[b] == next((k for k in range(10) if s[a + k] != s[b + k]), 10)
+
+
+def ranges(batches, kind):
+    """(doc_id, mark, place) of all removed bytes in packed rows."""
+    out = set()
+    for batch in batches:
+        for k, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if k == kind:
+                out |= {(d, m, i) for d, m, a, b in zip(*(x.tolist() for x in suffix_dedup._unpacked(data, 4)), strict=True) for i in range(a, b)}
+    return out
+
+
+def test_suffix_shards_sort_only_texts_with_a_partner(monkeypatch):
+    """Equal texts of several parts are sorted once, texts whose hash no other text of the shard has are not sorted."""
+    draw = random.Random(11)
+    run = "".join(draw.choice("abcdefgh ") for _ in range(400)).encode()
+    alone = ["".join(draw.choice("stuvwxyz ") for _ in range(50)).encode() for _ in range(40)]
+    pair = [run[at:at + 52] for at in range(0, 340)]
+    pair = [t for t, k in zip(pair, suffix_dedup._lows(pair, 50), strict=True) if k == suffix_dedup._lows(pair[:1], 50)[0]][:2]
+    assert len(pair) == 2
+    rows, plain = [], []
+    for part, order in enumerate([(7, 9), (4, 8), (5, 6)]):
+        box = suffix_dedup._Outbox(1)
+        for text in alone:
+            box.add(text, 1, order[0], 3, 70 + part)
+            plain.append((order[0], 70 + part, 3, text))
+        for doc, text in zip(order, pair, strict=True):
+            box.add(text, 1, doc, 5, 70 + part)
+            plain.append((doc, 70 + part, 5, text))
+        rows += box.batches(1)
+    sorted_symbols = []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda s, *rest: sorted_symbols.append(len(s)) or suffix_array(s, *rest))
+    first: dict[bytes, int] = {}
+    for doc, _, _, text in plain:
+        for k in range(len(text) - 49):
+            first[text[k:k + 50]] = min(doc, first.get(text[k:k + 50], doc))
+    want = {(doc, mark, at + k + n) for doc, mark, at, text in plain for k in range(len(text) - 49) if first[text[k:k + 50]] < doc for n in range(50)}
+    assert ranges(suffix_dedup._suffixes(iter(rows), 1, 50), suffix_dedup.REMOVED) == want
+    assert sorted_symbols == [sum(len(t) + 1 for t in pair) + 1]
+
+
+@pytest.mark.parametrize("most", [1, 150_000])
+def test_suffix_dedup_sends_texts_once_per_part(monkeypatch, most):
+    """Equal runs in several pieces of a part are sent once while the outbox has room, never to a shard's loss."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    monkeypatch.setattr(suffix_dedup, "OUTBOX", most, raising=False)
+    passage = "".join(random.Random(12).choice("abcdefgh ") for _ in range(200)).encode()
+    runs = suffix_dedup.Runs([passage])
+    rows = []
+    for place in (0, 1):
+        docs = np.arange(place, 12 + place, 2)
+        rows += suffix_dedup._dealt(suffix_dedup.WANTED, np.full(len(docs) * len(runs.keys), place), np.repeat(docs, len(runs.keys)),
+                                    np.tile(runs.keys.astype(np.int64), len(docs)))
+        rows.append(pa.RecordBatch.from_pylist([{"kind": suffix_dedup.TEXT, "place": place, "doc_id": int(d), "text": passage, "data": b"%08d" % d}
+                                                for d in docs], schema=suffix_dedup.PACKED))
+    sent = list(suffix_dedup._select(iter(rows), 3, 2, 50, np.empty(0, np.uint64)))
+    texts = sum(suffix_dedup.HEAD.unpack_from(d)[0] for b in sent for k, d in zip(b.column("kind").to_pylist(), b.column("data").to_pylist(), strict=True)
+                if k == suffix_dedup.SEGMENTS)
+    assert texts == (len(runs.keys) * 2 if most > 1 else len(runs.keys) * 12)
+    segments = [b.filter(pa.array([k == suffix_dedup.SEGMENTS for k in b.column("kind").to_pylist()])) for b in sent]
+    rows = [r for b in segments for r in b.to_pylist()]
+    shards = pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r["place"]), schema=suffix_dedup.PACKED)
+    gone = ranges(sent, suffix_dedup.REMOVED) | ranges(suffix_dedup._suffixes(iter([shards]), 2, 50), suffix_dedup.REMOVED)
+    marks = {d: int.from_bytes(b"%08d" % d, "little") for d in range(13)}
+    assert gone == {(d, marks[d], i) for d in range(1, 12) for i in range(200)}
+
+
 # --- benchmarks ------------------------------------------------------------------------------
 
 def test_decontamination_on_odd_rows(spark, odd):

@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from twinsieve.llm.rank import suffix_order
-
 
 def _types(s: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last symbol is a unique smallest one."""
@@ -36,13 +34,17 @@ def _scatter(positions: np.ndarray, symbols: np.ndarray, into: list[list[np.ndar
         begin = end
 
 
-def _wave(entries: np.ndarray, symbol: int, s: np.ndarray, wanted: np.ndarray, into: list[list[np.ndarray]]) -> np.ndarray:
-    """Induce from ``entries``: others' suffixes go to their buckets, those of ``symbol`` are returned."""
-    before = entries[entries > 0] - 1
-    before = before[wanted[before]]
+def _wave(entries: np.ndarray, symbol: int, wanted: np.ndarray, into: list[list[np.ndarray]]) -> np.ndarray:
+    """Induce from ``entries``: others' suffixes go to their buckets, those of ``symbol`` are returned.
+
+    ``wanted`` has the symbols of the suffixes to induce and 0 elsewhere, at the last position too, where the first one's neighbour wraps to.
+    """
+    before = entries - 1
+    symbols = wanted[before]
+    some = symbols != 0
+    before, symbols = before[some], symbols[some]
     if not len(before):
         return before
-    symbols = s[before]
     own = symbols == symbol
     if own.any():
         _scatter_rest = ~own
@@ -55,7 +57,7 @@ def _wave(entries: np.ndarray, symbol: int, s: np.ndarray, wanted: np.ndarray, i
 
 def _induce(s: np.ndarray, small: np.ndarray, width: int, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in order, from the leftmost S suffixes in ``seeds`` (in order within each symbol)."""
-    large = ~small
+    large = np.where(small, s.dtype.type(0), s)
     empty = np.empty(0, seeds.dtype)
     seeded: list[list[np.ndarray]] = [[] for _ in range(width)]
     _scatter(seeds, s[seeds], seeded)
@@ -66,32 +68,85 @@ def _induce(s: np.ndarray, small: np.ndarray, width: int, seeds: np.ndarray) ->
         waves = []
         while len(wave):
             waves.append(wave)
-            wave = _wave(wave, c, s, large, arriving)
+            wave = _wave(wave, c, large, arriving)
         left[c] = np.concatenate(waves) if waves else empty
         if seeded[c]:
-            _wave(np.concatenate(seeded[c]), c, s, large, arriving)
+            _wave(np.concatenate(seeded[c]), c, large, arriving)
     arriving = [[] for _ in range(width)]
     right: list[np.ndarray] = [empty] * width
+    rising = s - large
     for c in range(width - 1, -1, -1):
         wave = np.concatenate(arriving[c]) if arriving[c] else empty
         waves = []
-        own: list[list[np.ndarray]] = arriving
         while len(wave):
             waves.append(wave)
-            wave = _wave(wave, c, s, small, own)
+            wave = _wave(wave, c, rising, arriving)
         # L suffixes come before S suffixes of a bucket, so the scan from the right meets them last;
         # what they induce into their own bucket cannot be of type S.
         if len(left[c]):
-            _wave(left[c][::-1], c, s, small, own)
+            _wave(left[c][::-1], c, rising, arriving)
         right[c] = np.concatenate(waves)[::-1] if waves else empty
     right[0] = np.array([len(s) - 1], seeds.dtype)  # the last symbol
     return np.concatenate([x for c in range(width) for x in (left[c], right[c])])
 
 
-def suffix_array(s: np.ndarray, width: int, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first ``depth`` symbols at least.
+def _names(s: np.ndarray, order: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For substrings in order, the index of the first one that equals each."""
+    words = symbol_words(s)
+    each = 8 // s.itemsize  # symbols of a word
+    same = length[1:] == length[:-1]
+    live, done = np.flatnonzero(same), 0
+    while len(live):
+        rest = np.minimum(length[live] - done, each).astype(np.uint64)
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8 * s.itemsize))
+        equal = (words[order[live] + done] ^ words[order[live + 1] + done]) & mask == 0
+        same[live[~equal]] = False
+        done += each
+        live = live[equal]
+        live = live[length[live] > done]
+    fresh = np.concatenate(([True], ~same))
+    return np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+
+
+def _refined(order: np.ndarray, first: np.ndarray, starts: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """``order`` of substrings, by the index of the first equal one, to that of the suffixes which begin with them.
 
-    ``s`` holds small integers under ``width``; its last symbol is the only 0.
+    Substring i reaches from starts[i] to starts[i + 1], with that symbol. Groups of equal ones are sorted by what follows, twice as
+    many substrings each time, until they agree on ``need`` symbols from their starts.
+    """
+    m = len(order)
+    rank = np.empty(m, np.int64)
+    rank[order] = first
+    alone = np.bincount(first, minlength=m) == 1
+    live = np.flatnonzero(~alone[first])  # places in order
+    step = 1
+    while len(live):
+        own = order[live]
+        after = np.minimum(own + step, m - 1)  # the last substring is one of its own
+        more = starts[after] + 1 - starts[own] < need[own]
+        live, own, after = live[more], own[more], after[more]
+        if not len(live):
+            break
+        # A group's substrings agree, so they stay or leave together, and its places lie next to each other.
+        keys = rank[own] * m + rank[after]
+        turn = np.argsort(keys)
+        own, keys = own[turn], keys[turn]
+        order[live] = own
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        begin = np.flatnonzero(fresh)
+        rank[own] = np.repeat(live[begin], np.diff(np.append(begin, len(live))))
+        tied = ~fresh
+        tied[:-1] |= tied[1:]
+        live = live[tied]
+        step *= 2
+    return order
+
+
+def suffix_array(s: np.ndarray, width: int, depth: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes sorted by their first ``depth`` symbols at least, or those up to the next of ``ends``.
+
+    ``s`` holds small integers under ``width``; its last symbol is the only 0. ``ends``, if given, are the places of
+    a symbol under all others but that.
     """
     n = len(s)
     if n == 1:
@@ -102,31 +157,20 @@ def suffix_array(s: np.ndarray, width: int, depth: int) -> np.ndarray:
         leftmost = np.array([n - 1], leftmost.dtype)
     if len(leftmost) == 1:
         return _induce(s, small, width, leftmost)
-    is_leftmost = np.zeros(n, bool)
-    is_leftmost[leftmost] = True
-    order = _induce(s, small, width, leftmost)
-    order = order[is_leftmost[order]]
+    number = np.full(n, -1, leftmost.dtype)
+    number[leftmost] = np.arange(len(leftmost), dtype=leftmost.dtype)
+    order = number[_induce(s, small, width, leftmost)]
+    order = order[order >= 0]
     # Name the substrings between leftmost S suffixes: equal ones share a name.
-    length = np.zeros(n, np.int64)
-    length[leftmost[:-1]] = np.diff(leftmost) + 1
-    length[leftmost[-1]] = 1
-    a, b = order[:-1], order[1:]
-    same = np.minimum(length[a], depth) == np.minimum(length[b], depth)
-    live = np.flatnonzero(same)
-    step = 0
-    while len(live):
-        equal = s[a[live] + step] == s[b[live] + step]
-        same[live[~equal]] = False
-        live = live[equal]
-        step += 1
-        live = live[np.minimum(length[a[live]], depth) > step]
-    names = np.empty(n, np.int64)
-    names[order] = np.concatenate(([0], np.cumsum(~same))) + 1
-    reduced = names[leftmost]
-    if same.any():
-        # Each further name stands for one more symbol at least.
-        order = leftmost[suffix_order(reduced, depth)]
-    return _induce(s, small, width, order)
+    length = np.minimum(np.append(np.diff(leftmost) + 1, 1), depth)
+    first = _names(s, leftmost[order], length[order])
+    if (np.diff(first) == 0).any():
+        need = np.full(len(leftmost), depth, np.int64)
+        if ends is not None:
+            stops = np.append(ends, n - 1)
+            need = np.minimum(need, stops[np.searchsorted(stops, leftmost)] - leftmost)
+        order = _refined(order, first, leftmost, need)
+    return _induce(s, small, width, leftmost[order])
 
 
 def words_at(raw: np.ndarray) -> np.ndarray:
@@ -141,10 +185,15 @@ def words_at(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def symbol_words(s: np.ndarray) -> np.ndarray:
+    """The eight bytes from each symbol."""
+    return words_at(s.view(np.uint8))[::s.itemsize]
+
+
 def permuted_common_prefixes(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each position of ``raw``, the bytes (``most`` at the utmost) that it shares with the suffix before it in ``order``.
+    """For each position of ``raw``, the symbols (``most`` at the utmost) that it shares with the suffix before it in ``order``.
 
-    ``order`` may leave suffixes out; every suffix in it has ``most`` bytes at least.
+    ``order`` may leave suffixes out; every suffix in it has ``most`` symbols at least.
     """
     out = np.zeros(len(raw), np.int64)
     if len(order) < 2:
@@ -153,14 +202,15 @@ def permuted_common_prefixes(raw: np.ndarray, order: np.ndarray, most: int) -> n
     before[order[1:]] = order[:-1]
     here = np.flatnonzero(before >= 0)
     there = before[here]
-    words = words_at(raw)
-    for step in range(0, most, 8):
+    words = symbol_words(raw)
+    each = 8 // raw.itemsize
+    for step in range(0, most, each):
         gap = words[here + step] ^ words[there + step]
         equal = gap == 0
         low = gap[~equal]
-        out[here[~equal]] = np.minimum(step + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // 8, most)
+        out[here[~equal]] = np.minimum(step + np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) // (8 * raw.itemsize), most)
         here, there = here[equal], there[equal]
-        out[here] = min(step + 8, most)
+        out[here] = min(step + each, most)
         if not len(here):
             break
     return out

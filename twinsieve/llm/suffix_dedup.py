@@ -42,6 +42,7 @@ from twinsieve.session import broadcast_if_small, ship_package, spread_join, wri
 LENGTH = 50
 GRAM = 16  # bytes of the strings whose smallest hash places a window
 PIECE = 3 << 19  # bytes of text that a step holds at once
+OUTBOX = 150_000  # texts, uses and ranges that a task holds before it sends them
 SHARD_BYTES = 3 << 20  # text per shard, if a third of all text is repeated
 FREQUENT = 4000  # documents from which a hash is frequent (a quarter of a megabyte), or more if there could be over
 FREQUENT_KEYS = 1_000_000  # such hashes, whose list is broadcast
@@ -63,6 +64,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _hashed(words: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Hashes of short strings: their first eight bytes and their last."""
+    return _mixed(words ^ _mixed(later + MIX[2]))
+
+
+def _lows(texts: list[bytes], length: int) -> np.ndarray:
+    """The smallest hash of the first window of each text, and so of all windows of a run."""
+    heads = np.frombuffer(b"".join([t[:length] for t in texts]), np.uint8)
+    words = words_at(heads).reshape(len(texts), length)
+    return _hashed(words[:, :length - GRAM + 1], words[:, 8:length - GRAM + 9]).min(1)
+
+
 class Runs:
     """Runs of windows with one smallest hash, over documents one after another."""
 
@@ -78,7 +91,7 @@ class Runs:
             self.keys = np.empty(0, np.uint64)
             return
         words = words_at(raw)
-        low = _mixed(words[:-8] ^ _mixed(words[8:] + MIX[2]))[:len(raw) - GRAM + 1]
+        low = _hashed(words[:-8], words[8:])[:len(raw) - GRAM + 1]
         del words
         span, have = length - GRAM + 1, 1
         while have * 2 <= span:
@@ -279,9 +292,11 @@ def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
     wanted: list[np.ndarray] = []
     copies: set[tuple] = set()
     now = None
+    box = _Outbox(shards)
     for place, kind, rows in _places(batches):
         if place != now:
-            wanted, copies, now = [], set(), place
+            yield from box.batches(groups)
+            wanted, copies, now, box = [], set(), place, _Outbox(shards)
         if kind == COPY:
             copies.update(_named(rows))
             continue
@@ -310,9 +325,11 @@ def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
                 own = owner[runs.owner].astype(np.uint64) << np.uint64(KEY_BITS) | runs.keys
                 picked = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, own), len(asked) - 1)] == own)
                 hot = np.isin(runs.keys[picked], frequent)
-                box = _Outbox(shards)
                 text, home = runs.text, runs.starts[runs.owner[picked]]
                 # Ids ascend in a group, so the first document with a text is the smallest.
+                if len(box.texts) + len(box.uses) + len(box.removed) >= OUTBOX:
+                    yield from box.batches(groups)
+                    box = _Outbox(shards)
                 marks = _marks(part)
                 for doc_id, mark, a, b, start, key, often in zip(
                         ids[runs.owner[picked]].tolist(), marks[runs.owner[picked]].tolist(), runs.first[picked].tolist(), (runs.last[picked] + length).tolist(),
@@ -322,7 +339,7 @@ def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
                         box.add(run, key, doc_id, a - start, mark)
                     else:
                         _windows_of(run, doc_id, a - start, mark, box, length)
-                yield from box.batches(groups)
+    yield from box.batches(groups)
 
 
 # --- step 3: suffix arrays of the shards -----------------------------------------------------
@@ -333,44 +350,68 @@ def _suffixes(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> It
         if kind == REMOVED:
             yield from rows
             continue
-        sizes, docs, counts, uses, marks, raw = [], [], [], [], [], []
+        texts, docs, counts, uses, marks = [], [], [], [], []
         for data in _blobs(rows):
             n, m = HEAD.unpack_from(data)
             plain = unpack(data[HEAD.size:])
             numbers = np.frombuffer(plain, np.int64, 3 * n + 2 * m)
-            sizes.append(numbers[:n])
             docs.append(numbers[n:2 * n])
             counts.append(numbers[2 * n:3 * n])
             uses.append(numbers[3 * n:3 * n + m])
             marks.append(numbers[3 * n + m:])
-            raw.append(np.frombuffer(plain, np.uint8, offset=8 * (3 * n + 2 * m)))
-        sizes, docs, counts, uses, marks = (np.concatenate(x) for x in (sizes, docs, counts, uses, marks))
-        symbols = np.concatenate(raw)
-        del raw
+            at = 8 * len(numbers)
+            for size in numbers[:n].tolist():
+                texts.append(plain[at:at + size])
+                at += size
+        docs, counts, uses, marks = (np.concatenate(x) for x in (docs, counts, uses, marks))
+        # Parts of the documents may have sent equal texts: one stays, for the smallest doc_id.
+        seen: dict[bytes, int] = {}
+        number = np.array([seen.setdefault(t, len(seen)) for t in texts])
+        least = np.full(len(seen), np.iinfo(np.int64).max)
+        np.minimum.at(least, number, docs)
+        texts = list(seen)
+        del seen
+        sizes = np.array([len(t) for t in texts])
+        user, text_of = np.repeat(docs, counts), np.repeat(number, counts)
+        gone = user > least[text_of]
+        if gone.any():
+            yield from _dealt(REMOVED, user[gone] % groups, user[gone], marks[gone], uses[gone], uses[gone] + sizes[text_of[gone]])
+        # Windows are in texts of their own smallest hash only, so a text that has its hash alone shares none.
+        lows = _lows(texts, length)
+        _, which, alike = np.unique(lows, return_inverse=True, return_counts=True)
+        some = alike[which] > 1
+        if not some.any():
+            continue
+        order = np.argsort(text_of, kind="stable")
+        order = order[~gone[order] & some[text_of[order]]]
+        uses, marks = uses[order], marks[order]
+        counts = np.bincount(text_of[order], minlength=len(texts))[some]
+        docs, sizes = least[some], sizes[some]
+        symbols = np.frombuffer(b"".join([t for t, x in zip(texts, some.tolist(), strict=True) if x]), np.uint8)
+        del texts
         # Texts end with a symbol below all bytes, the whole with one below that.
         ends = np.cumsum(sizes + 1)
         starts = ends - sizes - 1
-        s = np.zeros(ends[-1] + 1, np.uint16)
-        into = np.ones(ends[-1], bool)
-        into[ends - 1] = False
-        s[:-1][into] = symbols.astype(np.uint16) + 2
+        known = np.bincount(symbols, minlength=256) > 0
+        width = int(known.sum()) + 2
+        s = np.zeros(ends[-1] + 1, np.uint8 if width <= 256 else np.uint16)
+        into = np.ones(len(s), bool)
+        into[ends - 1] = into[-1] = False
+        s[into] = (np.cumsum(known) + 1).astype(s.dtype)[symbols]
         s[ends - 1] = 1
-        plain = np.zeros(len(s), np.uint8)
-        plain[:-1][into] = symbols
-        owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
         whole = np.zeros(len(s), bool)
         whole[:-1] = np.arange(len(s) - 1) <= np.repeat(ends - 1 - length, sizes + 1)
-        order = suffix_array(s, 258, length)
-        del s
+        order = suffix_array(s, width, length, ends - 1)
         order = order[whole[order]]
         if not len(order):
             continue
-        shared = permuted_common_prefixes(plain, order, length)[order] >= length
+        shared = permuted_common_prefixes(s, order, length)[order] >= length
         shared[0] = False
         first = np.flatnonzero(~shared)
-        least = np.minimum.reduceat(docs[owner[order]], first)
-        later = docs[owner[order]] > np.repeat(least, np.diff(np.append(first, len(order))))
-        marked = np.zeros(len(plain) + 1, bool)
+        doc_of = docs[owner[order]]
+        later = doc_of > np.repeat(np.minimum.reduceat(doc_of, first), np.diff(np.append(first, len(order))))
+        marked = np.zeros(len(s), bool)
         marked[order[later]] = True
         # Ranges of marked windows; a range ends with its text.
         begin = np.flatnonzero(marked[:-1] & ~np.concatenate(([False], marked[:-2])))
