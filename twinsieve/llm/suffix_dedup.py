@@ -42,6 +42,7 @@ from twinsieve.session import broadcast_if_small, ship_package, spread_join, wri
 LENGTH = 50
 GRAM = 16  # bytes of the strings whose smallest hash places a window
 PIECE = 3 << 19  # bytes of text that a step holds at once
+BLOCK = 1 << 15  # bytes of it that are hashed at once, few enough for a processor's cache
 OUTBOX = 150_000  # texts, uses and ranges that a task holds before it sends them
 SHARD_BYTES = 3 << 20  # text per shard, if a third of all text is repeated
 FREQUENT = 4000  # documents from which a hash is frequent (a quarter of a megabyte), or more if there could be over
@@ -76,6 +77,17 @@ def _lows(texts: list[bytes], length: int) -> np.ndarray:
     return _hashed(words[:, :length - GRAM + 1], words[:, 8:length - GRAM + 9]).min(1)
 
 
+def _lowest(raw: np.ndarray, length: int) -> np.ndarray:
+    """The smallest hash of the short strings in each window."""
+    words = words_at(raw)
+    low = _hashed(words[:-8], words[8:])[:len(raw) - GRAM + 1]
+    span, have = length - GRAM + 1, 1
+    while have * 2 <= span:
+        low = np.minimum(low[:-have], low[have:])
+        have *= 2
+    return np.minimum(low[:have - span], low[span - have:]) if have < span else low
+
+
 class Runs:
     """Runs of windows with one smallest hash, over documents one after another."""
 
@@ -90,24 +102,15 @@ class Runs:
             self.first = self.last = self.keys = self.owner = np.empty(0, np.int64)
             self.keys = np.empty(0, np.uint64)
             return
-        words = words_at(raw)
-        low = _hashed(words[:-8], words[8:])[:len(raw) - GRAM + 1]
-        del words
-        span, have = length - GRAM + 1, 1
-        while have * 2 <= span:
-            low = np.minimum(low[:-have], low[have:])
-            have *= 2
-        if have < span:
-            low = np.minimum(low[:have - span], low[span - have:])
-        valid = np.zeros(n + 1, bool)
+        low = np.concatenate([_lowest(raw[a:a + BLOCK + length - 1], length) for a in range(0, n, BLOCK)])
         inside = sizes >= length
-        steps = np.zeros(n + 2, np.int32)
-        np.add.at(steps, self.starts[inside], 1)
-        np.add.at(steps, self.ends[inside] - length + 1, -1)
-        valid = np.cumsum(steps[:n + 1]) > 0
-        fresh = valid[:n].copy()
-        fresh[1:] &= ~valid[:n - 1] | (low[1:n] != low[:n - 1])
+        steps = np.zeros(n + 2, np.int8)
         begins = self.starts[inside]
+        steps[begins] = 1
+        steps[self.ends[inside] - length + 1] -= 1
+        valid = np.cumsum(steps[:n + 1], dtype=np.int8).view(bool)
+        fresh = valid[:n].copy()
+        fresh[1:] &= low[1:] != low[:-1]
         fresh[begins] = True
         stop = valid[:n] & (~valid[1:] | np.append(fresh[1:], True))
         self.first, self.last = np.flatnonzero(fresh), np.flatnonzero(stop)  # windows, both inclusive
@@ -179,7 +182,8 @@ def _count(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
             if not len(runs.keys):
                 continue
             distinct, owner = np.unique(ids, return_inverse=True)
-            pairs = np.unique(runs.keys << np.uint64(24) | owner[runs.owner].astype(np.uint64))
+            pairs = np.sort(runs.keys << np.uint64(24) | owner[runs.owner].astype(np.uint64))
+            pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
             keys, docs = pairs >> np.uint64(24), distinct[(pairs & np.uint64(0xFFFFFF)).astype(np.int64)]
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             counts = np.diff(np.append(first, len(keys)))
