@@ -11,7 +11,8 @@ texts go through four steps, each a Spark exchange of packed arrays:
    documents are sent once, for the smallest doc_id; the others are removed at once. Runs of very
    frequent hashes are sent window by window, by the hash of the whole window, so that no shard grows
    with one passage.
-3. Each shard builds its suffix array by induced sorting, with permuted common prefixes; suffixes that
+3. Each shard keeps equal texts of several parts once, leaves out texts that have their hash alone, and
+   builds the suffix array of the others by induced sorting, with permuted common prefixes; suffixes that
    share ``length`` bytes form a group, and all its windows but those of the smallest doc_id are removed.
 4. The removed ranges meet the documents again: where only the cut texts are wanted, the ranges are merged
    first, and the documents are shuffled once, with all their columns.
