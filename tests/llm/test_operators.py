@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from compare import differences
+from pyspark.sql.classic.dataframe import DataFrame
 
 import corpus_pipeline
 from twinsieve.llm import bpe, decontaminate, html, knn, langid, near_copies, simhash, suffix_dedup, token_files, toxicity, warc
@@ -465,6 +466,62 @@ def test_suffix_dedup_sends_texts_once_per_part(monkeypatch, most):
     assert gone == {(d, marks[d], i) for d in range(1, 12) for i in range(200)}
 
 
+def test_suffix_steps_gather_before_they_send(monkeypatch):
+    """A task sends a packed row per place, not one per piece of text or shard it works on, and shards of a place find all."""
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)
+    draw = random.Random(13)
+    passages = ["".join(draw.choice("abcdefgh ") for _ in range(150)).encode() for _ in range(4)]
+    coded = [(i, b"".join([draw.choice(passages)[draw.randint(0, 60):], bytes(draw.choices(b"uvwxyz", k=40)), draw.choice(passages)])) for i in range(30)]
+    rows = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t, "data": b"%08d" % i} for i, t in coded])
+    none = suffix_dedup._pairs(*np.empty((2, 0), np.int64))
+    counts = [(k, p) for b in suffix_dedup._count(iter([rows, rows]), 3, 50, none) for k, p in zip(b.column("kind").to_pylist(), b.column("place").to_pylist(), strict=True)]
+    assert sorted(counts) == sorted({(k, p) for k in (suffix_dedup.COUNTS, suffix_dedup.WANTED) for p in range(3)})
+    places = []
+    for place in range(3):
+        box = suffix_dedup._Outbox(1)
+        for i, t in coded:
+            runs = suffix_dedup.Runs([t])
+            for a, b, key in zip(runs.first.tolist(), (runs.last + 50).tolist(), runs.keys.tolist(), strict=True):
+                if key % 3 == place:
+                    box.add(t[a:b], 0, i, a, i)
+        places += [pa.RecordBatch.from_pylist([r | {"place": place} for r in b.to_pylist() if r["kind"] == suffix_dedup.SEGMENTS], schema=suffix_dedup.PACKED)
+                   for b in box.batches(1)]
+    found = []
+    for size in (1 << 20, 200):
+        monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", size)
+        sent = list(suffix_dedup._suffixes(iter(places), 2, 50))
+        assert sum(b.num_rows for b in sent) == 2
+        found.append(ranges(sent, suffix_dedup.REMOVED))
+    assert found[0] and found[0] == found[1]
+
+
+def test_suffix_counts_leave_out_listed_copies():
+    """Rows in the list of copies are not counted; rows of the same id with another text are."""
+    text = "".join(random.Random(14).choice("abcdefgh ") for _ in range(200)).encode()
+    rows = pa.RecordBatch.from_pylist([{"doc_id": i, "text": text, "data": m} for i, m in ((1, b"x" * 8), (2, b"x" * 8), (2, b"y" * 8), (3, b"x" * 8))])
+    listed = suffix_dedup._pairs(np.array([2, 3, 9]), np.frombuffer(b"x" * 24, "<i8"))
+    sent = [r for b in suffix_dedup._count(iter([rows]), 1, 50, listed) for r in b.to_pylist() if r["kind"] == suffix_dedup.WANTED]
+    docs, _ = suffix_dedup._joined([r["data"] for r in sent], 2)
+    assert set(docs.tolist()) == {1, 2}
+
+
+@pytest.mark.parametrize("copies", [0, 100])
+def test_suffix_dedup_counts_texts_where_they_are(spark, monkeypatch, capsys, copies):
+    """Texts are joined, and so shuffled, for the counts only where copies are too many for a list."""
+    monkeypatch.setattr(suffix_dedup, "COPIES", copies, raising=False)
+    draw = random.Random(15)
+    rows = [(i, "".join(draw.choice("abcdefgh ") for _ in range(120)) + "z" * 60) for i in range(12)]
+    rows += [(20 + i, t) for i, t in rows[:5]] + [(3, rows[9][1] + "!")]
+    moved = []
+    given = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, *a, **b: moved.append(self) or given(self, *a, **b))
+    found = suffix_dedup.report(suffix_dedup.removals(documents(spark, rows)))
+    capsys.readouterr()
+    moved[0].explain("formatted")
+    assert ("Join" in capsys.readouterr().out) == (not copies)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(cut([(i, t.encode()) for i, t in rows]))
+
+
 # --- benchmarks ------------------------------------------------------------------------------
 
 def test_decontamination_on_odd_rows(spark, odd):

@@ -11,12 +11,16 @@ texts go through four steps, each a Spark exchange of packed arrays:
    documents are sent once, for the smallest doc_id; the others are removed at once. Runs of very
    frequent hashes are sent window by window, by the hash of the whole window, so that no shard grows
    with one passage.
-3. Each shard keeps equal texts of several parts once, leaves out texts that have their hash alone, and
-   builds the suffix array of the others by induced sorting, with permuted common prefixes; suffixes that
-   share ``length`` bytes form a group, and all its windows but those of the smallest doc_id are removed.
+3. Shards come to a task several at a time. It keeps equal texts of several parts once, leaves out texts
+   that have their hash alone, and builds the suffix array of each shard of the others by induced sorting,
+   with permuted common prefixes; suffixes that share ``length`` bytes form a group, and all its windows but
+   those of the smallest doc_id are removed.
 4. The removed ranges meet the documents again: where only the cut texts are wanted, the ranges are merged
    first, and the documents are shuffled once, with all their columns.
 
+What goes from every part to every place is packed, so the packed rows grow faster than the documents: steps
+gather much before they send, and places are few.
+
 Hashes only choose what is compared; the bytes decide.
 
 Defined cases: null and short texts lose nothing; a null doc_id is neither smaller nor larger than another,
@@ -33,21 +37,25 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsieve.llm.common import emit, pack, partitions, pieces, tidy, unpack
+from twinsieve.llm.common import emit, partitions, pieces, tidy
 from twinsieve.llm.suffix_array import permuted_common_prefixes, suffix_array, words_at
-from twinsieve.session import broadcast_if_small, ship_package, spread_join, written
+from twinsieve.session import is_small, ship_package, spread_join, written
 
 LENGTH = 50
 GRAM = 16  # bytes of the strings whose smallest hash places a window
 PIECE = 3 << 19  # bytes of text that a step holds at once
 BLOCK = 1 << 15  # bytes of it that are hashed at once, few enough for a processor's cache
-OUTBOX = 150_000  # texts, uses and ranges that a task holds before it sends them
-SHARD_BYTES = 3 << 20  # text per shard, if a third of all text is repeated
+COUNTED = 3 << 19  # hashes that a task holds before it counts and sends them
+OUTBOX = 400_000  # texts, uses and ranges that a task holds before it sends them
+SHARD_BYTES = 1 << 20  # text per shard
+HOME_BYTES = 12 << 20  # text that comes to a place with its shards, if a third of all text is repeated
 FREQUENT = 4000  # documents from which a hash is frequent (a quarter of a megabyte), or more if there could be over
 FREQUENT_KEYS = 1_000_000  # such hashes, whose list is broadcast
+COPIES = 2_000_000  # rows whose text an earlier one has, of which a list (16 bytes a row) goes to all tasks
 KEY_BITS = 40
 #: Fixed odd multipliers of the hash.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -55,7 +63,8 @@ MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165
 PACKED = pa.schema([("kind", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("text", pa.binary()), ("data", pa.binary())])
 PACKED_DDL = "kind int, place long, doc_id long, text binary, data binary"
 COUNTS, WANTED, HOT, COPY, SEGMENTS, REMOVED, TEXT = range(7)
-HEAD = Struct("<QQ")
+HEAD = Struct("<QQQ")
+PACKER, UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # to make them for each packed row takes longer than to use them
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,33 +128,42 @@ class Runs:
         self.owner = np.searchsorted(self.ends, self.first, "right")
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of 64-bit integers of one length; the columns are stored one after another."""
-    return pack(np.concatenate([a.astype(np.int64) for a in arrays]))
+def _packed(columns: np.ndarray) -> bytes:
+    """Columns of 64-bit integers, one after another; ascending ones as steps, all by bytes of one weight, which compress better."""
+    steps = (columns[:, 1:] >= columns[:, :-1]).all(1)
+    columns = columns.copy()
+    columns[steps, 1:] -= columns[steps, :-1]
+    return PACKER.compress(steps.tobytes() + columns.view(np.uint8).reshape(-1, 8).T.tobytes())
+
 
+def _unpacked(data: bytes, count: int) -> np.ndarray:
+    plain = UNPACKER.decompress(data)
+    columns = np.frombuffer(plain, np.uint8, offset=count).reshape(8, -1).T.copy().view(np.int64).reshape(count, -1)
+    steps = np.frombuffer(plain, bool, count)
+    if steps.any():
+        columns[steps] = np.cumsum(columns[steps], 1)
+    return columns
 
-def _unpacked(data: bytes, count: int) -> list[np.ndarray]:
-    return np.split(np.frombuffer(unpack(data), np.int64), count) if data else [np.empty(0, np.int64)] * count
 
+def _joined(blobs: list[bytes], count: int) -> np.ndarray:
+    return np.concatenate([_unpacked(b, count) for b in blobs], 1) if blobs else np.empty((count, 0), np.int64)
 
-def _joined(blobs: list[bytes], count: int) -> list[np.ndarray]:
-    parts = [_unpacked(b, count) for b in blobs]
-    return [np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(count)]
+
+def _by_place(places: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The order of places, and where each begins and the last ends in it."""
+    order = np.argsort(places.astype(np.uint16) if places.max() < 1 << 16 else places, kind="stable")  # short integers are sorted by their bytes
+    places = places[order]
+    return order, [0, *(np.flatnonzero(places[1:] != places[:-1]) + 1).tolist(), len(places)]
 
 
 def _dealt(kind: int, places: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A packed row per place."""
     if not len(places):
         return
-    order = np.argsort(places, kind="stable")
-    places = places[order]
-    cuts = np.flatnonzero(places[1:] != places[:-1]) + 1
-    columns = [a[order] for a in arrays]
-    rows, at = [], [0, *cuts.tolist(), len(places)]
-    for a, b in zip(at, at[1:], strict=False):
-        rows.append((int(places[a]), _packed(*[c[a:b] for c in columns])))
-    n = len(rows)
-    yield emit(PACKED, [[kind] * n, [p for p, _ in rows], [None] * n, [None] * n, [d for _, d in rows]])
+    order, at = _by_place(places)
+    columns = np.stack([a.astype(np.int64, copy=False)[order] for a in arrays])
+    n = len(at) - 1
+    yield emit(PACKED, [[kind] * n, places[order[at[:-1]]], [None] * n, [None] * n, [_packed(columns[:, a:b]) for a, b in zip(at, at[1:], strict=False)]])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[pa.RecordBatch]]]:
@@ -174,23 +192,52 @@ def _blobs(rows: list[pa.RecordBatch]) -> list[bytes]:
 
 # --- step 1: hashes that more than one document has -----------------------------------------
 
-def _count(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) to the hashes of their runs."""
+def _pairs(ids: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and marks by their hashes."""
+    hashes = _hashed(ids.view(np.uint64), marks.view(np.uint64))
+    order = np.argsort(hashes)
+    return hashes[order], ids[order], marks[order]
+
+
+def _are_listed(ids: np.ndarray, marks: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    hashes, *names = pairs
+    if not len(hashes):
+        return np.zeros(len(ids), bool)
+    at = np.minimum(np.searchsorted(hashes, _hashed(ids.view(np.uint64), marks.view(np.uint64))), len(hashes) - 1)
+    return (names[0][at] == ids) & (names[1][at] == marks)
+
+
+def _tallied(ids: list[np.ndarray], keys: list[np.ndarray], owners: list[np.ndarray], groups: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of documents to a row each, with one document and their number; those of several documents are wanted at once."""
+    distinct, number = np.unique(np.concatenate(ids), return_inverse=True)
+    pairs = np.sort(np.concatenate(keys) << np.uint64(24) | number[np.concatenate(owners)].astype(np.uint64))
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
+    keys, docs = pairs >> np.uint64(24), distinct[(pairs & np.uint64(0xFFFFFF)).astype(np.int64)]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(np.append(first, len(keys)))
+    yield from _dealt(COUNTS, (keys[first] % np.uint64(groups)).astype(np.int64), keys[first], docs[first], counts)
+    many = np.repeat(counts > 1, counts)
+    yield from _dealt(WANTED, docs[many] % groups, docs[many], keys[many])
+
+
+def _count(batches: Iterator[pa.RecordBatch], groups: int, length: int, copies: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, mark as data) to the hashes of their runs; ``copies`` are left out."""
+    held: tuple[list, list, list] = [], [], []  # ids, hashes and which of the ids have them
+    rows = entries = 0
     for batch in batches:
-        for part in pieces(batch, "text", PIECE):
-            ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            runs = Runs([t or b"" for t in part.column(1).to_pylist()], length)
+        listed = _are_listed(batch.column("doc_id").to_numpy(), _marks(batch), copies)
+        for part in pieces(batch.filter(pa.array(~listed)) if listed.any() else batch, "text", PIECE):
+            runs = Runs([t or b"" for t in part.column("text").to_pylist()], length)
             if not len(runs.keys):
                 continue
-            distinct, owner = np.unique(ids, return_inverse=True)
-            pairs = np.sort(runs.keys << np.uint64(24) | owner[runs.owner].astype(np.uint64))
-            pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
-            keys, docs = pairs >> np.uint64(24), distinct[(pairs & np.uint64(0xFFFFFF)).astype(np.int64)]
-            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            counts = np.diff(np.append(first, len(keys)))
-            yield from _dealt(COUNTS, (keys[first] % np.uint64(shards)).astype(np.int64), keys[first], docs[first], counts)
-            many = np.repeat(counts > 1, counts)
-            yield from _dealt(WANTED, docs[many] % groups, docs[many], keys[many])
+            for into, new in zip(held, (part.column("doc_id").to_numpy(), runs.keys, runs.owner + rows), strict=True):
+                into.append(new)
+            rows, entries = rows + part.num_rows, entries + len(runs.keys)
+            if entries >= COUNTED or rows >= 1 << 20:
+                yield from _tallied(*held, groups)
+                held, rows, entries = ([], [], []), 0, 0
+    if entries:
+        yield from _tallied(*held, groups)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], groups: int, frequent: int) -> Iterator[pa.RecordBatch]:
@@ -242,6 +289,7 @@ class _Outbox:
         self.docs: list[int] = []
         self.uses: list[tuple[int, int, int]] = []  # number of a text, place in its row, mark of the row
         self.removed: list[tuple[int, int, int, int]] = []
+        self.swept: dict[bytes, int] = {}  # text whose windows are all here: doc_id
 
     def add(self, text: bytes, key: int, doc_id: int, at: int, mark: int) -> bool:
         """Whether the text is new or of the same document; else it is removed."""
@@ -263,23 +311,24 @@ class _Outbox:
             yield from _dealt(REMOVED, docs % groups, docs, *rest)
         if not self.texts:
             return
-        places = np.array([k % self.shards for k in self.keys], np.int64)
+        places = np.array(self.keys, np.int64) % self.shards
         number, at, mark = np.array(self.uses, np.int64).T
         order = np.argsort(number, kind="stable")
         number, at, mark = number[order], at[order], mark[order]
         counts = np.bincount(number, minlength=len(self.texts))
         begins = np.cumsum(counts) - counts
         sizes, docs = np.array([len(t) for t in self.texts]), np.array(self.docs, np.int64)
-        order = np.argsort(places, kind="stable")
-        cuts = np.flatnonzero(np.diff(places[order])) + 1
+        order, cuts = _by_place(places)
         rows = []
-        for own in np.split(order, cuts):
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = order[a:b]
             times = counts[own]
             stops = np.cumsum(times)
             uses = np.repeat(begins[own] - (stops - times), times) + np.arange(stops[-1])
             numbers = np.concatenate((sizes[own], docs[own], times, at[uses], mark[uses])).astype(np.int64)
-            plain = numbers.tobytes() + b"".join([self.texts[i] for i in own])
-            rows.append((int(places[own[0]]), HEAD.pack(len(own), len(uses)) + pack(np.frombuffer(plain, np.uint8))))
+            numbers = _packed(numbers[None])
+            plain = b"".join([self.texts[i] for i in own.tolist()])
+            rows.append((int(places[own[0]]), HEAD.pack(len(own), len(uses), len(numbers)) + numbers + PACKER.compress(plain)))
         n = len(rows)
         yield emit(PACKED, [[SEGMENTS] * n, [p for p, _ in rows], [None] * n, [None] * n, [d for _, d in rows]])
 
@@ -287,6 +336,10 @@ class _Outbox:
 def _windows_of(text: bytes, doc_id: int, at: int, mark: int, box: _Outbox, length: int) -> None:
     from xxhash import xxh64_intdigest
 
+    known = box.swept.setdefault(text, doc_id)
+    if known != doc_id:  # its windows are, too
+        box.removed.append((doc_id, mark, at, at + len(text)))
+        return
     for i in range(len(text) - length + 1):
         window = text[i:i + length]
         box.add(window, xxh64_intdigest(window) >> 24, doc_id, at + i, mark)
@@ -349,22 +402,87 @@ def _select(batches: Iterator[pa.RecordBatch], shards: int, groups: int, length:
 
 # --- step 3: suffix arrays of the shards -----------------------------------------------------
 
+class _Ranges:
+    """Removed ranges, held until they are many."""
+
+    def __init__(self):
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.held.append(np.stack(columns))
+            self.size += len(columns[0])
+
+    def batches(self, groups: int) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            columns = np.concatenate(self.held, 1)
+            self.held, self.size = [], 0
+            yield from _dealt(REMOVED, columns[0] % groups, *columns)
+
+
+def _shards(which: np.ndarray, sizes: np.ndarray, some: np.ndarray) -> list[np.ndarray]:
+    """``some`` texts in shards of about ``SHARD_BYTES``; those with one hash, by ``which``, stay together."""
+    some = np.flatnonzero(some)
+    some = some[np.argsort(which[some], kind="stable")]
+    if not len(some):
+        return []
+    hashes, ends = which[some], np.cumsum(sizes[some])
+    first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    shard = (ends - sizes[some])[first] // SHARD_BYTES
+    return np.split(some, first[np.flatnonzero(np.diff(shard)) + 1])
+
+
+def _marked(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of the windows that a text of a smaller doc_id has too: number of the text, begin, end."""
+    symbols = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    # Texts end with a symbol below all bytes, the whole with one below that.
+    ends = np.cumsum(sizes + 1)
+    starts = ends - sizes - 1
+    known = np.bincount(symbols, minlength=256) > 0
+    width = int(known.sum()) + 2
+    s = np.zeros(ends[-1] + 1, np.uint8 if width <= 256 else np.uint16)
+    into = np.ones(len(s), bool)
+    into[ends - 1] = into[-1] = False
+    s[into] = (np.cumsum(known) + 1).astype(s.dtype)[symbols]
+    s[ends - 1] = 1
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+    whole = np.zeros(len(s), bool)
+    whole[:-1] = np.arange(len(s) - 1) <= np.repeat(ends - 1 - length, sizes + 1)
+    order = suffix_array(s, width, length, ends - 1)
+    order = order[whole[order]]
+    shared = permuted_common_prefixes(s, order, length)[order] >= length
+    shared[0] = False
+    first = np.flatnonzero(~shared)
+    doc_of = docs[owner[order]]
+    later = doc_of > np.repeat(np.minimum.reduceat(doc_of, first), np.diff(np.append(first, len(order))))
+    marked = np.zeros(len(s), bool)
+    marked[order[later]] = True
+    # Ranges of marked windows; a range ends with its text.
+    begin = np.flatnonzero(marked[:-1] & ~np.concatenate(([False], marked[:-2])))
+    end = np.flatnonzero(marked[:-1] & ~marked[1:]) + length
+    home = owner[begin]
+    return home, begin - starts[home], end - starts[home]
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Texts of a shard to removed ranges; ranges known already pass through."""
+    """Texts of the shards of a place to removed ranges; ranges known already pass through."""
+    found = _Ranges()
     for _, kind, rows in _places(batches):
         if kind == REMOVED:
             yield from rows
             continue
         texts, docs, counts, uses, marks = [], [], [], [], []
         for data in _blobs(rows):
-            n, m = HEAD.unpack_from(data)
-            plain = unpack(data[HEAD.size:])
-            numbers = np.frombuffer(plain, np.int64, 3 * n + 2 * m)
+            n, m, packed = HEAD.unpack_from(data)
+            numbers = _unpacked(data[HEAD.size:HEAD.size + packed], 1)[0]
+            plain = UNPACKER.decompress(data[HEAD.size + packed:])
             docs.append(numbers[n:2 * n])
             counts.append(numbers[2 * n:3 * n])
             uses.append(numbers[3 * n:3 * n + m])
             marks.append(numbers[3 * n + m:])
-            at = 8 * len(numbers)
+            at = 0
             for size in numbers[:n].tolist():
                 texts.append(plain[at:at + size])
                 at += size
@@ -379,58 +497,24 @@ def _suffixes(batches: Iterator[pa.RecordBatch], groups: int, length: int) -> It
         sizes = np.array([len(t) for t in texts])
         user, text_of = np.repeat(docs, counts), np.repeat(number, counts)
         gone = user > least[text_of]
-        if gone.any():
-            yield from _dealt(REMOVED, user[gone] % groups, user[gone], marks[gone], uses[gone], uses[gone] + sizes[text_of[gone]])
-        # Windows are in texts of their own smallest hash only, so a text that has its hash alone shares none.
-        lows = _lows(texts, length)
-        _, which, alike = np.unique(lows, return_inverse=True, return_counts=True)
-        some = alike[which] > 1
-        if not some.any():
-            continue
+        found.add(user[gone], marks[gone], uses[gone], uses[gone] + sizes[text_of[gone]])
         order = np.argsort(text_of, kind="stable")
-        order = order[~gone[order] & some[text_of[order]]]
+        order = order[~gone[order]]
         uses, marks = uses[order], marks[order]
-        counts = np.bincount(text_of[order], minlength=len(texts))[some]
-        docs, sizes = least[some], sizes[some]
-        symbols = np.frombuffer(b"".join([t for t, x in zip(texts, some.tolist(), strict=True) if x]), np.uint8)
-        del texts
-        # Texts end with a symbol below all bytes, the whole with one below that.
-        ends = np.cumsum(sizes + 1)
-        starts = ends - sizes - 1
-        known = np.bincount(symbols, minlength=256) > 0
-        width = int(known.sum()) + 2
-        s = np.zeros(ends[-1] + 1, np.uint8 if width <= 256 else np.uint16)
-        into = np.ones(len(s), bool)
-        into[ends - 1] = into[-1] = False
-        s[into] = (np.cumsum(known) + 1).astype(s.dtype)[symbols]
-        s[ends - 1] = 1
-        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
-        whole = np.zeros(len(s), bool)
-        whole[:-1] = np.arange(len(s) - 1) <= np.repeat(ends - 1 - length, sizes + 1)
-        order = suffix_array(s, width, length, ends - 1)
-        order = order[whole[order]]
-        if not len(order):
-            continue
-        shared = permuted_common_prefixes(s, order, length)[order] >= length
-        shared[0] = False
-        first = np.flatnonzero(~shared)
-        doc_of = docs[owner[order]]
-        later = doc_of > np.repeat(np.minimum.reduceat(doc_of, first), np.diff(np.append(first, len(order))))
-        marked = np.zeros(len(s), bool)
-        marked[order[later]] = True
-        # Ranges of marked windows; a range ends with its text.
-        begin = np.flatnonzero(marked[:-1] & ~np.concatenate(([False], marked[:-2])))
-        end = np.flatnonzero(marked[:-1] & ~marked[1:]) + length
-        home = owner[begin]
-        times = counts[home]
-        firsts = (np.cumsum(counts) - counts)[home]
-        stops = np.cumsum(times)
-        if not len(stops):
-            continue
-        every = np.repeat(firsts - (stops - times), times) + np.arange(stops[-1])
-        use = uses[every]
-        doc = np.repeat(docs[home], times)
-        yield from _dealt(REMOVED, doc % groups, doc, marks[every], use + np.repeat(begin - starts[home], times), use + np.repeat(end - starts[home], times))
+        counts = np.bincount(text_of[order], minlength=len(texts))
+        firsts = np.cumsum(counts) - counts
+        # Windows are in texts of their own smallest hash only, so a text that has its hash alone shares none.
+        _, which, alike = np.unique(_lows(texts, length), return_inverse=True, return_counts=True)
+        for own in _shards(which, sizes, alike[which] > 1):
+            home, begin, end = _marked([texts[i] for i in own.tolist()], least[own], length)
+            home = own[home]
+            times = counts[home]
+            every = np.repeat(firsts[home] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            use = uses[every]
+            found.add(np.repeat(least[home], times), marks[every], use + np.repeat(begin, times), use + np.repeat(end, times))
+        if found.size >= OUTBOX:
+            yield from found.batches(groups)
+    yield from found.batches(groups)
 
 
 # --- step 4: documents without the removed ranges ---------------------------------------------
@@ -541,25 +625,33 @@ def _search(documents: DataFrame, length: int) -> Found:
     ship_package(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.encode("text", "utf-8").alias("text"))
     named = rows.where(F.col("doc_id").isNotNull()).withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit(b"")), 256)))
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Digests are written, so that the texts are not read and hashed for each use of them.
+    light = written(named.select("doc_id", "digest", F.octet_length("text").alias("n_bytes")), "light")
+    size = light.agg(F.sum("n_bytes")).first()[0] or 0
     # Texts of runs overlap: they are about four times the repeated text.
-    shards = max(partitions(spark), -(-size * 4 // (3 * SHARD_BYTES)))
+    homes = max(partitions(spark), -(-size * 4 // (3 * HOME_BYTES)))
     groups = max(partitions(spark), -(-size // (16 << 20)))
-    copies = written(_copies(named.select("doc_id", "digest")), "copies")
-    # Where the list of copies is counted to be short it is broadcast; else texts are shuffled once more.
-    single = named.join(broadcast_if_small(copies), ["doc_id", "digest"], "left_anti").select("doc_id", "text")
-    place, none = F.pmod("doc_id", F.lit(groups)).alias("place"), F.lit(None).cast("binary")
+    copies = written(_copies(light.select("doc_id", "digest")), "copies")
+    single = named.select("doc_id", "text", F.substring("digest", 1, 8).alias("data"))
+    if is_small(copies, COPIES):
+        listed = copies.select("doc_id", F.substring("digest", 1, 8).alias("data")).toArrow().combine_chunks()
+        listed = _pairs(listed.column("doc_id").to_numpy(), _marks(listed))
+    else:  # texts are shuffled once more
+        single = named.join(copies, ["doc_id", "digest"], "left_anti").select(*single.columns[:2], F.lit(b"\0" * 8).alias("data"))
+        listed = _pairs(*np.empty((2, 0), np.int64))
+    listed = spark.sparkContext.broadcast(listed)
+    place = F.pmod("doc_id", F.lit(groups)).alias("place")
     text = named.select(F.lit(TEXT).alias("kind"), place, "doc_id", "text", F.col("digest").alias("data"))
-    copied = copies.select(F.lit(COPY).alias("kind"), place, "doc_id", none.alias("text"), F.col("digest").alias("data"))
+    copied = copies.select(F.lit(COPY).alias("kind"), place, "doc_id", F.lit(None).cast("binary").alias("text"), F.col("digest").alias("data"))
     text = copied.unionByName(text)
 
-    counted = single.mapInArrow(tidy(lambda b: _count(b, shards, groups, length)), PACKED_DDL)
+    counted = single.mapInArrow(tidy(lambda b: _count(b, groups, length, listed.value)), PACKED_DDL)
     least = max(FREQUENT, size // (16 * FREQUENT_KEYS))  # a run has more than 16 new bytes on average
     wanted = written(_exchange(counted).mapInArrow(tidy(lambda b: _repeated(b, groups, least)), PACKED_DDL), "wanted")
-    hot = [np.empty(0, np.int64)] + [_unpacked(r["data"], 1)[0] for r in wanted.where(F.col("kind") == HOT).select("data").collect()]
-    shared = spark.sparkContext.broadcast(np.sort(np.concatenate(hot)).astype(np.uint64))
+    hot = _joined([r["data"] for r in wanted.where(F.col("kind") == HOT).select("data").collect()], 1)[0]
+    shared = spark.sparkContext.broadcast(np.sort(hot).astype(np.uint64))
     asked = wanted.where(F.col("kind") == WANTED).unionByName(text)
-    sent = _exchange(asked).mapInArrow(tidy(lambda b: _select(b, shards, groups, length, shared.value)), PACKED_DDL)
+    sent = _exchange(asked).mapInArrow(tidy(lambda b: _select(b, homes, groups, length, shared.value)), PACKED_DDL)
     removed = _exchange(sent).mapInArrow(tidy(lambda b: _suffixes(b, groups, length)), PACKED_DDL)
     return Found(rows, text, copies, removed)
 
